@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarnfold.llm import language_id, pii, sharding, topk_search
+from tarnfold.llm import hmm_lm, language_id, pii, sharding, topk_search
 
 QUERIES = {
+    "op4_lm": hmm_lm.op4_lm,
     "op6_pii": pii.op6_pii,
     "op2_language": language_id.op2_language,
     "op3_topk": topk_search.op3_topk,
