@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tarnfold.llm import hmm_lm, language_id, pii, sharding, topk_search
+from tarnfold.llm import hmm_lm, language_id, mixing, pii, sharding, topk_search, url_filter
 
 QUERIES = {
+    "op1_urls": url_filter.op1_urls,
+    "op8_mixing": mixing.op8_mixing,
     "op4_lm": hmm_lm.op4_lm,
     "op6_pii": pii.op6_pii,
     "op2_language": language_id.op2_language,
     "op3_topk": topk_search.op3_topk,
     "op10_shards": sharding.op10_shards,
 }
-ORACLES = {"op3_topk": topk_search.ORACLE_SQL}
+ORACLES = {"op1_urls": url_filter.ORACLE_SQL, "op3_topk": topk_search.ORACLE_SQL}
 
 
 def queries() -> dict:
