@@ -7,8 +7,8 @@ A gradient needs only the domains' sums, so a round is one aggregate over a narr
 table and moves a handful of numbers; a document's rate is a function of its posterior
 and the rounds' steps. DataFrame functions only.
 
-The classifier is a tempered naive Bayes over the `WORDS` most telling words and a few
-shape features, fit on at most `SAMPLE` labelled documents (documented bound, chosen by
+The classifier is a multinomial logistic regression on the `WORDS` most telling words
+and shape features, fit on at most `SAMPLE` labelled documents (documented bound, chosen by
 hash of the id). Posteriors, sums and rates cover every document.
 
 Defined cases: a null text has no tokens, the domains' prior as posterior and a rate
@@ -22,14 +22,16 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.llm.workspace import BLANKS, Workspace, ascii_lower
 
 SAMPLE, WORDS, LEAST_DOCS = 20_000, 256, 8
-TEMPER = 0.7
-STEP, ROUNDS, SAVE_EVERY, CLOSE = 1.5, 40, 8, 1e-5
+PENALTY = 0.001
+STEP, ROUNDS, SAVE_EVERY, CLOSE = 1.5, 24, 8, 1e-4
 
 
 def _share(part: Column, whole: Column, cuts: list[float], name: str) -> Column:
@@ -39,7 +41,7 @@ def _share(part: Column, whole: Column, cuts: list[float], name: str) -> Column:
 
 def tokens_of(text: Column) -> Column:
     """Words of a text, A-Z lower-cased, without leading and trailing marks."""
-    words = F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]*+[\x20\x09-\x0D]++[^\p{L}\p{N}]*+", -1)
+    words = F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\x20\x09-\x0D]*+[\x20\x09-\x0D]++[^\p{L}\p{N}\x20\x09-\x0D]*+", -1)
     return F.filter(words, lambda w: w != "")
 
 
@@ -58,7 +60,7 @@ def word_count(text: Column) -> Column:
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[list[float], dict[str, list[float]]]:
-    """Log prior and the log-odds of each feature per domain, from at most SAMPLE labelled documents."""
+    """Intercepts and each feature's weights per domain, from at most SAMPLE labelled documents."""
     sample = labelled.filter(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # a bounded table of two narrow columns
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", F.concat(F.array_distinct(tokens_of(F.col("text"))), shape_of(F.col("text"))).alias("words"))
@@ -72,19 +74,26 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[lis
     seen = sum(F.col(f"n{i}") for i in range(len(domains)))
     # How far a word's counts lie from what the domains' sizes give (the G statistic).
     gain = sum(F.col(f"n{i}") * F.log((F.col(f"n{i}") + 0.1) / (seen * (size[i] / n) + 0.1)) for i in range(len(domains)))
-    best = per.filter((F.col("word") != "#all") & (seen >= LEAST_DOCS)).orderBy(F.desc(gain), "word").limit(WORDS).collect()
-    weights = {}
-    for r in best:
-        overall = (sum(r[f"n{i}"] for i in range(len(domains))) + 0.5) / (n + 1)
-        weights[r["word"]] = [TEMPER * math.log(((r[f"n{i}"] + 2 * overall) / (size[i] + 2)) / overall) for i in range(len(domains))]
-    return [math.log((s + 1) / (n + len(domains))) for s in size], weights
+    best = [r["word"] for r in per.filter((F.col("word") != "#all") & (seen >= LEAST_DOCS)).select("word", gain.alias("gain")).orderBy(F.desc("gain"), "word").limit(WORDS).collect()]
+    if not best or sum(c > 0 for c in size) < 2:
+        return [math.log((c + 1) / (n + len(domains))) for c in size], {}
+    vectors = CountVectorizerModel.from_vocabulary(best, inputCol="words", outputCol="features")
+    vectors.setBinary(True)
+    of = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(float(i)))])
+    table = vectors.transform(rows.select(F.element_at(of, F.col("domain")).alias("label"), "words"))
+    fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=60, standardization=False).fit(table)
+    inter, coef = fitted.interceptVector.toArray(), fitted.coefficientMatrix.toArray()
+    k = len(inter)  # classes up to the greatest that occurs
+    far = [float(inter[i]) if i < k and size[i] else -50.0 for i in range(len(domains))]
+    return far, {w: [float(coef[i, j]) if i < k else 0.0 for i in range(len(domains))] for j, w in enumerate(best)}
 
 
 def posterior(text: Column, model: tuple[list[float], dict[str, list[float]]]) -> Column:
     """array<double> of the domains' posteriors; one expression of the row, no shuffle."""
     prior, weights = model
     if not weights:
-        return F.lit([1 / len(prior)] * len(prior))
+        total = sum(math.exp(x) for x in prior)
+        return F.lit([math.exp(x) / total for x in prior])
     table = F.create_map(*[x for w, v in weights.items() for x in (F.lit(w), F.lit(v))])
     hits = F.array_intersect(F.concat(tokens_of(text), shape_of(text)), F.lit(list(weights)))
     logit = F.aggregate(hits, F.lit(prior), lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
