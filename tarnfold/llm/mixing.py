@@ -27,7 +27,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm.workspace import BLANKS, Workspace, ascii_lower
+from tarnfold.llm.workspace import Workspace
 
 SAMPLE, WORDS, LEAST_DOCS = 20_000, 256, 8
 PENALTY = 0.001
@@ -40,30 +40,29 @@ def _share(part: Column, whole: Column, cuts: list[float], name: str) -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    """Words of a text, A-Z lower-cased, without leading and trailing marks."""
-    words = F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\x20\x09-\x0D]*+[\x20\x09-\x0D]++[^\p{L}\p{N}\x20\x09-\x0D]*+", -1)
-    return F.filter(words, lambda w: w != "")
+    """Lower-cased words: what lies between blanks and ASCII marks. The first and last may be empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x20!-/:-@\[-`{-~]+", -1)
 
 
 def shape_of(text: Column) -> Column:
     """Features of the text's outward form, as words that no text holds."""
     t = F.coalesce(text, F.lit(""))
     n = F.length(t)
-    plain = n - F.length(F.translate(t, "!#$%&*|{}<>=_^~", ""))
-    capital = n - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    return F.array(_share(plain, n, [0.005, 0.02, 0.05, 0.1, 0.2], "marks"), _share(capital, n, [0.02, 0.05, 0.1, 0.3], "capitals"))
+    marks = n - F.length(F.regexp_replace(t, "[!#$%&*|{}<>=_^~]+", ""))
+    capitals = n - F.length(F.regexp_replace(t, "[A-Z]+", ""))
+    return F.array(_share(marks, n, [0.005, 0.02, 0.05, 0.1, 0.2], "marks"), _share(capitals, n, [0.02, 0.05, 0.1, 0.3], "capitals"))
 
 
-def word_count(text: Column) -> Column:
-    parts = F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+", -1)
-    return (F.size(parts) - (F.element_at(parts, 1) == "").cast("int") - ((F.element_at(parts, -1) == "") & (F.size(parts) > 1)).cast("int")).cast("long")
+def word_count(words: Column) -> Column:
+    ends = (F.element_at(words, 1) == "").cast("int") + ((F.element_at(words, -1) == "") & (F.size(words) > 1)).cast("int")
+    return (F.size(words) - ends).cast("long")
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[list[float], dict[str, list[float]]]:
     """Intercepts and each feature's weights per domain, from at most SAMPLE labelled documents."""
     sample = labelled.filter(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # a bounded table of two narrow columns
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", F.concat(F.array_distinct(tokens_of(F.col("text"))), shape_of(F.col("text"))).alias("words"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", F.concat(F.array_distinct(F.filter(tokens_of(F.col("text")), lambda w: w != "")), shape_of(F.col("text"))).alias("words"))
     each = rows.select("domain", F.explode(F.array_append("words", F.lit("#all"))).alias("word")).filter(F.length("word") <= 64)
     per = each.groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)])
     totals = per.filter("word = '#all'").collect()
@@ -88,14 +87,14 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[lis
     return far, {w: [float(coef[i, j]) if i < k else 0.0 for i in range(len(domains))] for j, w in enumerate(best)}
 
 
-def posterior(text: Column, model: tuple[list[float], dict[str, list[float]]]) -> Column:
+def posterior(words: Column, text: Column, model: tuple[list[float], dict[str, list[float]]]) -> Column:
     """array<double> of the domains' posteriors; one expression of the row, no shuffle."""
     prior, weights = model
     if not weights:
         total = sum(math.exp(x) for x in prior)
         return F.lit([math.exp(x) / total for x in prior])
     table = F.create_map(*[x for w, v in weights.items() for x in (F.lit(w), F.lit(v))])
-    hits = F.array_intersect(F.concat(tokens_of(text), shape_of(text)), F.lit(list(weights)))
+    hits = F.concat(F.array_intersect(words, F.lit(list(weights))), F.filter(shape_of(text), lambda w: w.isin(list(weights))))
     logit = F.aggregate(hits, F.lit(prior), lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
     return F.aggregate(
         F.array(logit), F.lit([0.0] * len(prior)),
@@ -137,7 +136,7 @@ def rate_of(p: Column, steps: list[list[float]], start: Column | None = None) ->
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None, name: str, natural_except: str | None = None) -> tuple[DataFrame, Column, Column]:
-    """(narrow table of members, posterior of a text, rate of a posterior).
+    """(narrow table of members, posterior of columns words and text, rate of a posterior p).
 
     targets gives the domains' weights. With natural_except, targets are the domains'
     present tokens, that domain's 0.
@@ -145,8 +144,9 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     ws = Workspace(docs.sparkSession, name)
     domains = sorted(targets)
     model = train(docs, labelled, domains)
-    p = posterior(F.col("text"), model)
-    members = ws.save(docs.select("doc_id", word_count(F.col("text")).alias("n"), p.alias("p")), "members")
+    p = posterior(F.col("words"), F.col("text"), model)
+    rows = docs.select("doc_id", "text", tokens_of(F.col("text")).alias("words"))
+    members = ws.save(rows.select("doc_id", word_count(F.col("words")).alias("n"), p.alias("p")), "members")
     if natural_except is not None:
         got = members.agg(*[F.sum(F.col("n") * F.col("p")[i]).alias(f"s{i}") for i in range(len(domains))]).first()
         mass = [got[f"s{i}"] or 0.0 for i in range(len(domains))]
@@ -176,4 +176,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, name: str = "mix") -> DataFrame:
     """Rows of docs whose rate rounds to one copy or more when toxic tokens are mixed out and the rest stay as they are; columns unchanged."""
     _, p, rate = rates(docs, domain_labels(labels), TARGETS, name, natural_except="toxic")
-    return docs.select(F.struct("*").alias("doc"), F.struct("*")["text"].alias("text")).select("doc", p.alias("p")).filter(rate >= least).select("doc.*")
+    rows = docs.select(F.struct("*").alias("doc"), "text", tokens_of(F.col("text")).alias("words"))
+    return rows.select("doc", p.alias("p")).filter(rate >= least).select("doc.*")
