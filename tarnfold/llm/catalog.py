@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tarnfold.llm import hmm_lm, language_id, mixing, pii, sharding, topk_search, url_filter
+from tarnfold.llm import decontaminate, hmm_lm, language_id, mixing, pii, sharding, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
+    "op7_dedup": suffix_dedup.op7_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op1_urls": url_filter.op1_urls,
     "op8_mixing": mixing.op8_mixing,
     "op4_lm": hmm_lm.op4_lm,
