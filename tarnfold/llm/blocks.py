@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
 RANGES_PER_BLOCK = 8  # hash ranges, and so reducers, follow the number of blocks
 BITS = 48
 NO_ID = 2**63 - 1  # stands for a null id, above all others
@@ -40,7 +40,7 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
             b = t.encode("utf-8", "surrogatepass") if t is not None else b""
-            if texts and size + len(b) > BLOCK_BYTES:
+            if texts and (size + len(b) > BLOCK_BYTES or len(texts) == BLOCK_ROWS):
                 yield out()
                 seq, size = seq + 1, 0
                 texts.clear()
@@ -108,7 +108,7 @@ def cut_by_range(values: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(values, edges)
 
 
-def document_counts(blocks: Blocks, hashes: Callable[[object], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def document_counts(blocks: Blocks, hashes: Callable[[object], tuple[np.ndarray, np.ndarray]], replies: DataFrame | None = None) -> DataFrame:
     """(block, part, reply): in how many documents, over all blocks, each of a block's hashes occurs.
 
     hashes(row) gives a block's sorted distinct hashes below 2^BITS and in how many of
@@ -141,7 +141,7 @@ def document_counts(blocks: Blocks, hashes: Callable[[object], tuple[np.ndarray,
                 yield pd.DataFrame({"block": [block], "part": [part], "reply": [squeeze(sums[where[at : at + len(v)]])]})
                 at += len(v)
 
-    sent = blocks.map(send, "part int, block long, run binary, n binary")
+    sent = blocks.map(send, "part int, block long, run binary, n binary", replies)
     return sent.repartition(ranges, "part").mapInPandas(merge, "block long, part int, reply binary")
 
 

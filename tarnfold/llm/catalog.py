@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarnfold.llm import decontaminate, hmm_lm, language_id, mixing, pii, sharding, suffix_dedup, topk_search, url_filter
+from tarnfold.llm import decontaminate, hmm_lm, language_id, mixing, ngram_join, pii, sharding, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
+    "op5_ngram": ngram_join.op5_ngram,
     "op7_dedup": suffix_dedup.op7_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op1_urls": url_filter.op1_urls,
