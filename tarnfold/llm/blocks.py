@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
-RANGES_PER_BLOCK = 8  # hash ranges, and so reducers, follow the number of blocks
+RANGES_PER_BLOCK = 2  # hash ranges, and so reducers, follow the number of blocks
 BITS = 48
 NO_ID = 2**63 - 1  # stands for a null id, above all others
 
@@ -124,25 +124,34 @@ def document_counts(blocks: Blocks, hashes: Callable[[object], tuple[np.ndarray,
                 cut = cut_by_range(values, ranges)
                 for r in range(ranges):
                     part = slice(cut[r], cut[r + 1])
+                    if cut[r] == cut[r + 1]:
+                        continue
                     delta = np.diff(values[part], prepend=np.uint64(0))
                     yield pd.DataFrame({"part": [r], "block": [row.block], "run": [squeeze(delta)], "n": [squeeze(np.minimum(n[part], 65535).astype(np.uint16))]})
 
+    def solve(part: int, runs: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        total, where = np.unique(np.concatenate([v for _, v, _ in runs]), return_inverse=True)
+        sums = np.minimum(np.bincount(where, weights=np.concatenate([n for _, _, n in runs]), minlength=len(total)), 65535).astype(np.uint16)
+        at = 0
+        for block, v, _ in runs:
+            yield pd.DataFrame({"block": [block], "part": [part], "reply": [squeeze(sums[where[at : at + len(v)]])]})
+            at += len(v)
+
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        now = -1
         for pdf in batches:
             for row in pdf.itertuples():
-                held.setdefault(row.part, []).append((row.block, np.cumsum(unsqueeze(row.run, np.uint64), dtype=np.uint64), unsqueeze(row.n, np.uint16)))
-        for part, runs in held.items():
-            values = np.concatenate([v for _, v, _ in runs])
-            total, where = np.unique(values, return_inverse=True)
-            sums = np.minimum(np.bincount(where, weights=np.concatenate([n for _, _, n in runs]), minlength=len(total)), 65535).astype(np.uint16)
-            at = 0
-            for block, v, _ in runs:
-                yield pd.DataFrame({"block": [block], "part": [part], "reply": [squeeze(sums[where[at : at + len(v)]])]})
-                at += len(v)
+                if held and row.part != now:
+                    yield from solve(now, held)
+                    held = []
+                now = row.part
+                held.append((row.block, np.cumsum(unsqueeze(row.run, np.uint64), dtype=np.uint64), unsqueeze(row.n, np.uint16)))
+        if held:
+            yield from solve(now, held)
 
     sent = blocks.map(send, "part int, block long, run binary, n binary", replies)
-    return sent.repartition(ranges, "part").mapInPandas(merge, "block long, part int, reply binary")
+    return sent.repartition(ranges, "part").sortWithinPartitions("part", "block").mapInPandas(merge, "block long, part int, reply binary")
 
 
 def rolling_hash(b: np.ndarray, width: int) -> np.ndarray:

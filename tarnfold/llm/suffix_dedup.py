@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm.blocks import BITS, NO_ID, RANGES_PER_BLOCK, Blocks, cut_by_range, document_counts, opened, replies_of, rolling_hash, squeeze, unsqueeze
+from tarnfold.llm.blocks import BITS, NO_ID, RANGES_PER_BLOCK, Blocks, cut_by_range, document_counts, mix, opened, rolling_hash, squeeze, unsqueeze
 from tarnfold.llm.workspace import Workspace
 
 LENGTH, GRAM = 50, 24
@@ -79,13 +79,6 @@ def _take(text: np.ndarray, start: np.ndarray, size: int, low: np.ndarray, high:
     return np.where(fine, text[np.clip(at, 0, max(len(text) - 1, 0))], 0).astype(np.uint8)
 
 
-def _words(rows: np.ndarray) -> list[np.ndarray]:
-    """Columns of big-endian integers that sort as the rows' bytes."""
-    pad = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
-    pad[:, : rows.shape[1]] = rows
-    return list(pad.view(">u8").astype(np.uint64).T)
-
-
 def entries(row, totals: np.ndarray) -> dict | None:
     """A block's anchors whose gram other documents hold too, and its distinct contexts, sorted by hash range and suffix."""
     ids, starts, text = opened(row)
@@ -103,22 +96,33 @@ def entries(row, totals: np.ndarray) -> dict | None:
     return {"ids": ids, "at": at, "first": first, "last": last, "doc": doc, "gram": gram, "right": right, "left": left, "rlen": rlen, "llen": llen}
 
 
+_MIX = np.cumprod(np.full(LENGTH + SPREAD - 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+
+
 def distinct(e: dict, ranges: int) -> dict:
-    """Equal contexts as one entry each, with the smallest id that holds it; `of` is each anchor's entry."""
-    part = cut_part(e["gram"], ranges)
-    keys = [e["llen"].astype(np.uint64), e["rlen"].astype(np.uint64), *_words(e["left"])[::-1], *_words(e["right"])[::-1], part.astype(np.uint64)]
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    entry = np.cumsum(new) - 1
-    least = np.minimum.reduceat(e["ids"][e["doc"][order]], np.nonzero(new)[0])
-    of = np.empty(len(order), np.int64)
-    of[order] = entry
-    pick = order[new]
-    return {"of": of, "least": least, "part": part[pick], "right": e["right"][pick], "left": e["left"][pick], "rlen": e["rlen"][pick], "llen": e["llen"][pick]}
+    """Equal contexts as one entry each, with the smallest id that holds it; `of` is each anchor's entry. Sorted by hash range, then suffix."""
+    right, left, part = e["right"], e["left"], cut_part(e["gram"], ranges)
+    h = mix((e["rlen"] * 64 + e["llen"]).astype(np.uint64))
+    for j in range(LENGTH):
+        h += right[:, j] * _MIX[j]
+    for j in range(SPREAD - 1):
+        h += left[:, j] * _MIX[LENGTH + j]
+    h = mix(mix(h) + e["gram"])
+    _, pick, of = np.unique(h, return_index=True, return_inverse=True)
+    same = (right == right[pick[of]]).all() and (left == left[pick[of]]).all() and (e["rlen"] == e["rlen"][pick[of]]).all() and (e["llen"] == e["llen"][pick[of]]).all()
+    if not same:  # two contexts of one hash: compare them whole
+        whole = np.column_stack([right, left, e["rlen"].astype(np.uint8), e["llen"].astype(np.uint8)])
+        _, pick, of = np.unique(whole, axis=0, return_index=True, return_inverse=True)
+    least = np.full(len(pick), NO_ID)
+    np.minimum.at(least, of, e["ids"][e["doc"]])
+    key = np.empty((len(pick), LENGTH + 4), np.uint8)
+    key[:, :4] = part[pick].astype(">u4").view(np.uint8).reshape(-1, 4)
+    key[:, 4:] = right[pick]
+    order = np.argsort(key.view(f"S{LENGTH + 4}").ravel(), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    pick = pick[order]
+    return {"of": rank[of], "least": least[order], "part": part[pick], "right": right[pick], "left": left[pick], "rlen": e["rlen"][pick], "llen": e["llen"][pick]}
 
 
 def cut_part(gram: np.ndarray, ranges: int) -> np.ndarray:
@@ -261,11 +265,9 @@ def _send(ranges: int):
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[int, list] = {}
-    for pdf in batches:
-        for row in pdf.itertuples():
-            held.setdefault(row.part, []).append(row)
-    for part, rows in held.items():
+    """Runs, sorted by part, to masks; one part is held at a time."""
+
+    def solve(part: int, rows: list) -> Iterator[pd.DataFrame]:
         runs, left, sizes, least = [], [], [], []
         for row in rows:
             shared = unsqueeze(row.shared, np.uint8)
@@ -283,6 +285,16 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"block": [row.block], "part": [part + MASKS], "reply": [squeeze(mask[at : at + len(strings)])]})
             at += len(strings)
 
+    held: list = []
+    for pdf in batches:
+        for row in pdf.itertuples():
+            if held and held[0].part != row.part:
+                yield from solve(held[0].part, held)
+                held = []
+            held.append(row)
+    if held:
+        yield from solve(held[0].part, held)
+
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -331,7 +343,7 @@ def deduplicated(docs: DataFrame, name: str = "suffix") -> DataFrame:
         ranges = max(1, -(-blocks.count // RANGES_PER_BLOCK))
         totals = ws.save(document_counts(blocks, _gram_counts), "totals")
         sent = blocks.map(_send(ranges), "part int, block long, shared binary, rest binary, left binary, sizes binary, least binary", totals)
-        masks = ws.save(sent.repartition(ranges, "part").mapInPandas(_merge, "block long, part int, reply binary"), "masks")
+        masks = ws.save(sent.repartition(ranges, "part").sortWithinPartitions("part", "block").mapInPandas(_merge, "block long, part int, reply binary"), "masks")
         out = ws.save(blocks.map(_cut(ranges), OUT, totals.union(masks)), "out")
     ws.drop("totals", "masks")
     return out
