@@ -221,7 +221,7 @@ def label_texts(model: dict, texts: list[str | None]) -> pd.DataFrame:
         best[at] = np.array(langs, dtype=object)[weight[has].argmax(axis=1)]
         share[at] = weight[has].max(axis=1) / total[has]
         new = np.nonzero((np.diff(text_of, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))[0]
-        stop = np.append(new[1:], len(label)) - 1
+        stop = np.append(new, len(label))[1:] - 1
         for a, b in zip(new, stop, strict=True):
             o, i = starts[text_of[a]], group[text_of[a]]
             for out, x in zip(spans[i], (int(start[a] - o), int(end[b] - o), langs[label[a]]), strict=True):
