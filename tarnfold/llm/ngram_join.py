@@ -364,7 +364,15 @@ def op5_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, name: str = "ngram") -> DataFrame:
-    """One row of each class of near copies: that of the smallest id (of rows with that id, any one); columns unchanged."""
-    first = classes(docs, name).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each class of near copies: that of the smallest id (of rows with that id, any one); columns unchanged.
+
+    The text is dealt once, by id; only ids that repeat are made unique after.
+    """
+    ws = Workspace(docs.sparkSession, f"{name}_first")
+    found = classes(docs, name)
+    first = ws.save(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_times")), "first")
+    same = docs["doc_id"].eqNullSafe(F.col("_kept"))
+    if first.filter("_times > 1").isEmpty():
+        return docs.join(first, same, "left_semi")
+    once = docs.join(first.filter("_times = 1"), same, "left_semi")
+    return once.union(docs.join(first.filter("_times > 1"), same, "left_semi").dropDuplicates(["doc_id"]))
