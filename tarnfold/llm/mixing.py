@@ -31,7 +31,7 @@ from tarnfold.llm.workspace import Workspace
 
 SAMPLE, WORDS, LEAST_DOCS = 20_000, 256, 8
 PENALTY = 0.001
-STEP, ROUNDS, SAVE_EVERY, CLOSE = 1.5, 24, 8, 1e-4
+STEP, ROUNDS, SAVE_EVERY, CLOSE = 1.5, 20, 10, 1e-4
 
 
 def _share(part: Column, whole: Column, cuts: list[float], name: str) -> Column:
@@ -80,7 +80,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[lis
     vectors.setBinary(True)
     of = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(float(i)))])
     table = vectors.transform(rows.select(F.element_at(of, F.col("domain")).alias("label"), "words"))
-    fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=60, standardization=False).fit(table)
+    fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=25, standardization=False).fit(table)
     inter, coef = fitted.interceptVector.toArray(), fitted.coefficientMatrix.toArray()
     k = len(inter)  # classes up to the greatest that occurs
     far = [float(inter[i]) if i < k and size[i] else -50.0 for i in range(len(domains))]
@@ -129,10 +129,11 @@ def fit_rates(members: DataFrame, k: int, shares: list[float], ws: Workspace) ->
 
 
 def rate_of(p: Column, steps: list[list[float]], start: Column | None = None) -> Column:
+    """The rate after the steps. They are one array literal, so that every round runs the same compiled code."""
     rate = F.lit(1.0) if start is None else start
-    for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum(p[i] * s for i, s in enumerate(step)))
-    return rate
+    if not steps:
+        return rate
+    return F.aggregate(F.lit(steps), rate, lambda r, s: F.greatest(F.lit(0.0), r - sum(p[i] * s[i] for i in range(len(steps[0])))))
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None, name: str, natural_except: str | None = None) -> tuple[DataFrame, Column, Column]:
