@@ -36,30 +36,43 @@ from tarnfold.llm.workspace import Workspace
 
 LENGTH, GRAM = 50, 24
 SPREAD = LENGTH - GRAM + 1
+SLICE = 1 << 16
 MASKS = 1 << 20  # parts of the second reply come after those of the first
 
 
+def anchor_positions(text: np.ndarray) -> np.ndarray:
+    """The anchor of the string from each position, leftmost of equal hashes; never falls. Worked out in slices that fit a cache."""
+    out = np.empty(max(0, len(text) - LENGTH + 1), np.int64)
+    for a in range(0, len(out), SLICE):
+        h = rolling_hash(text[a : a + SLICE + LENGTH - 1], GRAM)
+        m = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+        size = 1
+        while size * 2 <= SPREAD:
+            m = np.minimum(m[:-size], m[size:])
+            size *= 2
+        m = np.minimum(m[: len(m) - (SPREAD - size)], m[SPREAD - size :])
+        out[a : a + SLICE] = (m & np.uint64(0xFFFFFFFF)).astype(np.int64) + a
+    return out
+
+
 def anchors(ids: np.ndarray, starts: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """position, first and last window, document and gram hash of each anchor of a block."""
-    none = np.zeros(0, np.int64)
-    h = rolling_hash(text, GRAM)
-    if len(h) < SPREAD:
-        return none, none, none, none, np.zeros(0, np.uint64)
-    m = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    size = 1
-    while size * 2 <= SPREAD:
-        m = np.minimum(m[:-size], m[size:])
-        size *= 2
-    m = np.minimum(m[: len(m) - (SPREAD - size)], m[SPREAD - size :])
-    at = (m & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of the window from each position; never falls
-    doc = np.searchsorted(starts, np.arange(len(at)), side="right") - 1
+    at = anchor_positions(text)
+    size = np.diff(starts)
+    doc = np.repeat(np.arange(len(size)), size)[: len(at)]
     fine = np.nonzero(np.arange(len(at)) + LENGTH <= starts[doc + 1])[0]
     if not len(fine):
+        none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, np.uint64)
     at, doc = at[fine], doc[fine]
     cut = np.nonzero((np.diff(at, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))[0]
     last = np.append(cut[1:], len(at)) - 1
-    return at[cut], fine[cut], fine[last], doc[cut], h[at[cut]] >> np.uint64(64 - BITS)
+    position = at[cut]
+    gram = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, GRAM)[position]).view(np.uint64)
+    h = mix(gram[:, 0])
+    for k in range(1, GRAM // 8):
+        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + gram[:, k])
+    return position, fine[cut], fine[last], doc[cut], mix(h) >> np.uint64(64 - BITS)
 
 
 def _gram_counts(row) -> tuple[np.ndarray, np.ndarray]:
