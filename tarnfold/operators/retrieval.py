@@ -34,11 +34,11 @@ def search(points: DataFrame, queries: DataFrame, k: int, where: Column | None =
 
 
 def evaluate(hits: DataFrame, expected: DataFrame, k: int) -> DataFrame:
-    """case_id, best_rank, hit, mrr of every case: the first of its expected ids among its hits."""
+    """case_id, best_rank (0 without one), hit, mrr of every case: the first of its expected ids among its hits."""
     first = hits.filter(F.col("rank") <= k).join(expected.select("case_id", F.col("id").alias("wanted")), "case_id")
     first = first.filter(F.col("id") == F.col("wanted")).groupBy("case_id").agg(F.min("rank").alias("best_rank"))
     cases = expected.select("case_id").distinct().join(first, "case_id", "left")
-    return cases.select("case_id", "best_rank", F.col("best_rank").isNotNull().alias("hit"), F.coalesce(1.0 / F.col("best_rank"), F.lit(0.0)).alias("mrr"))
+    return cases.select("case_id", F.coalesce("best_rank", F.lit(0)).alias("best_rank"), F.col("best_rank").isNotNull().alias("hit"), F.coalesce(1.0 / F.col("best_rank"), F.lit(0.0)).alias("mrr"))
 
 
 def word_chunks(text: Column, size: int, step: int) -> Column:

@@ -43,7 +43,7 @@ def filtered_search(spark, sf_dir):
 
 @_register("retrieval_eval", _HITS + """, w AS (SELECT a.vec_id AS query_id, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND b.label = a.label AND b.vec_id % 3 = 0),
 f AS (SELECT query_id, min(rank) AS best_rank FROM r JOIN w USING (query_id, id) WHERE rank <= 10 GROUP BY query_id)
-SELECT DISTINCT query_id AS case_id, best_rank, best_rank IS NOT NULL AS hit, coalesce(1.0::DOUBLE / best_rank, 0.0) AS mrr FROM w LEFT JOIN f USING (query_id)""")
+SELECT DISTINCT query_id AS case_id, coalesce(best_rank, 0) AS best_rank, best_rank IS NOT NULL AS hit, coalesce(1.0::DOUBLE / best_rank, 0.0) AS mrr FROM w LEFT JOIN f USING (query_id)""")
 def retrieval_eval(spark, sf_dir):
     points = table(spark, sf_dir, "embeddings")
     asked = points.filter("vec_id < 20").select(F.col("vec_id").alias("case_id"), "label")
