@@ -261,6 +261,11 @@ def _cells(asked: bool):
             sets = [np.frombuffer(b, np.uint64) for b in rows["set"]]
             joined = rows["label"].to_numpy() if asked else key
             got = linked(sets, rows["prefix"].to_numpy(), rows["times"].to_numpy(), joined, rows["ask"].to_numpy(bool) if asked else None) if len(rows) > 1 else []
+            if not asked:  # stars: every document with the smallest of its component, the cell's rows being sorted by key
+                union = _Union(len(rows))
+                for i, j in got:
+                    union.join(i, j)
+                got = [(i, union.find(i)) for i in range(len(rows)) if union.find(i) != i]
             return pd.DataFrame({"a": key[[i for i, _ in got]].astype(np.int64), "b": key[[j for _, j in got]].astype(np.int64)})
 
         held: pd.DataFrame | None = None
@@ -293,8 +298,13 @@ def _reply(df: DataFrame, columns: list[str], part: int, dtype: str) -> DataFram
     return df.groupBy("block").applyInPandas(pack, "block long, part int, reply binary")
 
 
-def near_links(blocks: Blocks, reps: DataFrame, ws: Workspace) -> DataFrame:
-    """Links (a, b) between representatives' keys whose components are those of all links."""
+def _labels(stars: DataFrame) -> DataFrame:
+    """node, label from edges (member, smallest of its component)."""
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("label")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def near_labels(blocks: Blocks, reps: DataFrame, ws: Workspace) -> DataFrame:
+    """node, label of the representatives' keys that link: the smallest key of the component of all links."""
     block_of, row_of = F.shiftright("key", 16).alias("block"), F.col("key").bitwiseAND(0xFFFF).alias("row")
     picked = ws.save(_reply(reps.select(block_of, row_of), ["row"], PICKED, "int32"), "picked")
     totals = document_counts(blocks, _counts, picked).withColumn("part", (F.col("part") + TOTALS).cast("int"))
@@ -316,13 +326,13 @@ def near_links(blocks: Blocks, reps: DataFrame, ws: Workspace) -> DataFrame:
     within = ws.save(_solve(sets.withColumns({"u": F.lit(0).cast("long"), "s": s}), False), "within")
     large = sets.filter("g > 1")
     if large.isEmpty():
-        return within
+        return _labels(within)
     # Cells of a neighbourhood are joined by their components' smallest members, a neighbourhood's all in cells of their own.
-    local = components(within, ws, "local")
-    heads = large.join(local.filter("node = label").select(F.col("node").alias("key")), "key", "left_semi")
+    inner = within.join(large.select(F.col("key").alias("a")), "a", "left_semi")
+    heads = large.join(inner.select(F.col("b").alias("key")).distinct(), "key", "left_semi")
     many = heads.groupBy("nb").agg(F.ceil(F.count("*") / CELL_DOCS).cast("long").alias("h"))
     across = ws.save(_solve(heads.join(many, "nb").withColumns({"u": F.lit(1).cast("long"), "s": F.pmod(F.xxhash64("key", F.lit(1)), F.col("h"))}).drop("h"), False), "across")
-    joined = within.union(across)
+    joined = inner.union(across)
     label = components(joined, ws, "joined")
     named = large.select("key", "nb").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = ws.save(named, "named")
@@ -338,7 +348,9 @@ def near_links(blocks: Blocks, reps: DataFrame, ws: Workspace) -> DataFrame:
     # The asking row of a document sorts before its other one, so it is the one that stays in a cell.
     both = asking.select(columns).union(met.select(columns))
     outside = both.repartition("nb", "u", "s").sortWithinPartitions("nb", "u", "s", "key", F.desc("ask")).mapInPandas(_cells(True), "a long, b long")
-    return joined.union(ws.save(outside, "outside"))
+    whole = components(joined.union(ws.save(outside, "outside")), ws, "whole")
+    small = within.join(large.select(F.col("key").alias("a")), "a", "left_anti")
+    return _labels(small).union(whole)
 
 
 def classes(docs: DataFrame, name: str = "ngram") -> DataFrame:
@@ -347,15 +359,14 @@ def classes(docs: DataFrame, name: str = "ngram") -> DataFrame:
     with Blocks(docs, name) as blocks:
         rows = ws.save(blocks.map(_describe, "key long, doc_id long, n long, sig binary"), "rows")
         reps = ws.save(rows.filter("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "reps")
-        links = ws.save(near_links(blocks, reps, ws), "links")
-    label = components(links, ws, "final").withColumnRenamed("node", "key")
+        label = ws.save(near_labels(blocks, reps, ws), "labels").withColumnRenamed("node", "key")
     of = reps.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
     found = of.join(least, "label").select("sig", "component_id")
     out = rows.join(found, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     out = ws.save(out.select(null("doc_id"), "n_shingles", null("component_id")), "out")
-    ws.drop("rows", "reps", "links", "sets", "near", "within", "totals", "picked", "place")
+    ws.drop("rows", "reps", "labels", "sets", "near", "within", "totals", "picked", "place")
     return out
 
 
