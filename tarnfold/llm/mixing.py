@@ -20,10 +20,11 @@ names and values.
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,49 +59,58 @@ def word_count(words: Column) -> Column:
     return (F.size(words) - ends).cast("long")
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[list[float], dict[str, list[float]]]:
-    """Intercepts and each feature's weights per domain, from at most SAMPLE labelled documents."""
+def terms_of(words: Column, text: Column) -> Column:
+    """What the classifier sees of a text: its words and its outward form."""
+    return F.concat(words, shape_of(text))
+
+
+@dataclass(frozen=True)
+class Classifier:
+    """Posteriors over domains. Without a fit they are the prior."""
+
+    prior: list[float]
+    vectors: CountVectorizerModel | None = None
+    fitted: LogisticRegressionModel | None = None
+    places: tuple[int, ...] = ()  # of each domain among the fitted classes, -1 if it had no documents
+
+    def with_posterior(self, rows: DataFrame) -> DataFrame:
+        """rows (with columns words and text) and p, an array<double>; all of it in the row, no shuffle."""
+        if self.fitted is None:
+            return rows.withColumn("p", F.lit(self.prior))
+        found = self.fitted.transform(self.vectors.transform(rows.withColumn("terms", terms_of(F.col("words"), F.col("text")))))
+        of = F.array(*[F.col("_of")[i] if i >= 0 else F.lit(0.0) for i in self.places])
+        return found.withColumn("_of", vector_to_array("probability")).withColumn("p", of).drop("terms", "features", "probability", "_of")
+
+
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], ws: Workspace) -> Classifier:
+    """A classifier from at most SAMPLE labelled documents, whose distinct terms are written once."""
     sample = labelled.filter(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # a bounded table of two narrow columns
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", F.concat(F.array_distinct(F.filter(tokens_of(F.col("text")), lambda w: w != "")), shape_of(F.col("text"))).alias("words"))
-    each = rows.select("domain", F.explode(F.array_append("words", F.lit("#all"))).alias("word")).filter(F.length("word") <= 64)
+    text = F.col("text")
+    terms = F.concat(F.array_distinct(F.filter(tokens_of(text), lambda w: w != "")), shape_of(text))
+    rows = ws.save(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", terms.alias("terms")), "labelled")
+    each = rows.select("domain", F.explode(F.array_append("terms", F.lit("#all"))).alias("word")).filter(F.length("word") <= 64)
     per = each.groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)])
-    totals = per.filter("word = '#all'").collect()
-    if not totals:
-        return [0.0] * len(domains), {}
-    size = [totals[0][f"n{i}"] for i in range(len(domains))]
+    totals = rows.agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)]).first()
+    size = [totals[f"n{i}"] for i in range(len(domains))]
     n = sum(size)
+    prior = [(c + 1) / (n + len(domains)) for c in size]
+    if sum(c > 0 for c in size) < 2:
+        return Classifier(prior)
     seen = sum(F.col(f"n{i}") for i in range(len(domains)))
     # How far a word's counts lie from what the domains' sizes give (the G statistic).
     gain = sum(F.col(f"n{i}") * F.log((F.col(f"n{i}") + 0.1) / (seen * (size[i] / n) + 0.1)) for i in range(len(domains)))
     best = [r["word"] for r in per.filter((F.col("word") != "#all") & (seen >= LEAST_DOCS)).select("word", gain.alias("gain")).orderBy(F.desc("gain"), "word").limit(WORDS).collect()]
-    if not best or sum(c > 0 for c in size) < 2:
-        return [math.log((c + 1) / (n + len(domains))) for c in size], {}
-    vectors = CountVectorizerModel.from_vocabulary(best, inputCol="words", outputCol="features")
+    if not best:
+        return Classifier(prior)
+    vectors = CountVectorizerModel.from_vocabulary(best, inputCol="terms", outputCol="features")
     vectors.setBinary(True)
-    of = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(float(i)))])
-    table = vectors.transform(rows.select(F.element_at(of, F.col("domain")).alias("label"), "words"))
+    held = [d for d, c in zip(domains, size, strict=True) if c]
+    label = F.create_map(*[x for i, d in enumerate(held) for x in (F.lit(d), F.lit(float(i)))])
+    table = vectors.transform(rows.select(F.element_at(label, F.col("domain")).alias("label"), "terms"))
     fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=25, standardization=False).fit(table)
-    inter, coef = fitted.interceptVector.toArray(), fitted.coefficientMatrix.toArray()
-    k = len(inter)  # classes up to the greatest that occurs
-    far = [float(inter[i]) if i < k and size[i] else -50.0 for i in range(len(domains))]
-    return far, {w: [float(coef[i, j]) if i < k else 0.0 for i in range(len(domains))] for j, w in enumerate(best)}
-
-
-def posterior(words: Column, text: Column, model: tuple[list[float], dict[str, list[float]]]) -> Column:
-    """array<double> of the domains' posteriors; one expression of the row, no shuffle."""
-    prior, weights = model
-    if not weights:
-        total = sum(math.exp(x) for x in prior)
-        return F.lit([math.exp(x) / total for x in prior])
-    table = F.create_map(*[x for w, v in weights.items() for x in (F.lit(w), F.lit(v))])
-    hits = F.concat(F.array_intersect(words, F.lit(list(weights))), F.filter(shape_of(text), lambda w: w.isin(list(weights))))
-    logit = F.aggregate(hits, F.lit(prior), lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
-    return F.aggregate(
-        F.array(logit), F.lit([0.0] * len(prior)),
-        lambda _, z: F.transform(z, lambda x: F.exp(x - F.array_max(z))),
-        lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)),
-    )
+    fitted.setPredictionCol("").setRawPredictionCol("")
+    return Classifier(prior, vectors, fitted, tuple(held.index(d) if d in held else -1 for d in domains))
 
 
 def fit_rates(members: DataFrame, k: int, shares: list[float], ws: Workspace) -> list[list[float]]:
@@ -129,25 +139,28 @@ def fit_rates(members: DataFrame, k: int, shares: list[float], ws: Workspace) ->
 
 
 def rate_of(p: Column, steps: list[list[float]], start: Column | None = None) -> Column:
-    """The rate after the steps. They are one array literal, so that every round runs the same compiled code."""
+    """The rate after the steps. They are one array literal, so that every round runs the same compiled code.
+
+    p is bound once: an expression in its place is not evaluated again at every step.
+    """
     rate = F.lit(1.0) if start is None else start
     if not steps:
         return rate
-    return F.aggregate(F.lit(steps), rate, lambda r, s: F.greatest(F.lit(0.0), r - sum(p[i] * s[i] for i in range(len(steps[0])))))
+    taken = F.transform(F.array(p), lambda v: F.aggregate(F.lit(steps), rate, lambda r, s: F.greatest(F.lit(0.0), r - sum(v[i] * s[i] for i in range(len(steps[0]))))))
+    return taken[0]
 
 
-def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None, name: str, natural_except: str | None = None) -> tuple[DataFrame, Column, Column]:
-    """(narrow table of members, posterior of columns words and text, rate of a posterior p).
+def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], name: str, natural_except: str | None = None) -> tuple[DataFrame, Classifier, Column]:
+    """(narrow table of members, the classifier, rate of a posterior p).
 
     targets gives the domains' weights. With natural_except, targets are the domains'
     present tokens, that domain's 0.
     """
     ws = Workspace(docs.sparkSession, name)
     domains = sorted(targets)
-    model = train(docs, labelled, domains)
-    p = posterior(F.col("words"), F.col("text"), model)
-    rows = docs.select("doc_id", "text", tokens_of(F.col("text")).alias("words"))
-    members = ws.save(rows.select("doc_id", word_count(F.col("words")).alias("n"), p.alias("p")), "members")
+    model = train(docs, labelled, domains, ws)
+    rows = model.with_posterior(docs.select("doc_id", "text", tokens_of(F.col("text")).alias("words")))
+    members = ws.save(rows.select("doc_id", word_count(F.col("words")).alias("n"), "p"), "members")
     if natural_except is not None:
         got = members.agg(*[F.sum(F.col("n") * F.col("p")[i]).alias(f"s{i}") for i in range(len(domains))]).first()
         mass = [got[f"s{i}"] or 0.0 for i in range(len(domains))]
@@ -155,7 +168,7 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     else:
         weight = sum(targets.values())
         shares = [targets[d] / weight for d in domains]
-    return members, p, rate_of(F.col("p"), fit_rates(members, len(domains), shares, ws))
+    return members, model, rate_of(F.col("p"), fit_rates(members, len(domains), shares, ws))
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -176,6 +189,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, name: str = "mix") -> DataFrame:
     """Rows of docs whose rate rounds to one copy or more when toxic tokens are mixed out and the rest stay as they are; columns unchanged."""
-    _, p, rate = rates(docs, domain_labels(labels), TARGETS, name, natural_except="toxic")
+    _, model, rate = rates(docs, domain_labels(labels), TARGETS, name, natural_except="toxic")
     rows = docs.select(F.struct("*").alias("doc"), "text", tokens_of(F.col("text")).alias("words"))
-    return rows.select("doc", p.alias("p")).filter(rate >= least).select("doc.*")
+    return model.with_posterior(rows).filter(rate >= least).select("doc.*")
