@@ -283,6 +283,27 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def test_decontamination_of_many_items(spark):
+    rng = random.Random(16)
+    alphabet = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(4000)]
+    text = lambda n: " ".join(rng.choice(alphabet) for _ in range(n))
+    items = [(i, text(rng.randrange(20, 70))) for i in range(12 * decontaminate.RANK)]
+    leaks = rng.sample(range(len(items)), 120)
+
+    def reworded(k):
+        w = items[k][1].split()
+        for at in rng.sample(range(len(w)), len(w) // 6):
+            w[at] = rng.choice(alphabet)
+        return " ".join(w)
+
+    leaky = [(1000 + n, text(rng.randrange(60)) + " " + (reworded(k) if n % 2 else items[k][1]) + " " + text(rng.randrange(60))) for n, k in enumerate(leaks)]
+    frame = spark.createDataFrame([(i, text(200)) for i in range(100)] + leaky, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in decontaminate.contamination(frame, bench).collect() if r["contaminated"]}
+    assert sum(got.get(1000 + n) == k for n, k in enumerate(leaks)) >= 0.9 * len(leaks)
+    assert not any(i < 1000 for i in got)
+
+
 def test_lcs():
     rng = random.Random(8)
     for _ in range(50):
