@@ -30,22 +30,24 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     base, seq = TaskContext.get().partitionId() << 24, 0
     texts: list[bytes] = []
     ids: list[int] = []
+    rows: list[int] = []
     size = 0
 
     def out() -> pd.DataFrame:
         starts = np.cumsum([0, *map(len, texts)]).astype(np.int64)
-        rows = np.arange(len(texts), dtype=np.int64)
-        return pd.DataFrame({"block": [base + seq], "rows": [rows.tobytes()], "ids": [np.array(ids, np.int64).tobytes()], "starts": [starts.tobytes()], "text": [b"".join(texts)]})
+        return pd.DataFrame({"block": [base + seq], "rows": [np.array(rows, np.int64).tobytes()], "ids": [np.array(ids, np.int64).tobytes()], "starts": [starts.tobytes()], "text": [b"".join(texts)]})
 
     for pdf in batches:
-        for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+        for i, t, r in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["row"].tolist(), strict=True):
             b = t.encode("utf-8", "surrogatepass") if t is not None else b""
             if texts and (size + len(b) > BLOCK_BYTES or len(texts) == BLOCK_ROWS):
                 yield out()
                 seq, size = seq + 1, 0
                 texts.clear()
                 ids.clear()
+                rows.clear()
             texts.append(b)
+            rows.append(r)
             ids.append(NO_ID if i is None or i != i else int(i))
             size += len(b)
     if texts:
@@ -53,12 +55,12 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Blocks:
-    """A bucketed table of blocks in the warehouse; use as a context manager."""
+    """A bucketed table of blocks in the warehouse; use as a context manager. row, a long column of docs, travels along as each document's `rows`."""
 
-    def __init__(self, docs: DataFrame, name: str) -> None:
+    def __init__(self, docs: DataFrame, name: str, row: str | None = None) -> None:
         self.spark: SparkSession = docs.sparkSession
         self.table = f"tarnfold_{name}_{uuid.uuid4().hex}"
-        packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_pack, SCHEMA)
+        packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row") if row else F.lit(0).cast("long").alias("row")).mapInPandas(_pack, SCHEMA)
         self.buckets = max(1, min(20_000, docs.rdd.getNumPartitions()))
         packed.write.option("compression", "zstd").bucketBy(self.buckets, "block").saveAsTable(self.table)
         self.count = self.spark.table(self.table).select("block").count()

@@ -98,7 +98,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = opened(row)[0]
             h, b = shingle_sets(row)
             sigs = [hashlib.blake2b(h[b[i] : b[i + 1]].tobytes(), digest_size=16).digest() for i in range(len(ids))]
-            yield pd.DataFrame({"key": (row.block << 16) + np.arange(len(ids)), "doc_id": ids, "n": np.diff(b), "sig": sigs})
+            yield pd.DataFrame({"key": (row.block << 16) + np.arange(len(ids)), "row": np.frombuffer(row.rows, np.int64), "doc_id": ids, "n": np.diff(b), "sig": sigs})
 
 
 def _picked_sets(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -353,20 +353,27 @@ def near_labels(blocks: Blocks, reps: DataFrame, ws: Workspace) -> DataFrame:
     return _labels(small).union(whole)
 
 
-def classes(docs: DataFrame, name: str = "ngram") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
-    ws = Workspace(docs.sparkSession, name)
-    with Blocks(docs, name) as blocks:
-        rows = ws.save(blocks.map(_describe, "key long, doc_id long, n long, sig binary"), "rows")
+def _classed(docs: DataFrame, ws: Workspace, name: str, row: str | None = None) -> DataFrame:
+    """row, doc_id (NO_ID if null), n_shingles, class and component_id of every row of docs; class is null without shingles."""
+    with Blocks(docs, name, row) as blocks:
+        rows = ws.save(blocks.map(_describe, "key long, row long, doc_id long, n long, sig binary"), "rows")
         reps = ws.save(rows.filter("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "reps")
         label = ws.save(near_labels(blocks, reps, ws), "labels").withColumnRenamed("node", "key")
     of = reps.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = of.join(least, "label").select("sig", "component_id")
-    out = rows.join(found, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = of.join(least, "label").select("sig", F.col("label").alias("class"), "component_id")
+    return rows.join(found, "sig", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+_TABLES = ["rows", "reps", "labels", "sets", "near", "within", "totals", "picked", "place"]
+
+
+def classes(docs: DataFrame, name: str = "ngram") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    ws = Workspace(docs.sparkSession, name)
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    out = ws.save(out.select(null("doc_id"), "n_shingles", null("component_id")), "out")
-    ws.drop("rows", "reps", "labels", "sets", "near", "within", "totals", "picked", "place")
+    out = ws.save(_classed(docs, ws, name).select(null("doc_id"), "n_shingles", null("component_id")), "out")
+    ws.drop(*_TABLES)
     return out
 
 
@@ -375,15 +382,19 @@ def op5_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, name: str = "ngram") -> DataFrame:
-    """One row of each class of near copies: that of the smallest id (of rows with that id, any one); columns unchanged.
+    """One row of each class of near copies: that of the smallest id, of several with that id the first read; columns unchanged.
 
-    The text is dealt once, by id; only ids that repeat are made unique after.
+    Rows are told apart by a number of their own, never by id: rows of one id (or of
+    none) with unrelated texts are classes of their own and all stay, as does every row
+    without shingles. docs is written once with the numbers, since a second evaluation
+    might deal rows in another order.
     """
     ws = Workspace(docs.sparkSession, f"{name}_first")
-    found = classes(docs, name)
-    first = ws.save(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_times")), "first")
-    same = docs["doc_id"].eqNullSafe(F.col("_kept"))
-    if first.filter("_times > 1").isEmpty():
-        return docs.join(first, same, "left_semi")
-    once = docs.join(first.filter("_times = 1"), same, "left_semi")
-    return once.union(docs.join(first.filter("_times > 1"), same, "left_semi").dropDuplicates(["doc_id"]))
+    number = "_tarnfold_row"
+    keyed = ws.save(docs.withColumn(number, F.monotonically_increasing_id()), "keyed")
+    work = Workspace(docs.sparkSession, name)
+    found = work.save(_classed(keyed, work, name, number).select("row", "doc_id", "class"), "out")
+    work.drop(*_TABLES)
+    first = found.filter("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias(number))
+    kept = ws.save(first.union(found.filter("class is null").select(F.col("row").alias(number))), "kept")
+    return keyed.join(kept, number, "left_semi").drop(number)

@@ -115,6 +115,21 @@ def test_ngram_join_of_nothing(empty):
     assert ngram_join.classes(empty).count() == 0
 
 
+def test_keep_first_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(15)
+    a, b, *other = [english(rng, 60) for _ in range(8)]
+    near = lambda t: t + " end"
+    rows = [(1, near(b)), (5, a), (5, b)]  # an id that is first of one class and a near copy of a smaller id in another
+    rows += [(7, t) for t in other[:3]] + [(None, t) for t in other[3:]] + [(None, near(other[3])), (9, None), (9, "")]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string").repartition(3)
+    got = ngram_join.keep_first(frame)
+    assert got.columns == frame.columns
+    got = [(r["doc_id"], r["text"]) for r in got.collect()]
+    want = [r for r in rows if r not in ((5, b), (None, other[3]), (None, near(other[3])))]
+    one = [r for r in got if r[1] in (other[3], near(other[3]))]
+    assert len(one) == 1 and sorted(map(repr, got)) == sorted(map(repr, [*want, *one]))
+
+
 def test_suffix_dedup(spark, docs, rows, empty):
     seen, want = {}, []
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
