@@ -2,26 +2,31 @@
 
 Records hash into a fixed, large number of virtual slots. Bytes are aggregated per
 slot (a table of at most `n_slots` rows, whatever the corpus), and a versioned
-slot-to-shard map is stored and edited: rebalancing moves few slots between shards
-and never rehashes a record.
+slot-to-shard map is stored and edited: rebalancing starts from the newest stored map,
+moves few slots between shards and never rehashes a record.
 
-Defined cases: a null text counts as no bytes; a null id hashes like any value (all
-to one slot); repeated rows are separate records in the same slot; an empty table
-gives an empty result and the initial map; columns of the input named like an output
-column are replaced.
+A record's slot is a hash of its id. Records of one id are spread over `COPIES` slots by
+a row number if the id is null or occurs more than `HOT` times, so that a hot id is neither one slot nor one task; which ids are hot follows from
+counts over all records and changes no other record's slot.
+
+Defined cases: a null text counts as no bytes; null ids are spread like a hot id;
+repeated rows are separate records; an empty table gives an empty result and the
+initial map; columns of the input named like an output column are replaced.
 """
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfold.llm.workspace import Workspace
 
 N_SLOTS = 4096
+HOT, COPIES = 64, 1024  # copies of an id from which it is spread, and over how many slots
+RANKED = 1 << 14  # records of a slot that are ranked together, on average
 
 
 @dataclass(frozen=True)
@@ -45,42 +50,60 @@ def initial_map(n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
     return SlotMap(0, n_shards, tuple(slot * n_shards // n_slots for slot in range(n_slots)))
 
 
+def _nearest(ordered: list[tuple[int, int]], wanted: float) -> tuple[int, int] | None:
+    """The (weight, slot) of a sorted list whose weight is nearest to the one wanted."""
+    i = bisect_left(ordered, (wanted, -1))
+    return min(ordered[max(0, i - 1) : i + 1], key=lambda x: (abs(x[0] - wanted), x), default=None)
+
+
+def _best_swap(heavy: list[tuple[int, int]], light: list[tuple[int, int]], gap: int) -> tuple[tuple[int, int], tuple[int, int]] | None:
+    """Slots of two shards, sorted by weight, whose exchange brings the shards closest."""
+    best = None
+    for a in heavy:
+        b = _nearest(light, a[0] - gap / 2)
+        if b and 0 < a[0] - b[0] < gap and (best is None or abs(a[0] - b[0] - gap / 2) < abs(best[0][0] - best[1][0] - gap / 2)):
+            best = a, b
+    return best
+
+
 def rebalance(current: SlotMap, weight: dict[int, int], tolerance: float = 0.0005) -> SlotMap:
     """Move slots from the heaviest to the lightest shard until they differ by at most the tolerance of a mean shard.
 
     Each move takes the slot whose weight is nearest to half of the gap, so it always
-    narrows it; when no single slot can, a swap of two slots is tried, then it stops.
+    narrows it; when no single slot can, the best swap of two slots is made; without
+    one it stops.
     """
     shards = list(current.shards)
-    members: list[set[int]] = [set() for _ in range(current.n_shards)]
-    for slot, w in weight.items():
+    members: list[list[tuple[int, int]]] = [[] for _ in range(current.n_shards)]
+    for slot, w in sorted(weight.items()):
         if w > 0:
-            members[shards[slot]].add(slot)
-    load = [sum(weight[s] for s in m) for m in members]
+            insort(members[shards[slot]], (w, slot))
+    load = [sum(w for w, _ in m) for m in members]
     allowed = max(1.0, tolerance * sum(load) / max(1, len(load)))
+
+    def give(item: tuple[int, int], src: int, dst: int) -> None:
+        members[src].remove(item)
+        insort(members[dst], item)
+        load[src] -= item[0]
+        load[dst] += item[0]
+        shards[item[1]] = dst
+
     for _ in range(20 * len(shards)):
         order = sorted(range(len(load)), key=lambda k: (load[k], k))
         heavy, gave = order[-1], False
+        if load[heavy] - load[order[0]] <= allowed:
+            break
         for light in order[:-1]:
             gap = load[heavy] - load[light]
-            if gap <= allowed:
-                break
-            best = min(members[heavy], key=lambda s: (abs(weight[s] - gap / 2), s), default=None)
-            moves = [(best, None)] if best is not None and weight[best] < gap else []
-            if not moves:
-                light_slots = heapq.nsmallest(64, members[light], key=lambda s: (-weight[s], s))
-                pairs = ((a, b) for a in heapq.nsmallest(64, members[heavy], key=lambda s: (weight[s], s)) for b in light_slots)
-                swap = min(pairs, key=lambda p: (abs(weight[p[0]] - weight[p[1]] - gap / 2), p), default=None)
-                moves = [swap] if swap and 0 < weight[swap[0]] - weight[swap[1]] < gap else []
-            if moves:
-                a, b = moves[0]
-                for slot, src, dst in ((a, heavy, light), *([(b, light, heavy)] if b is not None else [])):
-                    members[src].remove(slot)
-                    members[dst].add(slot)
-                    load[src] -= weight[slot]
-                    load[dst] += weight[slot]
-                    shards[slot] = dst
+            one = _nearest(members[heavy], gap / 2)
+            if one and one[0] < gap:
+                give(one, heavy, light)
+                gave = True
+            elif two := _best_swap(members[heavy], members[light], gap):
+                give(two[0], heavy, light)
+                give(two[1], light, heavy)
                 gave = True
+            if gave:
                 break
         if not gave:
             break
@@ -103,22 +126,33 @@ def grow(current: SlotMap, weight: dict[int, int]) -> SlotMap:
     return SlotMap(current.version + 1, new + 1, tuple(shards), moved)
 
 
-def map_frame(spark: SparkSession, m: SlotMap) -> DataFrame:
-    rows = [(m.version, m.n_shards, slot, shard) for slot, shard in enumerate(m.shards)]
-    return spark.createDataFrame(rows, "version int, n_shards int, vslot int, shard int")
+_MAP = "n_shards int, vslot int, shard int"
 
 
 def store_map(spark: SparkSession, m: SlotMap, path: str) -> None:
     """Each version is a folder of its own and is never changed after."""
-    map_frame(spark, m).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={m.version}")
+    rows = [(m.n_shards, slot, shard) for slot, shard in enumerate(m.shards)]
+    spark.createDataFrame(rows, _MAP).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={m.version}")
+
+
+def stored_versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions stored at path, in order; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    found = [f.getPath() for f in store.listStatus(folder)]
+    whole = [p for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]  # a write that was cut short has none
+    return sorted(int(p.getName().removeprefix("version=")) for p in whole)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
     """The version asked for, or the newest."""
-    df = spark.read.parquet(path)
-    if version is None:
-        version = df.agg(F.max("version")).first()[0]
-    rows = sorted((r["vslot"], r["shard"], r["n_shards"]) for r in df.filter(F.col("version") == version).collect())
+    known = stored_versions(spark, path)
+    version = known[-1] if version is None and known else version
+    if version not in known:
+        raise ValueError(f"no version {version} of the slot map at {path}; stored are {known}")
+    rows = sorted((r["vslot"], r["shard"], r["n_shards"]) for r in spark.read.schema(_MAP).parquet(f"{path}/version={version}").collect())
     return SlotMap(version, rows[0][2], tuple(r[1] for r in rows))
 
 
@@ -130,57 +164,81 @@ def virtual_slot(key: Column, n_slots: int = N_SLOTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
 
 
-def slot_loads(docs: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS) -> list:
-    """(vslot, bytes, records) of each slot that has any: at most n_slots rows."""
-    per = docs.select(virtual_slot(F.col(key), n_slots).alias("vslot"), record_size(F.col(text)).alias("size"))
-    return per.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("records")).collect()
-
-
-def balanced_map(docs: DataFrame, n_shards: int = 8, path: str | None = None) -> SlotMap:
-    """Versions 0 and 1 of the map of docs; both are stored when a path is given."""
-    first = initial_map(n_shards)
-    second = rebalance(first, {r["vslot"]: r["bytes"] for r in slot_loads(docs)})
+def with_slot(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """docs with vslot. Hot ids are a table of at most a HOT-th of the rows, and joined only if there are any."""
+    home = virtual_slot(F.col("doc_id"), n_slots)
+    spread = F.pmod(home + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(COPIES)), F.lit(n_slots)).cast("int")
+    hot = docs.filter("doc_id is not null").groupBy("doc_id").count().filter(F.col("count") > HOT).select("doc_id", F.lit(True).alias("_hot"))
+    docs = docs.drop("vslot")
+    if hot.isEmpty():
+        return docs.withColumn("vslot", F.when(F.col("doc_id").isNull(), spread).otherwise(home))
+    return docs.join(hot, "doc_id", "left").withColumn("vslot", F.when(F.col("doc_id").isNull() | F.col("_hot"), spread).otherwise(home)).select(*docs.columns, "vslot")
+
+
+def slot_loads(slotted: DataFrame) -> list:
+    """(vslot, bytes, records) of each slot that has any: at most n_slots rows. slotted has vslot and size."""
+    return slotted.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("records")).collect()
+
+
+def updated_map(spark: SparkSession, loads: list, n_shards: int, path: str | None, n_slots: int = N_SLOTS) -> SlotMap:
+    """The newest stored map, or the initial one, rebalanced for the loads; stored as the next version when a path is given."""
+    known = stored_versions(spark, path) if path else []
+    first = load_map(spark, path) if known else initial_map(n_shards, n_slots)
+    while first.n_shards < n_shards:
+        first = grow(first, {r["vslot"]: r["bytes"] for r in loads})
+    if path and not known:
+        store_map(spark, first, path)
+    if not loads:
+        return first
+    second = rebalance(first, {r["vslot"]: r["bytes"] for r in loads})
     if path:
-        for m in (first, second):
-            store_map(docs.sparkSession, m, path)
+        store_map(spark, second, path)
     return second
 
 
-def with_shard(docs: DataFrame, m: SlotMap) -> DataFrame:
-    """docs with vslot and shard; no shuffle, the map is n_slots literals."""
-    shard_of = F.lit(list(m.shards)).cast("array<int>")
+def shard_of(m: SlotMap) -> Column:
+    """The shard of vslot; the map is n_slots literals."""
+    return F.element_at(F.lit(list(m.shards)).cast("array<int>"), F.col("vslot") + 1)
+
+
+def assign_shards(docs: DataFrame, n_shards: int, map_path: str, ws: Workspace) -> DataFrame:
+    """docs with vslot and shard. Slots are written once, since a hot id's row numbers may differ in a second evaluation."""
     kept = docs.drop("vslot", "shard")
-    return kept.withColumn("vslot", virtual_slot(F.col("doc_id"), len(m.shards))).withColumn("shard", F.element_at(shard_of, F.col("vslot") + 1))
+    slotted = ws.save(with_slot(kept), "slotted")
+    m = updated_map(docs.sparkSession, slot_loads(slotted.select("vslot", record_size(F.col("text")).alias("size"))), n_shards, map_path)
+    return slotted.withColumn("shard", shard_of(m))
 
 
-def shard_records(docs: DataFrame, n_shards: int = 8, map_path: str | None = None) -> DataFrame:
+def shard_records(docs: DataFrame, n_shards: int = 8, map_path: str | None = None, name: str = "shards") -> DataFrame:
     """Every record with its shard and its place in the shard, gapless from 0.
 
-    A place is the records in earlier slots of the shard plus the rank within the slot,
-    so ranks are taken in n_slots groups and no task orders a whole shard.
+    Records are ranked in groups of about RANKED: a slot's records are dealt into
+    as many groups as its count asks for, so no task orders a whole shard or slot. A place
+    is the records of the shard's groups before plus the rank in the group.
     """
     spark = docs.sparkSession
-    loads = slot_loads(docs)
-    m = rebalance(initial_map(n_shards), {r["vslot"]: r["bytes"] for r in loads})
-    if map_path:
-        store_map(spark, m, map_path)
-    count = {r["vslot"]: r["records"] for r in loads}
-    before, start = [0] * n_shards, []
-    for slot, shard in enumerate(m.shards):
-        start.append(before[shard])
-        before[shard] += count.get(slot, 0)
-    rows = docs.select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    rows = with_shard(rows, m)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    offset = F.element_at(F.lit(start).cast("array<bigint>"), F.col("vslot") + 1)
-    return rows.withColumn("slot", offset + F.row_number().over(order) - 1)
+    ws = Workspace(spark, name)
+    rows = docs.select("doc_id", "text")
+    rows = with_slot(rows).select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "vslot", F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+    rows = ws.save(rows, "slotted")
+    loads = slot_loads(rows)
+    m = updated_map(spark, loads, n_shards, map_path)
+    groups = [1] * len(m.shards)
+    for r in loads:
+        groups[r["vslot"]] = -(-r["records"] // RANKED)
+    part = F.pmod("salt", F.element_at(F.lit(groups).cast("array<int>"), F.col("vslot") + 1)).cast("int")
+    rows = rows.withColumns({"shard": shard_of(m), "part": part})
+    held = rows.groupBy("shard", "vslot", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select("vslot", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size"))
+    ranked = rows.withColumn("rank", rank)
+    return ranked.join(starts, ["vslot", "part"]).select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("start") + F.col("rank") - 1).alias("slot"))
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ws = Workspace(spark, "op10")
-    return shard_records(docs, 8, f"{ws.path}/slot_map").select(
+    ws = Workspace(spark, "op10_map")
+    return shard_records(docs, 8, f"{ws.path}/slot_map", "op10").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot"
     )

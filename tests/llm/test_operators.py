@@ -331,18 +331,41 @@ def test_lcs():
 
 
 def test_sharding(spark, docs, rows, empty, tmp_path):
-    got = sharding.shard_records(docs, 8, f"file://{tmp_path}/map").collect()
+    path = f"file://{tmp_path}/map"
+    got = sharding.shard_records(docs, 8, path).collect()
     assert len(got) == len(rows)
-    load, slots = Counter(), {}
+    load, slots, home = Counter(), {}, {}
     for r in got:
         load[r["shard"]] += r["size"]
         slots.setdefault(r["shard"], []).append(r["slot"])
+        assert home.setdefault(r["vslot"], r["shard"]) == r["shard"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(load.values()) - min(load.values()) < 30_000  # one text of 4,000 words
-    assert {r["doc_id"]: r["text_crc32"] for r in got}[66] == zlib.crc32(b"one two")
-    first, second = sharding.load_map(spark, f"file://{tmp_path}/map", 0), sharding.load_map(spark, f"file://{tmp_path}/map")
-    assert (first.version, second.version) == (0, 1)
-    assert sharding.shard_records(empty).count() == 0
+    want = sorted((-1 if i is None else i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    assert sharding.stored_versions(spark, path) == [0, 1]
+    first, second = sharding.load_map(spark, path, 0), sharding.load_map(spark, path)
+    assert (first.version, second.version) == (0, 1) and first.shards == sharding.initial_map(8).shards
+    with pytest.raises(ValueError, match="no version 7"):
+        sharding.load_map(spark, path, 7)
+    sharding.shard_records(docs.filter("doc_id < 30"), 8, path).collect()  # edits the newest map
+    third = sharding.load_map(spark, path)
+    assert third.version == 2 and sum(a != b for a, b in zip(second.shards, third.shards)) < 60
+    assert sharding.shard_records(empty, 8, f"file://{tmp_path}/none").count() == 0
+    assert sharding.load_map(spark, f"file://{tmp_path}/none").shards == sharding.initial_map(8).shards
+
+
+def test_a_hot_id_is_spread_over_shards(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "RANKED", 3)
+    rows = [(7 if i % 3 else None, f"text {i}") for i in range(600)] + [(i, "other text") for i in range(100, 400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sharding.shard_records(frame, 8, f"file://{tmp_path}/map").collect()
+    load, slots = Counter(), {}
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sum(len(s) for s in slots.values()) == 900 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(load.values()) - min(load.values()) <= 64
 
 
 def test_maps_move_few_slots():
