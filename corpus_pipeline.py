@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their virtual slot and shard, near-equal in bytes."""
     ws = Workspace(spark, "pipeline_shards")
-    return sharding.with_shard(docs, sharding.balanced_map(docs, 8, f"{ws.path}/slot_map"))
+    return sharding.assign_shards(docs, 8, f"{ws.path}/slot_map", ws)
 
 
 STAGES: list[tuple[str, Stage]] = [
