@@ -3,9 +3,12 @@
 A classifier learnt from a table of labelled documents gives every document its
 posterior over domains. Projected-gradient least squares then finds nonnegative rates
 so that, over all documents, rate * tokens * posterior sums to each domain's target.
-A gradient needs only the domains' sums, so a round is one aggregate over a narrow
-table and moves a handful of numbers; a document's rate is a function of its posterior
-and the rounds' steps. DataFrame functions only.
+The gaps are weighed by the inverse of the posteriors' second moments, so that steps
+are about 1 long. A gradient needs only the domains' sums, so a
+round is one aggregate over a narrow table and moves a handful of numbers; a document's
+rate is a function of its posterior and the rounds' steps. Rounds go on until every
+domain is within `CLOSE` of its target, or, where no rates reach the targets, until a
+round no longer helps; the gap that is left is returned. DataFrame functions only.
 
 The classifier is a multinomial logistic regression on the `WORDS` most telling words
 and shape features, fit on at most `SAMPLE` labelled documents (documented bound, chosen by
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -30,9 +34,11 @@ from pyspark.sql import functions as F
 
 from tarnfold.llm.workspace import Workspace
 
-SAMPLE, WORDS, LEAST_DOCS = 20_000, 256, 8
-PENALTY = 0.001
-STEP, ROUNDS, SAVE_EVERY, CLOSE = 1.5, 20, 10, 1e-4
+SAMPLE, WORDS, LEAST_DOCS = 20_000, 1024, 8
+PENALTY, FIT_ROUNDS = 0.001, 100  # the fit ends before by its own tolerance
+AMISS = 0.3  # a word of the domain tells in a short text too; the posteriors of other documents lie below
+CLOSE, HELPS, SAVE_EVERY = 1e-3, 0.995, 10
+SHORTER, LONGER = (0.4, 0.15, 0.05), (1.0, 8.0)
 
 
 def _share(part: Column, whole: Column, cuts: list[float], name: str) -> Column:
@@ -108,34 +114,64 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], ws: Workspac
     held = [d for d, c in zip(domains, size, strict=True) if c]
     label = F.create_map(*[x for i, d in enumerate(held) for x in (F.lit(d), F.lit(float(i)))])
     table = vectors.transform(rows.select(F.element_at(label, F.col("domain")).alias("label"), "terms"))
-    fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=25, standardization=False).fit(table)
+    fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=FIT_ROUNDS, standardization=False).fit(table)
     fitted.setPredictionCol("").setRawPredictionCol("")
     return Classifier(prior, vectors, fitted, tuple(held.index(d) if d in held else -1 for d in domains))
 
 
-def fit_rates(members: DataFrame, k: int, shares: list[float], ws: Workspace) -> list[list[float]]:
-    """Steps of projected gradient descent from rate 1 on half the squared gaps, each over its domain's tokens.
-
-    members has n (tokens) and p (posteriors). Every SAVE_EVERY rounds the rates so far
-    are written, so that expressions stay short.
+def _sums(members: DataFrame, rates: list[Column], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each column of rates, each domain's tokens, and the second moments of the posteriors of the documents with a rate above 0, by tokens."""
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    held = members.select("n", "p", *[r.alias(f"r{c}") for c, r in enumerate(rates)])
+    p, n = [F.col("p")[i] for i in range(k)], F.col("n")
+    sums = [x for c in range(len(rates)) for r in [F.col(f"r{c}")] for x in (*[n * r * y for y in p], *[F.when(r > 0, n * p[i] * p[j]) for i, j in pairs])]
+    got = iter(held.agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(sums)]).first())
+    out = []
+    for _ in rates:
+        tokens, moments = np.array([next(got) or 0.0 for _ in range(k)]), np.zeros((k, k))
+        for i, j in pairs:
+            moments[i, j] = moments[j, i] = next(got) or 0.0
+        out.append((tokens, moments))
+    return out
+
+
+def fit_rates(members: DataFrame, k: int, shares: list[float], ws: Workspace) -> tuple[list[list[float]], float]:
+    """(steps, gap): projected gradient descent from rate 1 on the weighed squared gaps; the largest gap left, as a share of all tokens.
+
+    members has n (tokens) and p (posteriors). A step is first taken under the moments of
+    the documents whose rates are not at 0; where that doesn't halve the gaps, it is held
+    against shorter ones and against steps under the moments of all documents, of which
+    length 1 always narrows the gaps. Every SAVE_EVERY rounds the rates so far are
+    written, so that expressions stay short.
     """
-    sums = members.agg(*[F.sum(F.col("n") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]).first()
-    mass = [sums[f"s{i}"] or 0.0 for i in range(k)]
-    total = sum(mass)
-    goal = [s * total for s in shares]
+    now, whole = _sums(members, [F.lit(1.0)], k)[0]
+    total = float(now.sum())
+    if total == 0:
+        return [], 0.0
+    goal = np.array(shares) * total
+    ridge = 1e-9 * total * np.eye(k)
+    fixed = np.linalg.inv(whole + ridge)
+    near = CLOSE * np.maximum(goal, CLOSE * total)
+    size = lambda tokens: float((tokens - goal) @ fixed @ (tokens - goal))
     steps: list[list[float]] = []
-    state, since = members.select("n", "p", F.lit(1.0).alias("rate")), 0
-    now = mass
-    for i in range(ROUNDS):
-        if total == 0 or max(abs(a - b) for a, b in zip(now, goal, strict=True)) <= CLOSE * total:
+    state, since, moments = members.select("n", "p", F.lit(1.0).alias("rate")), 0, whole
+
+    def tried(choices: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray, list[float]]]:
+        got = _sums(state, [rate_of(F.col("p"), [*steps[since:], c.tolist()], F.col("rate")) for c in choices], k)
+        return [(size(t), t, m, c.tolist()) for (t, m), c in zip(got, choices, strict=True)]
+
+    while (abs(now - goal) > near).any():
+        own, all_of = np.linalg.inv(moments + ridge) @ (now - goal), fixed @ (now - goal)
+        best = tried([own])[0]
+        if best[0] > 0.5 * size(now):
+            best = min([best, *tried([*(x * own for x in SHORTER), *(x * all_of for x in LONGER)])], key=lambda x: x[0])
+        if best[0] > HELPS * size(now):  # no rates come closer
             break
-        steps.append([STEP * (a - b) / max(m, 1e-9 * total) for a, b, m in zip(now, goal, mass, strict=True)])
-        if i and i % SAVE_EVERY == 0:
-            state, since = ws.save(state.select("n", "p", rate_of(F.col("p"), steps[since:-1], F.col("rate")).alias("rate")), f"rates{i}"), len(steps) - 1
-        rate = rate_of(F.col("p"), steps[since:], F.col("rate"))
-        got = state.select("n", "p", rate.alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * F.col("p")[j]).alias(f"s{j}") for j in range(k)]).first()
-        now = [got[f"s{j}"] for j in range(k)]
-    return steps
+        _, now, moments, step = best
+        steps.append(step)
+        if len(steps) % SAVE_EVERY == 0:
+            state, since = ws.save(state.select("n", "p", rate_of(F.col("p"), steps[since:], F.col("rate")).alias("rate")), f"rates{len(steps)}"), len(steps)
+    return steps, float(abs(now - goal).max() / total)
 
 
 def rate_of(p: Column, steps: list[list[float]], start: Column | None = None) -> Column:
@@ -150,25 +186,27 @@ def rate_of(p: Column, steps: list[list[float]], start: Column | None = None) ->
     return taken[0]
 
 
-def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], name: str, natural_except: str | None = None) -> tuple[DataFrame, Classifier, Column]:
-    """(narrow table of members, the classifier, rate of a posterior p).
+def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ws: Workspace, natural_except: str | None = None, keep: list[str] | None = None) -> tuple[DataFrame, Column, float]:
+    """(members, the rate of a member, the largest gap left): members, written once, has doc_id or the columns named by keep, n (tokens) and p (posteriors).
 
     targets gives the domains' weights. With natural_except, targets are the domains'
-    present tokens, that domain's 0.
+    tokens in the documents whose posterior of that one is below AMISS: rates reach them
+    without a cut into those documents.
     """
-    ws = Workspace(docs.sparkSession, name)
     domains = sorted(targets)
     model = train(docs, labelled, domains, ws)
-    rows = model.with_posterior(docs.select("doc_id", "text", tokens_of(F.col("text")).alias("words")))
-    members = ws.save(rows.select("doc_id", word_count(F.col("words")).alias("n"), "p"), "members")
+    rows = model.with_posterior(docs.select(*(keep or ["doc_id"]), "text", tokens_of(F.col("text")).alias("words")))
+    members = ws.save(rows.select(*(keep or ["doc_id"]), word_count(F.col("words")).alias("n"), "p"), "members")
+    ws.drop("labelled")
     if natural_except is not None:
-        got = members.agg(*[F.sum(F.col("n") * F.col("p")[i]).alias(f"s{i}") for i in range(len(domains))]).first()
-        mass = [got[f"s{i}"] or 0.0 for i in range(len(domains))]
-        shares = [0.0 if d == natural_except else m / max(1e-9, sum(mass)) for d, m in zip(domains, mass, strict=True)]
+        other = F.when(F.col("p")[domains.index(natural_except)] < AMISS, 1.0).otherwise(0.0)
+        (mass, _), (rest, _) = _sums(members, [F.lit(1.0), other], len(domains))
+        shares = (rest / max(1e-9, mass.sum())).tolist()
     else:
         weight = sum(targets.values())
         shares = [targets[d] / weight for d in domains]
-    return members, model, rate_of(F.col("p"), fit_rates(members, len(domains), shares, ws))
+    steps, gap = fit_rates(members, len(domains), shares, ws)
+    return members, rate_of(F.col("p"), steps), gap
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -180,15 +218,18 @@ TARGETS = {"good": 0.88, "low": 0.11, "toxic": 0.01}
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, tokens, posteriors and rate of every document, for fixed target weights."""
+    """doc_id, tokens, posteriors and rate of every document, for fixed target weights, and the largest gap left as a share of all tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labelled = domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    members, _, rate = rates(docs, labelled, TARGETS, "op8")
-    return members.select("doc_id", F.col("n").alias("n_tokens"), *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))], rate.alias("rate"))
+    members, rate, gap = rates(docs, labelled, TARGETS, Workspace(spark, "op8"))
+    return members.select("doc_id", F.col("n").alias("n_tokens"), *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))], rate.alias("rate"), F.lit(gap).alias("largest_gap"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, name: str = "mix") -> DataFrame:
-    """Rows of docs whose rate rounds to one copy or more when toxic tokens are mixed out and the rest stay as they are; columns unchanged."""
-    _, model, rate = rates(docs, domain_labels(labels), TARGETS, name, natural_except="toxic")
-    rows = docs.select(F.struct("*").alias("doc"), "text", tokens_of(F.col("text")).alias("words"))
-    return model.with_posterior(rows).filter(rate >= least).select("doc.*")
+    """Rows of docs whose rate rounds to one copy or more when toxic tokens are mixed out and the rest stay as they are; columns unchanged.
+
+    Posteriors are written beside the rows, so that they are worked out once.
+    """
+    whole = docs.select("doc_id", "text", F.struct("*").alias("doc"))
+    members, rate, _ = rates(whole, domain_labels(labels), TARGETS, Workspace(docs.sparkSession, name), natural_except="toxic", keep=["doc"])
+    return members.filter(rate >= least).select("doc.*")

@@ -263,22 +263,49 @@ def test_urls(spark):
     assert url_filter.judge(frame.limit(0), url_filter.RULES).count() == 0
 
 
+def descended(n, p, shares, rounds=4000):
+    """Plain projected gradient with a small step, in NumPy: what the operator's steps must reach too."""
+    r, goal = np.ones(len(n)), np.array(shares) * n.sum()
+    for _ in range(rounds):
+        gap = (n * r) @ p - goal
+        r = np.maximum(0.0, r - 0.5 * p @ (gap / (n @ p)))
+    return r, np.abs((n * r) @ p - goal).max() / n.sum()
+
+
 def test_mixing(spark, docs, empty):
     rng = random.Random(4)
-    rows = [(i, english(rng, 50) + (" vile vile" if i % 5 == 0 else " kind"), i % 5 == 0) for i in range(200)] + [(200, None, False), (201, "", False)]
-    frame = spark.createDataFrame([(i, t, "en", 1) for i, t, _ in rows], "doc_id long, text string, lang string, rate int")
+    rows = [(i, english(rng, 50) + (" vile vile" if i % 5 == 0 else " kind"), i % 5 == 0) for i in range(200)] + [(200, None, False), (201, "", False), (7, english(rng, 50) + " kind", False)]
+    frame = spark.createDataFrame([(i, t, "en", 1, 2.0, "f", "w") for i, t, _ in rows], "doc_id long, text string, lang string, rate int, p double, features string, words string")
     labels = spark.createDataFrame([(i, 1, int(bad)) for i, _, bad in rows if i % 2], "doc_id long, quality int, toxic int").union(spark.createDataFrame([(i, 1, 1) for i in range(0, 100, 10)], "doc_id long, quality int, toxic int"))
-    kept = {r["doc_id"] for r in mixing.mix_documents(frame, labels).select("doc_id").collect()}
+    labels = labels.union(spark.createDataFrame([(3, 1, 1), (999, 0, 0), (None, 0, 1), (5, None, 0)], labels.schema))  # a tie of labels, no document, no id, no domain
+    got = mixing.mix_documents(frame, labels)
+    kept = {r["doc_id"] for r in got.select("doc_id").collect()}
+    assert got.columns == frame.columns and got.filter("doc_id = 7").count() == 2
     assert not kept & {i for i, _, bad in rows if bad} and {i for i, _, bad in rows if not bad and i < 200} <= kept
-    members, _, rate = mixing.rates(frame, mixing.domain_labels(labels), {"good": 0.7, "toxic": 0.3}, "test")
+    members, rate, gap = mixing.rates(frame, mixing.domain_labels(labels), {"good": 0.7, "low": 0.0, "toxic": 0.3}, mixing.Workspace(spark, "test"))
     got = members.select("n", "p", rate.alias("rate")).collect()
     total = sum(r["n"] for r in got)
-    assert all(r["rate"] >= 0 for r in got)
-    assert abs(sum(r["n"] * r["rate"] * r["p"][1] for r in got) / total - 0.3) < 0.01
+    assert all(r["rate"] >= 0 for r in got) and gap < 1e-3
+    assert abs(sum(r["n"] * r["rate"] * r["p"][2] for r in got) / total - 0.3) < 1e-3
     assert mixing.mix_documents(empty, labels).count() == 0
     assert mixing.mix_documents(docs, labels.limit(0)).columns == docs.columns
 
 
+@pytest.mark.parametrize("shares", [[0.88, 0.11, 0.01], [0.1, 0.2, 0.7], [1.0, 0.0, 0.0]])
+def test_rates_of_three_overlapping_domains(spark, shares):
+    rng = np.random.default_rng(2)
+    n, p = rng.integers(1, 900, 3000).astype(float), rng.dirichlet([2.0, 0.5, 0.3], 3000)
+    members = spark.createDataFrame([(float(a), [float(x) for x in b]) for a, b in zip(n, p)], "n double, p array<double>").cache()
+    steps, gap = mixing.fit_rates(members, 3, shares, mixing.Workspace(spark, "rates"))
+    got = np.array([r[0] for r in members.select(mixing.rate_of(mixing.F.col("p"), steps)).collect()])
+    left = np.abs((n * got) @ p - np.array(shares) * n.sum()).max() / n.sum()
+    assert abs(left - gap) < 1e-9 and (got >= 0).all()
+    assert gap <= descended(n, p, shares)[1] * 1.02 + 1e-3 if min(shares) > 0 else gap < 0.02
+    for d in range(3):
+        if min(shares) > 0:
+            assert abs((n * got) @ p[:, d] / n.sum() - shares[d]) <= min(1e-3, 0.02 * shares[d])
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(6)
     alphabet = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(900)]
