@@ -346,6 +346,72 @@ def test_decontamination_of_many_items(spark):
     assert not any(i < 1000 for i in got)
 
 
+def test_blocks_of_items_give_the_same_verdicts(spark, monkeypatch):
+    rng = random.Random(19)
+    alphabet = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(900)]
+    text = lambda n: " ".join(rng.choice(alphabet) for _ in range(n))
+    items = [(i, text(rng.randrange(12, 40))) for i in range(40)]
+    frame = spark.createDataFrame([(i, text(60), "x") for i in range(50)] + [(100 + i, text(20) + " " + items[i][1] + " " + text(9), "y") for i in range(20)] + [(100, items[39][1], "z")], "doc_id long, text string, v string")
+    bench = spark.createDataFrame([*items, items[3]], "item_id long, text string")
+    one = sorted(tuple(r)[:3] for r in decontaminate.contamination(frame, bench).collect())
+    assert [(r[0], r[2]) for r in one if r[1]] == sorted([(100 + i, i) for i in range(20)] + [(100, 39)])
+    monkeypatch.setattr(decontaminate, "BLOCK", 9)
+    assert sorted(tuple(r)[:3] for r in decontaminate.contamination(frame, bench).collect()) == one
+    kept = decontaminate.drop_contaminated(frame, bench)
+    assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(50))
+
+
+def test_retrieval_loses_no_paraphrase(spark):
+    """Against the verifier on every stretch of every text: what it finds, retrieval finds too."""
+    rng = random.Random(20)
+    alphabet = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(1500)]
+    text = lambda n: " ".join(rng.choice(alphabet) for _ in range(n))
+    items = [(i, text(rng.randrange(15, 60))) for i in range(60)]
+
+    def reworded(share):
+        w = rng.choice(items)[1].split()
+        for at in rng.sample(range(len(w)), int(len(w) * share)):
+            w[at] = rng.choice(alphabet)
+        return " ".join(w)
+
+    texts = [text(rng.randrange(50)) + " " + reworded(share) + " " + text(rng.randrange(50)) for share in (0, 0.1, 0.19, 0.3) for _ in range(60)] + [text(120) for _ in range(60)]
+    want = set()
+    known = [decontaminate.hashed_words(t).tolist() for _, t in items]
+    for n, t in enumerate(texts):
+        w = decontaminate.hashed_words(t).tolist()
+        if any(decontaminate.verified(i, w[a : a + 2 * len(i)])[1] for i in known for a in range(0, len(w), 8)):
+            want.add(n)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in decontaminate.contamination(frame, spark.createDataFrame(items, "item_id long, text string")).collect() if r["contaminated"]}
+    assert len(want) > 180 and len(got & want) >= 0.95 * len(want) and all(n < 240 for n in got)
+
+
+def test_words_are_hashed_alike_in_pieces(monkeypatch):
+    rng = random.Random(21)
+    texts = ["", "One  two", "über-Straße x" * 9, "...", " ".join("w" * rng.randrange(1, 40) for _ in range(300)), "z" * 700]
+    whole, sizes = decontaminate.hashed_texts(texts)
+    assert sizes.tolist() == [len(re.findall(r"[a-z0-9\u0080-\uffff]+", t.lower())) for t in texts]
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", 50)
+    again, same = decontaminate.hashed_texts(texts)
+    assert (whole == again).all() and (sizes == same).all()
+    assert (np.concatenate([decontaminate.hashed_words(t) for t in texts]) == whole).all()
+
+
+def test_rare_words_in_slices(monkeypatch):
+    rng = random.Random(22)
+    alphabet = [f"w{k}" for k in range(3000)]
+    items = [decontaminate.hashed_words(" ".join(rng.choice(alphabet) for _ in range(rng.randrange(10, 50)))) for _ in range(30)]
+    rare = decontaminate.rare_words(items, np.arange(30), np.ones(decontaminate.TERMS))
+    texts = [np.concatenate([np.array([1] * rng.randrange(0, 200), np.uint64), items[k], np.array([2] * rng.randrange(90), np.uint64)]) for k in range(30)]
+    sizes = np.array([len(t) for t in texts])
+    words = np.concatenate(texts)
+    for size in (decontaminate.SLICE, 64):
+        monkeypatch.setattr(decontaminate, "SLICE", size)
+        begin = np.cumsum(sizes) - sizes
+        found = {(t, i) for t, i, a, b in decontaminate.rare_candidates(words, (words & np.uint64(decontaminate.TERMS - 1)).astype(np.int64), sizes, rare) if decontaminate.lcs(items[i].tolist(), words[begin[t] + a : begin[t] + min(b, sizes[t])].tolist()) == len(items[i])}
+        assert {(k, k) for k in range(30)} <= found
+
+
 def test_lcs():
     rng = random.Random(8)
     for _ in range(50):
