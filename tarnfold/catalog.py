@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from tarnfold.plans import retrieval_queries, text_queries
+    from tarnfold.plans import ledger_queries, retrieval_queries, text_queries
 
-    return [text_queries, retrieval_queries]
+    return [text_queries, retrieval_queries, ledger_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

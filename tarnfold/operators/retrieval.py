@@ -2,43 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_QUERIES = 256
+# What the modes of fidelity let through.
+FIDELITY = {"verified": ["verified"], "verified+partial": ["verified", "partial"], "verified_partial": ["verified", "partial"], "all": None}
+QUERY_BLOCK, QUERY_BYTES = 256, 64 << 20
+
 
+def search_predicate(tenant_id: str, project_id: str, corpus_id: str | None = None, fidelity: str = "verified") -> Column:
+    """Finalised points of active versions in a scope and of a fidelity; a conjunction that reaches the scan. An unknown mode is an error."""
+    if fidelity not in FIDELITY:
+        raise ValueError(f"fidelity is one of {sorted(FIDELITY)}, not {fidelity!r}")
+    out = (F.col("tenant_id") == tenant_id) & (F.col("project_id") == project_id) & F.col("is_finalized") & F.col("is_active_version")
+    if corpus_id is not None:
+        out = out & (F.col("corpus_id") == corpus_id)
+    return out if FIDELITY[fidelity] is None else out & F.col("fidelity_flag").isin(FIDELITY[fidelity])
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
+def _nearest(shared, k: int):
+    """The k best points of each batch for every query: one matrix product a block of queries."""
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, q = shared.value
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            if not len(ids):
+                continue
+            v = np.stack(batch.column("vector").to_numpy(zero_copy_only=False)).astype(float)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            for a in range(0, len(asked), QUERY_BLOCK):
+                who = asked[a : a + QUERY_BLOCK]
+                score = np.round(v @ q[a : a + QUERY_BLOCK].T, 6)
+                score[ids[:, None] == who[None, :]] = -np.inf
+                best = np.lexsort((np.broadcast_to(ids[:, None], score.shape), -score), axis=0)[:k]
+                at = np.broadcast_to(np.arange(len(who)), best.shape)
+                fine = np.isfinite(score[best, at])
+                yield pa.RecordBatch.from_arrays([pa.array(who[at[fine]]), pa.array(ids[best[fine]]), pa.array(score[best, at][fine])], names=["query_id", "id", "score"])
+
+    return run
 
 
 def search(points: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """query_id, rank, id, score: the k nearest points that pass the filter, by cosine, ties to the smaller id.
 
-    queries (query_id, vector) is a bounded set of at most MOST_QUERIES, checked here;
-    it travels as a literal. Larger sets are searched in several calls.
+    points has id (long) and vector; queries has query_id (long) and vector. Queries of any
+    number are taken in passes of about QUERY_BYTES, which is what is broadcast at once;
+    a batch of points gives k rows a query at most, so pairs are never built.
     """
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries a call")
-    kept = points if where is None else points.filter(where)
-    literal = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(list(r["vector"])).alias("q")) for r in asked])
-    each = kept.select("id", F.col("vector").cast("array<double>").alias("v"), F.explode(literal).alias("x"))
-    scored = each.filter(F.col("id") != F.col("x.query_id")).select("x.query_id", "id", F.round(cosine(F.col("v"), F.col("x.q")), 6).alias("score"))
+    spark = points.sparkSession
+    kept = (points if where is None else points.filter(where)).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    size = asked.agg(F.sum(8 * (F.size("vector") + 1)).alias("n")).first()["n"] or 0
+    passes = max(1, -(-size // QUERY_BYTES))
+    parts = []
+    for p in range(passes):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).collect()  # about QUERY_BYTES
+        q = np.array([r["vector"] for r in rows], float).reshape(len(rows), -1)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), q))
+        parts.append(kept.mapInArrow(_nearest(shared, k), "query_id long, id long, score double"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def evaluate(hits: DataFrame, expected: DataFrame, k: int, cases: DataFrame | None = None) -> DataFrame:
+    """case_id, best_rank (0 without one), hit, mrr of every case: the first of its expected ids among its hits.
+
+    expected has case_id and id; cases, where given, names the cases that expected may lack.
+    """
+    wanted = expected.select("case_id", F.col("id").alias("id")).distinct()
+    first = hits.filter(F.col("rank") <= k).join(wanted, ["case_id", "id"]).groupBy("case_id").agg(F.min("rank").alias("best_rank"))
+    every = (expected if cases is None else cases).select("case_id").distinct().join(first, "case_id", "left")
+    return every.select("case_id", F.coalesce("best_rank", F.lit(0)).alias("best_rank"), F.col("best_rank").isNotNull().alias("hit"), F.coalesce(1.0 / F.col("best_rank"), F.lit(0.0)).alias("mrr"))
 
 
-def evaluate(hits: DataFrame, expected: DataFrame, k: int) -> DataFrame:
-    """case_id, best_rank (0 without one), hit, mrr of every case: the first of its expected ids among its hits."""
-    first = hits.filter(F.col("rank") <= k).join(expected.select("case_id", F.col("id").alias("wanted")), "case_id")
-    first = first.filter(F.col("id") == F.col("wanted")).groupBy("case_id").agg(F.min("rank").alias("best_rank"))
-    cases = expected.select("case_id").distinct().join(first, "case_id", "left")
-    return cases.select("case_id", F.coalesce("best_rank", F.lit(0)).alias("best_rank"), F.col("best_rank").isNotNull().alias("hit"), F.coalesce(1.0 / F.col("best_rank"), F.lit(0.0)).alias("mrr"))
+def evaluation_summary(cases: DataFrame) -> DataFrame:
+    """cases, hit_rate and mrr over the rows of `evaluate`."""
+    return cases.agg(F.count("*").alias("cases"), F.coalesce(F.avg(F.col("hit").cast("double")), F.lit(0.0)).alias("hit_rate"), F.coalesce(F.avg("mrr"), F.lit(0.0)).alias("mrr"))
 
 
 def word_chunks(text: Column, size: int, step: int) -> Column:
@@ -58,8 +106,8 @@ def deterministic_embedding(text: Column, dim: int) -> Column:
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The row of the greatest version of each key: ingesting twice leaves one."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))).filter("_n = 1").drop("_n")
+    """The row of the greatest version of each key: ingesting twice leaves one. Aggregated before the shuffle, nothing is sorted."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct("*"), version).alias("_row")).select("_row.*")
 
 
 def review_queue(tasks: DataFrame, n: int) -> DataFrame:

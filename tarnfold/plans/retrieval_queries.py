@@ -24,16 +24,21 @@ def _register(name: str, sql: str | None = None):
 
 
 def _hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Queries are the rows whose id is divisible by 50, against all points with an even label."""
     points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    asked = points.filter("id < 20").select(F.col("id").alias("query_id"), "vector")
+    asked = points.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
     return retrieval.search(points, asked, k, F.col("label") % 2 == 0)
 
 
 _HITS = """
 WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20 AND b.label % 2 = 0),
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND b.label % 2 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s)
 """
+_CASES = _HITS + """, w AS (SELECT a.vec_id AS query_id, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.label = a.label AND a.vec_id <> b.vec_id),
+f AS (SELECT query_id, min(rank) AS best_rank FROM r JOIN w USING (query_id, id) WHERE rank <= 10 GROUP BY query_id),
+e AS (SELECT DISTINCT query_id AS case_id, coalesce(best_rank, 0) AS best_rank, best_rank IS NOT NULL AS hit, coalesce(1.0::DOUBLE / best_rank, 0.0) AS mrr FROM w LEFT JOIN f USING (query_id))
+"""
 
 
 @_register("filtered_search", _HITS + "SELECT query_id, id, score, rank FROM r WHERE rank <= 10")
@@ -41,14 +46,24 @@ def filtered_search(spark, sf_dir):
     return _hits(spark, sf_dir, 10)
 
 
-@_register("retrieval_eval", _HITS + """, w AS (SELECT a.vec_id AS query_id, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND b.label = a.label AND b.vec_id % 3 = 0),
-f AS (SELECT query_id, min(rank) AS best_rank FROM r JOIN w USING (query_id, id) WHERE rank <= 10 GROUP BY query_id)
-SELECT DISTINCT query_id AS case_id, coalesce(best_rank, 0) AS best_rank, best_rank IS NOT NULL AS hit, coalesce(1.0::DOUBLE / best_rank, 0.0) AS mrr FROM w LEFT JOIN f USING (query_id)""")
-def retrieval_eval(spark, sf_dir):
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query's expected points are those of its own label; only hits are looked up, so no pairs of a label are built."""
     points = table(spark, sf_dir, "embeddings")
-    asked = points.filter("vec_id < 20").select(F.col("vec_id").alias("case_id"), "label")
-    expected = points.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), "label").join(asked, "label").select("case_id", "id")
-    return retrieval.evaluate(_hits(spark, sf_dir, 10).withColumnRenamed("query_id", "case_id"), expected, 10)
+    label = points.select(F.col("vec_id").alias("id"), "label")
+    cases = label.filter("id % 50 = 0").select(F.col("id").alias("case_id"), F.col("label").alias("wanted"))
+    hits = _hits(spark, sf_dir, 10).withColumnRenamed("query_id", "case_id")
+    expected = hits.join(label, "id").join(cases, "case_id").filter("label = wanted").select("case_id", "id")
+    return retrieval.evaluate(hits, expected, 10, cases)
+
+
+@_register("retrieval_eval", _CASES + "SELECT * FROM e")
+def retrieval_eval(spark, sf_dir):
+    return _cases(spark, sf_dir)
+
+
+@_register("retrieval_summary", _CASES + "SELECT count(*) AS cases, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 9) AS hit_rate, round(avg(mrr), 9) AS mrr FROM e")
+def retrieval_summary(spark, sf_dir):
+    return retrieval.evaluation_summary(_cases(spark, sf_dir)).select("cases", F.round("hit_rate", 9).alias("hit_rate"), F.round("mrr", 9).alias("mrr"))
 
 
 @_register("vector_inventory", "SELECT label, count(*) AS points, count(DISTINCT vec_id) AS documents, count(*) FILTER (vec_id % 2 = 0) AS finalized FROM embeddings GROUP BY label")
@@ -101,10 +116,10 @@ def score_history(spark, sf_dir):
     return scores.groupBy(F.col("l_orderkey").alias("run")).agg(F.count_if(F.col("score") < F.col("before")).alias("worse"), F.count_if(F.col("score") == F.col("before")).alias("plateaus"))
 
 
-@_register("deterministic_embedding", """WITH h AS (SELECT doc_id, sha256(encode(left(text, 100)) || '\\x00\\x00\\x00\\x00'::BLOB) AS h FROM documents)
+@_register("deterministic_embedding", """WITH h AS (SELECT doc_id, sha256(encode(text) || '\\x00\\x00\\x00\\x00'::BLOB) AS h FROM documents)
 SELECT doc_id, round(CAST(CAST(concat('0x', substr(h, 1, 8)) AS UBIGINT) AS DOUBLE) / 4294967296, 9) AS first, round(CAST(CAST(concat('0x', substr(h, 57, 8)) AS UBIGINT) AS DOUBLE) / 4294967296, 9) AS eighth FROM h""")
 def deterministic_embedding(spark, sf_dir):
-    v = table(spark, sf_dir, "documents").select("doc_id", retrieval.deterministic_embedding(F.left("text", F.lit(100)), 16).alias("v"))
+    v = table(spark, sf_dir, "documents").select("doc_id", retrieval.deterministic_embedding(F.col("text"), 16).alias("v"))
     return v.select("doc_id", F.round(F.col("v")[0], 9).alias("first"), F.round(F.col("v")[7], 9).alias("eighth"))
 
 
