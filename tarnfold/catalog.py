@@ -10,15 +10,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from tarnfold.plans import ledger_queries, retrieval_queries, text_queries
+    from tarnfold.plans import cleanup_queries, ledger_queries, retrieval_queries, text_queries
 
-    return [text_queries, retrieval_queries, ledger_queries]
+    return [cleanup_queries, text_queries, retrieval_queries, ledger_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tarnfold.plans import text_queries
+    from tarnfold.plans import cleanup_queries
 
-    return text_queries.QUERIES["cleanup_markdown"](spark, sf_dir)
+    return cleanup_queries.QUERIES["cleanup_markdown"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnfold.functions import ordered
+
 # Ligatures and their letters; invisible code points; bullet glyphs.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 INVISIBLE = "﻿​‌‍­⁠⁣⁤￾"
 BULLETS = "•‣◦⁃▪▫●■∙·"
+# The patterns that the clean-up's results depend on.
+BROKEN_LINK = r"\[([^\]]*)\]\(\s*(?:#\s*)?\)"
+PAGE_NUMBER = r"(?dmiU)^[^\S\n]*(?:page[^\S\n]+)?\d+(?:[^\S\n]*/[^\S\n]*\d+|[^\S\n]+of[^\S\n]+\d+)?[^\S\n]*$"
+LIST_MARKER = r"(?m)^([ \t]*(?:[-*+]|\d+[.)]))"
+PRIVATE_USE = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
+EXPONENT, ORDINAL = "([×x]10)\\s+([-−]?\\d{1,3})\\b", r"\b(\d+)[ \t]+(st|nd|rd|th)\b"
+TAG, WIDE_GAP = r"<(?!!)/?[a-zA-Z][^>]*>", r"[^\S\n]{4,}[A-Za-z]"
+COUNTED_WORD, COUNTED_HEADING, COUNTED_TABLE = r"(?U)\b\w[\w'-]*\b", r"(?m)^\s{0,3}#{1,6}\s+\S", r"(?m)^\s*\|[\s:|-]+\|\s*$"
 
 
 def by_line(text: Column, change: Callable[[Column], Column]) -> Column:
@@ -27,11 +38,12 @@ def collapse_newlines(text: Column) -> Column:
 
 
 def strip_broken_links(text: Column) -> Column:
-    return F.regexp_replace(text, r"\[([^\]]*)\]\(\s*(?:#\s*)?\)", "$1")
+    return F.regexp_replace(text, BROKEN_LINK, "$1")
 
 
 def strip_trailing_whitespace(text: Column) -> Column:
-    return by_line(text, lambda line: F.regexp_replace(line, r"(?U)\s+$", ""))
+    """A run of blanks is tried once, at its beginning, so long ones cost no more than their length."""
+    return F.regexp_replace(text, r"(?dmU)(?<![^\S\n])[^\S\n]++$", "")
 
 
 def fix_ligatures(text: Column) -> Column:
@@ -45,34 +57,25 @@ def strip_invisible(text: Column) -> Column:
 
 
 def blank_page_numbers(text: Column) -> Column:
-    number = r"(?i)^(?:page\s+)?\d+(?:\s*/\s*\d+|\s+of\s+\d+)?\s*$"
-    return by_line(text, lambda line: F.when(stripped(line).rlike(number), "").otherwise(line))
+    return F.regexp_replace(text, PAGE_NUMBER, "")
 
 
 def strip_bullet_glyphs(text: Column) -> Column:
     """One marker stays where an extractor left two, private-use glyphs go, and the gap after a marker closes."""
-    marker = r"(?m)^([ \t]*(?:[-*+]|\d+[.)]))"
-    text = F.regexp_replace(text, marker + r"[ \t]+[" + BULLETS + r"][ \t]*(?=\S)", "$1 ")
-    text = F.regexp_replace(text, r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]", "")
-    return F.regexp_replace(text, marker + r"[ \t]{2,}(?=\S)", "$1 ")
+    text = F.regexp_replace(text, LIST_MARKER + r"[ \t]+[" + BULLETS + r"][ \t]*(?=\S)", "$1 ")
+    text = F.regexp_replace(text, PRIVATE_USE, "")
+    return F.regexp_replace(text, LIST_MARKER + r"[ \t]{2,}(?=\S)", "$1 ")
 
 
 def join_superscripts(text: Column) -> Column:
-    text = F.regexp_replace(text, "([×x]10)\\s+([-−]?\\d{1,3})\\b", "$1^$2")
-    return F.regexp_replace(text, r"\b(\d+)[ \t]+(st|nd|rd|th)\b", "$1$2")
-
+    return F.regexp_replace(F.regexp_replace(text, EXPONENT, "$1^$2"), ORDINAL, "$1$2")
 
-def repair_headings(text: Column) -> Column:
-    """No heading lies more than one level below the one before; a fold over the lines that carries the last level."""
-    start = F.expr("CAST(named_struct('level', 0, 'out', array()) AS struct<level:int,out:array<string>>)")
 
-    def step(acc: Column, line: Column) -> Column:
-        hashes = F.regexp_extract(line, r"^(#{1,6})\s+(.*)$", 1)
-        level = F.when(acc["level"] == 0, F.length(hashes)).otherwise(F.least(F.length(hashes), acc["level"] + 1))
-        heading = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.regexp_extract(line, r"^(#{1,6})\s+(.*)$", 2))
-        return F.when(hashes == "", F.struct(acc["level"].alias("level"), F.array_append(acc["out"], line).alias("out"))).otherwise(F.struct(level.cast("int").alias("level"), F.array_append(acc["out"], heading).alias("out")))
-
-    return F.array_join(F.aggregate(F.split(text, "\n", -1), start, step, lambda acc: acc["out"]), "\n")
+def repetitive_lines(text: Column, threshold: int = 8, max_chars: int = 80) -> Column:
+    """The stripped lines of at most max_chars that the text holds at least threshold times: neighbours of the sorted lines, threshold apart, are equal."""
+    lines = F.array_sort(F.filter(F.transform(F.split(text, "\n", -1), stripped), lambda x: (x != "") & (F.length(x) <= max_chars)))
+    n = F.greatest(F.size(lines) - (threshold - 1), F.lit(0))
+    return F.array_distinct(F.array_compact(F.zip_with(F.slice(lines, 1, n), F.slice(lines, F.lit(threshold), n), lambda a, b: F.when(a == b, a))))
 
 
 def blank_repetitive_lines(text: Column, repetitive: Column) -> Column:
@@ -99,13 +102,74 @@ def strip_frontmatter(text: Column) -> Column:
     return F.regexp_replace(text, r"^(?s)---\n.*?\n---\n", "")
 
 
+def warnings(text: Column) -> Column:
+    """What looks wrong and is left as it is: tags (the first five, sorted), wide gaps inside lines, a very short text."""
+    tags = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({TAG})"), 1))), 1, 5)
+    short = F.length(stripped(text))
+    return F.array_compact(
+        F.array(
+            F.when(F.size(tags) > 0, F.concat(F.lit("leftover_html_tags: "), F.array_join(tags, " "))),
+            F.when(text.rlike(WIDE_GAP), "possible_ocr_whitespace_artefacts"),
+            F.when((short > 0) & (short < 50), F.concat(F.lit("very_short_output ("), short.cast("string"), F.lit(" chars)"))),
+        )
+    )
+
+
+# The toggles' names, in their order; the last two of them need more than a column and two are off.
+CORE = [("normalise_whitespace", collapse_newlines), ("strip_broken_links", strip_broken_links), ("repair_heading_hierarchy", ordered.repair_headings), ("strip_trailing_whitespace", strip_trailing_whitespace)]
+BUILTIN: list[tuple[str, Callable[..., Column]]] = [
+    ("html_unescape", ordered.html_unescape),
+    ("fix_ligatures", fix_ligatures),
+    ("strip_zero_width_chars", strip_invisible),
+    ("strip_bullet_glyphs", strip_bullet_glyphs),
+    ("strip_page_numbers", blank_page_numbers),
+    ("normalize_superscripts", join_superscripts),
+    ("dedupe_table_spans", ordered.blank_repeated_cells),
+    ("strip_repetitive_lines", lambda t, **p: blank_repetitive_lines(t, repetitive_lines(t, **p))),
+    ("strip_repeated_headings", ordered.blank_repeated_headings),
+]
+OFF = {"strip_repetitive_lines"}
+LAYOUT_DOES = {"strip_page_numbers"}
+
+
+def steps_of(toggles: dict[str, object] | None = None, layout: bool = False) -> list[tuple[str, Callable[[Column], Column]]]:
+    """The steps that the toggles leave on, in order. A toggle is a boolean, or a mapping of a step's parameters."""
+    toggles, out = toggles or {}, list(CORE)
+    for name, step in BUILTIN:
+        wish = toggles.get(name, name not in OFF)
+        if wish is False or (layout and name in LAYOUT_DOES):
+            continue
+        out.append((f"builtin:{name}", partial(step, **wish) if isinstance(wish, dict) else step))
+    return out
+
+
+def cleaned(docs: DataFrame, text: str = "text", toggles: dict[str, object] | None = None, layout: bool = False) -> DataFrame:
+    """docs with the cleaned text, `transforms_applied`, `warnings` (of the text after the core steps), `chars_before` and `chars_after`.
+
+    Each step is a column of its own, so that no expression holds another twice.
+    """
+    steps = steps_of(toggles, layout)
+    out = docs.withColumn("_t0", F.col(text))
+    for i, (_, step) in enumerate(steps):
+        out = out.withColumn(f"_t{i + 1}", step(F.col(f"_t{i}")))
+    applied = F.array_compact(F.array(*[F.when(F.col(f"_t{i}") != F.col(f"_t{i + 1}"), F.lit(name)) for i, (name, _) in enumerate(steps)]))
+    out = out.withColumns({"transforms_applied": applied, "warnings": warnings(F.col(f"_t{len(CORE)}")), "chars_before": F.length("_t0"), "chars_after": F.length(f"_t{len(steps)}"), text: F.col(f"_t{len(steps)}")})
+    return out.drop(*[f"_t{i}" for i in range(len(steps) + 1)])
+
+
 def clean(text: Column) -> Column:
-    """The core and the default clean-up steps in order."""
-    for step in (collapse_newlines, strip_broken_links, repair_headings, strip_trailing_whitespace, fix_ligatures, strip_invisible, blank_page_numbers, strip_bullet_glyphs, join_superscripts):
+    """The core and the default clean-up steps in order, without a record of them."""
+    for _, step in steps_of():
         text = step(text)
     return text
 
 
+def structure_counts(text: Column) -> Column:
+    """struct(chars, words, headings, tables) of a markdown text."""
+    t = F.coalesce(text, F.lit(""))
+    return F.struct(F.length(t).alias("chars"), F.regexp_count(t, F.lit(COUNTED_WORD)).alias("words"), F.regexp_count(t, F.lit(COUNTED_HEADING)).alias("headings"), F.regexp_count(t, F.lit(COUNTED_TABLE)).alias("tables"))
+
+
 def approx_tokens(text: Column) -> Column:
     n = F.length(stripped(F.coalesce(text, F.lit(""))))
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4))).cast("int")
@@ -119,9 +183,12 @@ def count_headings(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?m)^#{1,6}\s"))
 
 
-def sections(text: Column) -> Column:
-    """Parts that start at a first or second level heading, stripped, the empty ones left out."""
-    return F.filter(F.transform(F.split(text, r"(?m)(?=^#{1,2}\s)", -1), stripped), lambda s: s != "")
+def sections(text: Column, most_tokens: int | None = None) -> Column:
+    """Parts that start at a first or second level heading, stripped, the empty ones left out; those of more than most_tokens are parted again at third level ones."""
+    parts = F.split(text, r"(?m)(?=^#{1,2}\s)", -1)
+    if most_tokens is not None:
+        parts = F.flatten(F.transform(parts, lambda s: F.when(estimated_tokens(s) > most_tokens, F.split(s, r"(?m)(?=^###\s)", -1)).otherwise(F.array(s))))
+    return F.filter(F.transform(parts, stripped), lambda s: s != "")
 
 
 def safe_filename(name: Column) -> Column:

@@ -3,18 +3,19 @@
 A rule is a list of (kind, parameters). Every step takes a text column and gives the
 new text with the number of its fixes; `apply_rule` chains them and reports which
 steps changed the text. Steps over lines are array functions; those in which a line
-depends on earlier ones are folds that carry what they need.
+depends on earlier ones are the Arrow-batched ones of `ordered`.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.functions.markdown import stripped
+from tarnfold.functions import ordered
 
 Step = Callable[[Column, dict], tuple[Column, Column]]
 
@@ -54,39 +55,22 @@ def drop_headers_and_footers(text: Column, params: dict) -> tuple[Column, Column
     return _text(kept), F.size(lines) - F.size(kept)
 
 
-def underlined_headings(text: Column, params: dict) -> tuple[Column, Column]:
-    """`===` and `---` under a line become `#` and `##` before it."""
-    start = F.expr("CAST(named_struct('held', NULL, 'out', array(), 'n', 0) AS struct<held:string,out:array<string>,n:int>)")
+def _both(done: Column) -> tuple[Column, Column]:
+    return done["text"], done["fixes"]
 
-    def step(acc: Column, x: Column) -> Column:
-        mark = F.when(stripped(x).rlike("^={3,}$"), "# ").when(stripped(x).rlike("^-{3,}$"), "## ")
-        joins = (stripped(F.coalesce(acc["held"], F.lit(""))) != "") & mark.isNotNull()
-        kept = F.when(acc["held"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["held"]))
-        return F.when(joins, F.struct(F.lit(None).cast("string").alias("held"), F.array_append(acc["out"], F.concat(mark, stripped(acc["held"]))).alias("out"), (acc["n"] + 1).alias("n"))).otherwise(
-            F.struct(x.alias("held"), kept.alias("out"), acc["n"].alias("n"))
-        )
 
-    done = F.aggregate(_lines(text), start, step, lambda a: F.struct(F.when(a["held"].isNull(), a["out"]).otherwise(F.array_append(a["out"], a["held"])).alias("out"), a["n"].alias("n")))
-    return _text(done["out"]), done["n"]
+def underlined_headings(text: Column, params: dict) -> tuple[Column, Column]:
+    """`===` and `---` under a line become `#` and `##` before it."""
+    return _both(ordered.headings_from_underlines(text))
 
 
 def join_wrapped_lines(text: Column, params: dict) -> tuple[Column, Column]:
     """Neighbouring plain lines become one; empty lines, headings, list items and fences stay and part them."""
-    start = F.expr("CAST(named_struct('open', false, 'out', array(), 'n', 0) AS struct<open:boolean,out:array<string>,n:int>)")
+    return _both(ordered.joined_lines(text))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = stripped(x)
-        apart = (s == "") | s.startswith("#") | s.startswith("```") | s.rlike("^[-*+] ")
-        last = F.concat_ws(" ", F.element_at(acc["out"], -1), s)
-        grown = F.array_append(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), last)
-        return (
-            F.when(apart, F.struct(F.lit(False).alias("open"), F.array_append(acc["out"], x).alias("out"), acc["n"].alias("n")))
-            .when(acc["open"], F.struct(F.lit(True).alias("open"), grown.alias("out"), (acc["n"] + 1).alias("n")))
-            .otherwise(F.struct(F.lit(True).alias("open"), F.array_append(acc["out"], s).alias("out"), acc["n"].alias("n")))
-        )
 
-    done = F.aggregate(_lines(text), start, step)
-    return _text(done["out"]), done["n"]
+def unescape(text: Column, params: dict) -> tuple[Column, Column]:
+    return _both(ordered.html_unescape_counted(text))
 
 
 def number_headings(text: Column, params: dict) -> tuple[Column, Column]:
@@ -105,17 +89,7 @@ def number_headings(text: Column, params: dict) -> tuple[Column, Column]:
 
 def one_bullet(text: Column, params: dict) -> tuple[Column, Column]:
     """One marker for all list items outside code fences."""
-    marker = params.get("marker", "-")
-    start = F.expr("CAST(named_struct('fenced', false, 'out', array(), 'n', 0) AS struct<fenced:boolean,out:array<string>,n:int>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        fenced = F.when(stripped(x).startswith("```"), ~acc["fenced"]).otherwise(acc["fenced"])
-        hit = ~fenced & x.rlike(r"^\s*[*+] ")
-        line = F.when(hit, F.regexp_replace(x, r"^(\s*)[*+] ", "$1" + _java(marker) + " ")).otherwise(x)
-        return F.struct(fenced.alias("fenced"), F.array_append(acc["out"], line).alias("out"), (acc["n"] + hit.cast("int")).alias("n"))
-
-    done = F.aggregate(_lines(text), start, step)
-    return _text(done["out"]), done["n"]
+    return _both(ordered.one_bullet(text, params.get("marker", "-")))
 
 
 # The names of the steps in rule files.
@@ -127,7 +101,76 @@ STEPS: dict[str, Step] = {
     "fix_numbered_headings": number_headings,
     "merge_hardwrapped_paragraphs": join_wrapped_lines,
     "fix_bullets": one_bullet,
+    "html_unescape": unescape,
 }
+MATCHED = ("tenant_id", "project_id", "corpus_id", "mime_type")
+MATCH_KEYS = {*MATCHED, "filename_pattern"}
+TAGS = {"auto_fix_only", "suspicious_content", "hard_failure"}
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A named list of steps for the documents that its match block describes."""
+
+    name: str
+    steps: list[tuple[str, dict]]
+    match: dict[str, str] = field(default_factory=dict)
+    tags: list[str] = field(default_factory=list)
+
+    def fits(self) -> Column:
+        """Every field of the match block equals the document's, whatever the case; the file name fits the pattern. An empty block fits all."""
+        out = F.lit(True)
+        for key in MATCHED:
+            if self.match.get(key) is not None:
+                out = out & (F.lower(F.coalesce(F.col(key), F.lit(""))) == self.match[key].lower())
+        pattern = self.match.get("filename_pattern")
+        if pattern is not None:
+            out = out & F.lower(F.coalesce(F.col("filename"), F.lit(""))).rlike(glob_pattern(pattern.lower()))
+        return out
+
+
+def glob_pattern(glob: str) -> str:
+    """A file name pattern (`*`, `?`, `[seq]`, `[!seq]`) as a regular expression over the whole name."""
+    out, i = [], 0
+    while i < len(glob):
+        c, end = glob[i], glob.find("]", i + 2 if glob[i + 1 : i + 2] != "!" else i + 3)
+        if c == "[" and end > 0:
+            inside = glob[i + 1 : end].replace("\\", r"\\").replace("[", r"\[").replace("&&", r"&\&")
+            out.append("[" + ("^" + inside[1:] if inside.startswith("!") else inside) + "]")
+            i = end
+        else:
+            out.append({"*": ".*", "?": "."}.get(c, re.escape(c)))
+        i += 1
+    return r"(?s)\A" + "".join(out) + r"\z"
+
+
+def parsed(raw: list) -> list[Rule]:
+    """Rules from mappings, in order; what isn't a mapping, or a step that is neither a name nor a mapping, is left out."""
+    out = []
+    for i, entry in enumerate(raw):
+        if not isinstance(entry, dict) or not isinstance(entry.get("steps", []), list):
+            continue
+        steps = [(s, {}) if isinstance(s, str) else (s.get("kind", ""), {k: v for k, v in s.items() if k != "kind"}) for s in entry.get("steps", []) if isinstance(s, str | dict)]
+        out.append(Rule(str(entry.get("name", f"rule_{i}")), steps, dict(entry.get("match") or {}), list(entry.get("tags", []))))
+    return out
+
+
+def first_fitting(rules: list[Rule]) -> Column:
+    """The number of the first rule that fits a document, null without one."""
+    return F.coalesce(*[F.when(r.fits(), F.lit(i)) for i, r in enumerate(rules)]) if rules else F.lit(None).cast("int")
+
+
+def apply_rules(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """docs under the first rule that fits each: the new text, `rule` (null without one), `steps_applied`, `fix_counts` and `tags`. Rules don't mix: each works on its own documents."""
+    numbered = docs.withColumn("_rule", first_fitting(rules))
+    out = None
+    for i, rule in enumerate([*rules, None]):
+        own = numbered.filter(F.col("_rule").isNull() if rule is None else F.col("_rule") == i)
+        done = apply_rule(own, rule.steps if rule else [], text)
+        tags = F.array(*[F.lit(t) for t in (rule.tags if rule else [])]).cast("array<string>")
+        done = done.withColumns({"rule": F.lit(rule.name if rule else None).cast("string"), "tags": tags}).drop("_rule")
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def apply_rule(docs: DataFrame, rule: list[tuple[str, dict]], text: str = "text") -> DataFrame:

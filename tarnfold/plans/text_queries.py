@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.functions import decisions, markdown
+from tarnfold.functions import decisions, markdown, ordered
 from tarnfold.session import table
 
 NL = "chr(10)"
 SPACED = f"replace(text, {NL}, repeat({NL}, CAST(1 + doc_id % 4 AS INT)))"
 LINKED = "concat(text, ' [a]() [b]( # ) [c](x) [d](#)')"
 TRAILED = f"concat(replace(text, {NL}, concat('  ', chr(9), {NL})), '   ')"
-GLYPHS = "concat(text, ' ﬁn ﬃ ﬆ', 'a​b­c')"
+GLYPHS = f"concat(text, ' ﬁn ', '{''.join(markdown.LIGATURES)}', ' a', '{markdown.INVISIBLE}', 'b')"
 PAGED = f"concat('Page ', CAST(doc_id AS STRING), ' of 9', {NL}, text, {NL}, ' 7 / 8 ', {NL}, '12', {NL}, 'page x')"
 BULLETED = f"concat('- • item', {NL}, '1)   two', {NL}, text, {NL}, '*  x', {NL}, '- plain • stays')"
 POWERS = f"concat('1×10 -7 and 2 nd of x10', {NL}, '12 ', text, ' 10 -7')"
@@ -44,8 +44,8 @@ _MARK = r"(^|\n)([ \t]*(?:[-*+]|[0-9]+[.)]))"
 _text("collapse_newlines", SPACED, markdown.collapse_newlines, rf"regexp_replace(t, '\n{{3,}}', concat({NL}, {NL}), 'g')")
 _text("strip_broken_links", LINKED, markdown.strip_broken_links, r"regexp_replace(regexp_replace(t, '\[([^\]]*)\]\(\s*\)', '\1', 'g'), '\[([^\]]*)\]\(\s*#\s*\)', '\1', 'g')")
 _text("strip_trailing_whitespace", TRAILED, markdown.strip_trailing_whitespace, _lines(r"regexp_replace(x, '\s+$', '')"))
-_text("fix_ligatures", GLYPHS, markdown.fix_ligatures, "replace(replace(replace(t, 'ﬁ', 'fi'), 'ﬃ', 'ffi'), 'ﬆ', 'st')")
-_text("strip_invisible", GLYPHS, markdown.strip_invisible, "replace(replace(t, '​', ''), '­', '')")
+_text("fix_ligatures", GLYPHS, markdown.fix_ligatures, "".join("replace(" for _ in markdown.LIGATURES) + "t" + "".join(f", '{g}', '{x}')" for g, x in markdown.LIGATURES.items()))
+_text("strip_invisible", GLYPHS, markdown.strip_invisible, f"translate(t, '{markdown.INVISIBLE}', '')")
 _text("blank_page_numbers", PAGED, markdown.blank_page_numbers, _lines(r"CASE WHEN regexp_matches(trim(x), '(?i)^(?:page\s+)?[0-9]+(?:\s*/\s*[0-9]+|\s+of\s+[0-9]+)?\s*$') THEN '' ELSE x END"))
 _text("strip_bullet_glyphs", BULLETED, markdown.strip_bullet_glyphs, rf"regexp_replace(replace(regexp_replace(t, '{_MARK}[ \t]+[{markdown.BULLETS}][ \t]*(\S)', '\1\2 \3', 'g'), '', ''), '{_MARK}[ \t]{{2,}}(\S)', '\1\2 \3', 'g')")
 _text("join_superscripts", POWERS, markdown.join_superscripts, "regexp_replace(regexp_replace(t, '([×x]10)\\s+([-−]?[0-9]{1,3})\\b', '\\1^\\2', 'g'), '\\b([0-9]+)[ \\t]+(st|nd|rd|th)\\b', '\\1\\2', 'g')")
@@ -53,17 +53,8 @@ _text("strip_frontmatter", FRONT, markdown.strip_frontmatter, r"regexp_replace(t
 _text("collapse_and_trim", LISTED, markdown.collapse_and_trim, rf"concat(regexp_replace(regexp_replace(t, '\n{{3,}}', concat({NL}, {NL}), 'g'), '^\s+|\s+$', '', 'g'), {NL})")
 
 
-def cleanup_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole clean-up over every document; the flagship."""
-    out = table(spark, sf_dir, "documents").select("doc_id", F.expr(SPACED).alias("t")).select("doc_id", markdown.clean(F.col("t")).alias("t"))
-    return out.select("doc_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("long").alias("n"))
-
-
-QUERIES["cleanup_markdown"] = cleanup_markdown
-
-
 def repair_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "documents").select("doc_id", F.expr(HEADED).alias("t")).select("doc_id", markdown.repair_headings(F.col("t")).alias("t"))
+    out = table(spark, sf_dir, "documents").select("doc_id", F.expr(HEADED).alias("t")).select("doc_id", ordered.repair_headings(F.col("t")).alias("t"))
     return out.select("doc_id", F.sha2("t", 256).alias("digest"))
 
 
@@ -116,7 +107,7 @@ WITH i AS (SELECT doc_id, {HEADED} AS t FROM documents), j AS (SELECT *, CAST(gr
 SELECT doc_id, CAST(greatest(1, length(regexp_replace(t, '^\s+|\s+$', '', 'g')) // 4) AS INT) AS approx_tokens, e AS estimated_tokens,
   CAST(len(regexp_extract_all(t, '(?m)^#{{1,6}}\s')) AS INT) AS headings, CAST(length(t) AS INT) AS chars, CAST(len(regexp_extract_all(t, '\S+')) AS INT) AS words,
   round(length(regexp_replace(p, '[^A-Za-z]', '', 'g')) / length(p), 6) AS ascii_share,
-  e + 500 + trunc(e * 1.2::DOUBLE) <= 4096 AND trunc(e * 1.2::DOUBLE) <= 2048 AS fits, CAST(2 AS INT) AS n_sections
+  e + 500 + trunc(e * 1.2::DOUBLE) <= 4096 AND trunc(e * 1.2::DOUBLE) <= 2048 AS fits, CAST(len([x FOR x IN string_split(regexp_replace(t, '(?m)^(#{{1,2}}\s)', chr(1) || '\1', 'g'), chr(1)) IF trim(x, concat(' ', chr(9), chr(10))) <> '']) AS INT) AS n_sections
 FROM j
 """
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfold.functions import decisions, markdown
+from tarnfold.functions import decisions, markdown, ordered
 
 
 @pytest.mark.parametrize(
@@ -11,7 +11,7 @@ from tarnfold.functions import decisions, markdown
     [
         (markdown.collapse_newlines, "A\n\n\n\n\nB", "A\n\nB"),
         (markdown.strip_broken_links, "[click here]() [x](#) [y](z)", "click here x [y](z)"),
-        (markdown.repair_headings, "# H1\n#### H4\n## H2", "# H1\n## H4\n## H2"),
+        (ordered.repair_headings, "# H1\n#### H4\n## H2", "# H1\n## H4\n## H2"),
         (markdown.strip_trailing_whitespace, "hello   \nworld  ", "hello\nworld"),
         (markdown.join_superscripts, "±1×10 -7 on the 1 st, 10 -7", "±1×10^-7 on the 1st, 10 -7"),
         (markdown.strip_bullet_glyphs, "- • one\n*  two\n• three", "- one\n* two\n• three"),
