@@ -2,12 +2,19 @@
 
 The alphabet is the `VOCAB` most frequent training words (exact counts over all
 training texts), eight classes of rarer words by length and script, and the end of a
-text. Baum-Welch starts from a bounded, documented sample (`WARM_TEXTS` texts, the
-first `WINDOW * 2` words of each, `WARM_ROUNDS` rounds) and then runs `ROUNDS` rounds
-over all training texts: tasks add up expected counts, which are summed by symbol.
-The scaled forward recursion then gives the exact likelihood of every whole text. A
-rare word also pays its smoothed probability within its class, so the score is the
-probability of the text's words themselves.
+text. Baum-Welch starts from the word frequencies, perturbed for each state. Every round
+is a Spark job over whole texts: tasks add up expected counts, which are summed by
+symbol. The first rounds tell the states apart on a `SHARE`-th of the training texts,
+taken by a hash and so growing with them; the others take all texts, until the
+likelihood of a token gains less than `SETTLED` nats. The scaled forward recursion then
+gives the exact likelihood of every whole text. A rare word also pays its smoothed
+probability within its class, so the score is the probability of the text's words
+themselves.
+
+Texts lie cut into windows of `WINDOW` words, all worked through side by side. What a
+window does to any state before it is one small matrix; their products along a text give
+the states at its windows' edges, from both ends, so likelihoods and counts are those of
+whole texts, and a long text takes no more steps than a short one.
 
 Frequent words are looked up in a table of fixed size that every task holds; only
 rarer ones are shuffled, so no word's rows gather in one task.
@@ -34,8 +41,8 @@ from tarnfold.llm.workspace import Workspace, is_fold
 STATES, VOCAB, WORD_BYTES = 8, 32_000, 64
 RARE, END = VOCAB, VOCAB + 8
 SYMBOLS = END + 1
-WINDOW, ROUNDS = 256, 2
-WARM_TEXTS, WARM_ROUNDS = 2000, 10
+WINDOW, TOGETHER = 128, 1 << 20  # words of a window, words side by side
+SHARE, FIRST_ROUNDS, ROUNDS, SETTLED = 16, 10, 20, 0.01
 FLUSH = 400_000
 LN10 = np.log(10.0)
 
@@ -96,117 +103,171 @@ def initial_model(unigram: np.ndarray, seed: int = 7) -> dict:
     rng = np.random.default_rng(seed)
     emit = (unigram + 1e-9)[:, None] * np.exp(rng.normal(0, 0.7, (len(unigram), STATES)))
     move = np.full((STATES, STATES), 0.2 / (STATES - 1)) + np.eye(STATES) * (0.8 - 0.2 / (STATES - 1))
-    return {"emit": emit / emit.sum(axis=0), "move": move, "start": np.full((2, STATES), 1 / STATES)}
-
-
-def expected_counts(model: dict, windows: np.ndarray, sizes: np.ndarray, first: np.ndarray, total: dict) -> None:
-    """Add the expected counts of padded windows (sorted by falling size) to `total`; scaled forward-backward."""
-    n, width = windows.shape
-    emit, move = model["emit"], model["move"]
-    alpha, scale = np.zeros((width, n, STATES)), np.ones((width, n))
-    live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(width)]
-    for t in range(width):
-        m = live[t]
-        if not m:
-            break
-        a = model["start"][first[:m]] if t == 0 else alpha[t - 1, :m] @ move
-        a = a * emit[windows[:m, t]]
-        c = a.sum(axis=1)
-        c[c <= 0] = 1e-300
-        alpha[t, :m], scale[t, :m] = a / c[:, None], c
+    return {"emit": emit / emit.sum(axis=0), "move": move, "start": np.full(STATES, 1 / STATES)}
+
+
+def no_counts() -> dict:
+    """Expected emissions, moves and starts, and the log likelihood and number of what was read."""
+    return {"emit": np.zeros((SYMBOLS, STATES)), "move": np.zeros((STATES, STATES)), "start": np.zeros(STATES), "log": 0.0, "n": 0}
+
+
+class Windows:
+    """The windows of whole sequences, longest first, under a model: the states at their edges and the sequences' likelihoods."""
+
+    def __init__(self, model: dict, seqs: list[np.ndarray]) -> None:
+        states = model["move"].shape[0]
+        sizes = np.array([len(s) for s in seqs])
+        flat, begin = np.concatenate(seqs), np.cumsum(sizes) - sizes
+        count = -(-sizes // WINDOW)
+        owner = np.repeat(np.arange(len(seqs)), count)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        size = np.minimum(sizes[owner] - nth * WINDOW, WINDOW)
+        order = np.argsort(-size, kind="stable")
+        self.size, self.first = size[order], nth[order] == 0
+        self.steps = int(self.size[0])
+        self.alive = np.searchsorted(-self.size, -np.arange(self.steps), side="left").tolist()
+        at = (begin[owner] + nth * WINDOW)[order] + np.minimum(np.arange(self.steps)[:, None], self.size - 1)
+        self.symbols = flat[at]
+        self.inside = np.arange(self.steps)[:, None] < self.size
+        # Emissions are held against the greatest of their symbol, so that products stay far from 0.
+        most = np.maximum(model["emit"].max(axis=1), 1e-300)
+        self.b = (model["emit"] / most[:, None]).astype(np.float32)[self.symbols]
+        self.move, self.start = model["move"].astype(np.float32), model["start"].astype(np.float32)
+        matrix, log = self._matrices(states)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.enter, self.leave = np.empty((len(order), states), np.float32), np.ones((len(order), states), np.float32)
+        head, falling = np.cumsum(count) - count, np.argsort(-count, kind="stable")
+        longest = [int(x) for x in np.searchsorted(-count[falling], -np.arange(int(count[falling[0]])), side="left")]
+        total = np.zeros(len(seqs))
+        a = np.broadcast_to(self.start, (len(seqs), states))
+        for w, m in enumerate(longest):
+            k = place[head[falling[:m]] + w]
+            self.enter[k] = a[:m]
+            a = np.matmul(a[:m, None, :], matrix[k])[:, 0]
+            c = np.maximum(a.sum(axis=1), 1e-30)
+            a = a / c[:, None]
+            total[falling[:m]] += np.log(c) + log[k]
+        for w in range(len(longest) - 1, 0, -1):
+            k = place[head[falling[: longest[w]]] + w]
+            x = np.matmul(matrix[k], self.leave[k][:, :, None])[:, :, 0]
+            self.leave[place[head[falling[: longest[w]]] + w - 1]] = x / np.maximum(x.max(axis=1, keepdims=True), 1e-30)
+        each = np.where(self.inside, np.log(most)[self.symbols], 0).sum(axis=0)
+        self.log = total + np.bincount(owner, weights=each[place], minlength=len(seqs))
+
+    def _matrices(self, states: int) -> tuple[np.ndarray, np.ndarray]:
+        """What each window does to the state before it, and the logarithm of what was divided out."""
+        matrix = np.where(self.first[:, None, None], np.eye(states, dtype=np.float32), self.move) * self.b[0][:, None, :]
+        log = np.zeros(len(matrix))
+        for t in range(1, self.steps):
+            m = self.alive[t]
+            matrix[:m] = (matrix[:m].reshape(-1, states) @ self.move).reshape(m, states, states) * self.b[t, :m, None, :]
+            if t % 8 == 7 or t == self.steps - 1:
+                c = np.maximum(matrix.max(axis=(1, 2)), 1e-30)
+                matrix /= c[:, None, None]
+                log += np.log(c)
+        return matrix, log
+
+
+def expected_counts(model: dict, seqs: list[np.ndarray], total: dict) -> None:
+    """Add the expected counts of whole sequences to `total`: scaled forward-backward in all windows at once."""
+    w = Windows(model, seqs)
+    back = np.ascontiguousarray(w.move.T)
+    alpha, scale = np.zeros_like(w.b), np.ones(w.b.shape[:2], np.float32)
+    a = np.where(w.first[:, None], w.enter, w.enter @ w.move)
+    for t, m in enumerate(w.alive):
+        x = (a if t == 0 else a[:m] @ w.move) * w.b[t, :m]
+        scale[t, :m] = np.maximum(x.sum(axis=1), 1e-30)
+        a = alpha[t, :m] = x / scale[t, :m, None]
+    last = alpha[w.size - 1, np.arange(len(w.size))]
+    beta = w.leave / np.maximum((last * w.leave).sum(axis=1, keepdims=True), 1e-30)
     gamma = np.zeros_like(alpha)
-    beta = np.ones((n, STATES))
-    for t in range(width - 1, -1, -1):
-        m = live[t]
-        if not m:
-            continue
+    inner = ~w.first
+    for t in range(w.steps - 1, -1, -1):
+        m = w.alive[t]
         gamma[t, :m] = alpha[t, :m] * beta[:m]
+        x = w.b[t, :m] * beta[:m] / scale[t, :m, None]
         if t:
-            w = emit[windows[:m, t]] * beta[:m] / scale[t, :m, None]
-            total["move"] += (alpha[t - 1, :m].T @ w) * move
-            beta[:m] = w @ move.T
-    for kind in (0, 1):
-        total["start"][kind] += gamma[0][first == kind].sum(axis=0)
-    inside = np.arange(width)[:, None] < sizes[None, :]
-    at = windows.T[inside]
-    mass = gamma[inside]
-    for s in range(STATES):
-        total["emit"][:, s] += np.bincount(at, weights=mass[:, s], minlength=SYMBOLS)
-
-
-def _windows(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [(s[i : i + WINDOW], int(i > 0)) for s in seqs for i in range(0, len(s), WINDOW)]
-    parts.sort(key=lambda p: -len(p[0]))
-    mat = np.zeros((len(parts), WINDOW), np.int64)
-    for i, (p, _) in enumerate(parts):
-        mat[i, : len(p)] = p
-    return mat, np.array([len(p) for p, _ in parts]), np.array([k for _, k in parts], int)
-
-
-def _no_counts() -> dict:
-    return {"emit": np.zeros((SYMBOLS, STATES)), "move": np.zeros((STATES, STATES)), "start": np.zeros((2, STATES))}
-
-
-def maximised(total: dict, unigram: np.ndarray) -> dict:
+            total["move"] += alpha[t - 1, :m].T @ x
+            beta[:m] = x @ back
+        else:
+            total["move"] += w.enter[inner].T @ x[inner]
+    at, mass = w.symbols[w.inside], gamma[w.inside]
+    for s in range(mass.shape[1]):
+        total["emit"][:, s] += np.bincount(at, weights=mass[:, s], minlength=len(total["emit"]))
+    total["start"] += gamma[0][w.first].sum(axis=0)
+    total["log"] += float(w.log.sum())
+    total["n"] += int(w.inside.sum())
+
+
+def maximised(total: dict, model: dict, unigram: np.ndarray) -> dict:
     """The M-step; every symbol keeps a share of its frequency in every state, so no text gets probability 0."""
     emit = total["emit"] + (0.5 + 2.0 * len(unigram) * unigram / max(unigram.sum(), 1e-300))[:, None] * 0.01
-    move, start = total["move"] + 0.1, total["start"] + 0.1
-    return {"emit": emit / emit.sum(axis=0), "move": move / move.sum(axis=1, keepdims=True), "start": start / start.sum(axis=1, keepdims=True)}
+    move, start = total["move"] * model["move"] + 0.1, total["start"] + 0.1
+    return {"emit": emit / emit.sum(axis=0), "move": move / move.sum(axis=1, keepdims=True), "start": start / start.sum()}
 
 
-def _expect(model: dict):
+def _expect(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = _no_counts()
-        held: list[np.ndarray] = []
-
-        def flush() -> None:
-            mat, sizes, first = _windows(held)
-            for a in range(0, len(mat), 2048):
-                expected_counts(model.value, mat[a : a + 2048], sizes[a : a + 2048], first[a : a + 2048], total)
-            held.clear()
+        total, held, size = no_counts(), [], 0
 
         for pdf in batches:
             for blob in pdf["seq"]:
                 held.append(np.frombuffer(blob, np.uint16))
-                if sum(map(len, held[-1:])) and len(held) >= 1000:
-                    flush()
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    expected_counts(shared.value, held, total)
+                    held, size = [], 0
         if held:
-            flush()
-        rows = np.concatenate([total["emit"], total["move"], total["start"]])
-        at = np.nonzero(rows.sum(axis=1))[0]
+            expected_counts(shared.value, held, total)
+        last = np.zeros((1, STATES))
+        last[0, :2] = total["log"], total["n"]
+        rows = np.concatenate([total["emit"], total["move"], total["start"][None], last])
+        at = np.nonzero(rows.any(axis=1))[0]
         yield pd.DataFrame({"row": at, **{f"s{s}": rows[at, s] for s in range(STATES)}})
 
     return run
 
 
-def baum_welch_round(seqs: DataFrame, model: dict, unigram: np.ndarray) -> dict:
-    """One round over all sequences; what reaches the driver has a row per symbol and state at most."""
+def baum_welch_round(seqs: DataFrame, model: dict, unigram: np.ndarray) -> tuple[dict, float | None]:
+    """The next model, and the mean log likelihood of a token under the one before (None without any); what reaches the driver has a row per symbol and state at most."""
     shared = seqs.sparkSession.sparkContext.broadcast(model)
     cols = [f"s{s}" for s in range(STATES)]
     got = seqs.select("seq").mapInPandas(_expect(shared), "row long, " + ", ".join(f"{c} double" for c in cols)).groupBy("row").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
+    shared.destroy()
     rows = np.zeros((SYMBOLS + STATES + 2, STATES))
     rows[got["row"].to_numpy(int)] = got[cols].to_numpy(float)
-    return maximised({"emit": rows[:SYMBOLS], "move": rows[SYMBOLS : SYMBOLS + STATES], "start": rows[SYMBOLS + STATES :]}, unigram)
+    log, n = rows[-1, :2]
+    if not n:
+        return model, None
+    return maximised({"emit": rows[:SYMBOLS], "move": rows[SYMBOLS : SYMBOLS + STATES], "start": rows[SYMBOLS + STATES]}, model, unigram), float(log / n)
+
+
+def baum_welch(seqs: DataFrame, unigram: np.ndarray) -> dict:
+    """Rounds until the likelihood settles. seqs has key and seq."""
+    model = initial_model(unigram)
+    for part, rounds in ((seqs.filter(F.pmod(F.xxhash64("key"), F.lit(SHARE)) == 0), FIRST_ROUNDS), (seqs, ROUNDS)):
+        before = None
+        for _ in range(rounds):
+            model, now = baum_welch_round(part, model, unigram)
+            if now is None or (before is not None and part is seqs and now - before < SETTLED):
+                break
+            before = now
+    return model
 
 
 def forward_log10(model: dict, seqs: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each whole sequence by the scaled forward recursion, side by side over the sequences."""
-    order = np.argsort([-len(s) for s in seqs], kind="stable")
-    sizes = np.array([len(seqs[i]) for i in order])
-    flat = np.concatenate([seqs[i] for i in order]).astype(np.int64)
-    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    log = np.zeros(len(seqs))
-    emit, move = model["emit"], model["move"]
-    a = np.broadcast_to(model["start"][0], (len(seqs), STATES))
-    for t in range(int(sizes[0])):
-        m = int(np.searchsorted(-sizes, -t, side="left"))
-        a = (a[:m] if t == 0 else a[:m] @ move) * emit[flat[begin[:m] + t]]
-        c = a.sum(axis=1)
-        a = a / c[:, None]
-        log[:m] += np.log(c)
-    out = np.empty(len(seqs))
-    out[order] = log / LN10
-    return out
+    """log10 probability of each whole sequence by the scaled forward recursion."""
+    out, held, size = [], [], 0
+    for s in seqs:
+        held.append(s)
+        size += len(s)
+        if size >= TOGETHER:
+            out.append(Windows(model, held).log)
+            held, size = [], 0
+    if held:
+        out.append(Windows(model, held).log)
+    return np.concatenate(out) / LN10 if out else np.zeros(0)
 
 
 def _score(shared):
@@ -257,17 +318,7 @@ def fit_and_score(docs: DataFrame, held_out: Column, learn: Column, name: str =
     unigram[: len(hot)] = hot["n"]
     unigram[RARE:END] = [rest[c][0] for c in range(8)]
     unigram[END] = ends
-    model = initial_model(unigram / max(1, unigram.sum()))
-    train = encoded.filter("learn")
-    warm = train.select("key", F.substring("seq", 1, WINDOW * 4).alias("seq")).orderBy(F.xxhash64("key"), "key").limit(WARM_TEXTS).select("seq").collect()
-    mat, sizes, first = _windows([np.frombuffer(r["seq"], np.uint16) for r in warm])
-    for _ in range(WARM_ROUNDS if len(mat) else 0):
-        total = _no_counts()
-        for a in range(0, len(mat), 2048):
-            expected_counts(model, mat[a : a + 2048], sizes[a : a + 2048], first[a : a + 2048], total)
-        model = maximised(total, unigram / max(1, unigram.sum()))
-    for _ in range(ROUNDS if ends else 0):
-        model = baum_welch_round(train, model, unigram / max(1, unigram.sum()))
+    model = baum_welch(encoded.filter("learn").select("key", "seq"), unigram / max(1, unigram.sum()))
 
     denominator = n_all + 0.5 * (v_all + 1)
     base, known = np.zeros(SYMBOLS), np.zeros(SYMBOLS, np.int64)
@@ -275,6 +326,7 @@ def fit_and_score(docs: DataFrame, held_out: Column, learn: Column, name: str =
     known[: len(hot)] = 1
     base[END], known[END] = np.log10((ends + 0.5) / denominator), int(ends > 0)
     shared = spark.sparkContext.broadcast((model, base, known))
+    table.destroy()
     scored = encoded.select("key", "doc_id", "held_out", "seq").mapInPandas(_score(shared), "key long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, path double")
 
     class_mass = F.element_at(F.lit([float(rest[c][0] + 0.5 * (rest[c][1] + 1)) for c in range(8)]), _rare_class(F.col("token")) + 1)

@@ -188,15 +188,43 @@ def test_language_model(docs, empty):
 def test_forward_is_the_sum_over_paths():
     rng = np.random.default_rng(3)
     s = hmm_lm.STATES
-    model = {"emit": rng.dirichlet(np.ones(5), s).T, "move": rng.dirichlet(np.ones(s), s), "start": rng.dirichlet(np.ones(s), 2)}
+    model = {"emit": rng.dirichlet(np.ones(5), s).T, "move": rng.dirichlet(np.ones(s), s), "start": rng.dirichlet(np.ones(s))}
     seqs = [np.array([0, 3, 4]), np.array([2, 2, 1, 4]), np.array([4])]
     for seq, got in zip(seqs, hmm_lm.forward_log10(model, seqs)):
         total = np.zeros(1)
-        paths = {(k,): model["start"][0][k] * model["emit"][seq[0], k] for k in range(s)}
+        paths = {(k,): model["start"][k] * model["emit"][seq[0], k] for k in range(s)}
         for x in seq[1:]:
             paths = {(*p, k): w * model["move"][p[-1], k] * model["emit"][x, k] for p, w in paths.items() for k in range(s)}
         total = sum(paths.values())
-        assert abs(math.log10(total) - got) < 1e-9
+        assert abs(math.log10(total) - got) < 1e-5
+
+
+@pytest.mark.parametrize("window", [2, 128])
+def test_expected_counts_are_those_of_all_paths(window, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "WINDOW", window)
+    monkeypatch.setattr(hmm_lm, "STATES", 3)
+    rng = np.random.default_rng(4)
+    s, symbols = 3, hmm_lm.SYMBOLS
+    model = {"emit": np.zeros((symbols, s)), "move": rng.dirichlet(np.ones(s), s), "start": rng.dirichlet(np.ones(s))}
+    model["emit"][:5] = rng.dirichlet(np.ones(5), s).T
+    seqs = [np.array(x, np.uint16) for x in ([0, 3, 4, 1, 1, 2, 0], [2, 2, 1, 4], [4], [1, 0, 3, 3, 2])]
+    got = {"emit": np.zeros((symbols, s)), "move": np.zeros((s, s)), "start": np.zeros(s), "log": 0.0, "n": 0}
+    hmm_lm.expected_counts(model, seqs, got)
+    emit, move, start, log = np.zeros((symbols, s)), np.zeros((s, s)), np.zeros(s), 0.0
+    for seq in seqs:
+        paths = {(k,): model["start"][k] * model["emit"][seq[0], k] for k in range(s)}
+        for x in seq[1:]:
+            paths = {(*p, k): w * model["move"][p[-1], k] * model["emit"][x, k] for p, w in paths.items() for k in range(s)}
+        whole = sum(paths.values())
+        log += math.log(whole)
+        for p, w in paths.items():
+            start[p[0]] += w / whole
+            for t, k in enumerate(p):
+                emit[seq[t], k] += w / whole
+                if t:
+                    move[p[t - 1], k] += w / whole
+    assert np.allclose(got["emit"], emit, atol=1e-4) and np.allclose(got["move"] * model["move"], move, atol=1e-4) and np.allclose(got["start"], start, atol=1e-4)
+    assert abs(got["log"] - log) < 1e-4 and got["n"] == 17
 
 
 def luhn(d):
