@@ -28,7 +28,7 @@ never in the table of frequent words.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,7 @@ from tarnfold.llm.workspace import Workspace, is_fold
 STATES, VOCAB, WORD_BYTES = 8, 32_000, 64
 RARE, END = VOCAB, VOCAB + 8
 SYMBOLS = END + 1
-WINDOW, TOGETHER = 128, 1 << 20  # words of a window, words side by side
+WINDOW, TOGETHER = 128, 1 << 19  # words of a window, places of windows side by side
 SHARE, FIRST_ROUNDS, ROUNDS, SETTLED = 16, 10, 20, 0.01
 FLUSH = 400_000
 LN10 = np.log(10.0)
@@ -106,6 +106,20 @@ def initial_model(unigram: np.ndarray, seed: int = 7) -> dict:
     return {"emit": emit / emit.sum(axis=0), "move": move, "start": np.full(STATES, 1 / STATES)}
 
 
+def batches_of(seqs: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Neighbouring sequences whose windows have about TOGETHER places, filled or not."""
+    held: list[np.ndarray] = []
+    size = 0
+    for s in seqs:
+        held.append(s)
+        size += -(-len(s) // WINDOW) * WINDOW
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def no_counts() -> dict:
     """Expected emissions, moves and starts, and the log likelihood and number of what was read."""
     return {"emit": np.zeros((SYMBOLS, STATES)), "move": np.zeros((STATES, STATES)), "start": np.zeros(STATES), "log": 0.0, "n": 0}
@@ -209,17 +223,9 @@ def maximised(total: dict, model: dict, unigram: np.ndarray) -> dict:
 
 def _expect(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, held, size = no_counts(), [], 0
-
-        for pdf in batches:
-            for blob in pdf["seq"]:
-                held.append(np.frombuffer(blob, np.uint16))
-                size += len(held[-1])
-                if size >= TOGETHER:
-                    expected_counts(shared.value, held, total)
-                    held, size = [], 0
-        if held:
-            expected_counts(shared.value, held, total)
+        total = no_counts()
+        for part in batches_of(np.frombuffer(blob, np.uint16) for pdf in batches for blob in pdf["seq"]):
+            expected_counts(shared.value, part, total)
         last = np.zeros((1, STATES))
         last[0, :2] = total["log"], total["n"]
         rows = np.concatenate([total["emit"], total["move"], total["start"][None], last])
@@ -258,15 +264,7 @@ def baum_welch(seqs: DataFrame, unigram: np.ndarray) -> dict:
 
 def forward_log10(model: dict, seqs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each whole sequence by the scaled forward recursion."""
-    out, held, size = [], [], 0
-    for s in seqs:
-        held.append(s)
-        size += len(s)
-        if size >= TOGETHER:
-            out.append(Windows(model, held).log)
-            held, size = [], 0
-    if held:
-        out.append(Windows(model, held).log)
+    out = [Windows(model, part).log for part in batches_of(seqs)]
     return np.concatenate(out) / LN10 if out else np.zeros(0)
 
 
