@@ -114,8 +114,8 @@ def document_counts(blocks: Blocks, hashes: Callable[[object], tuple[np.ndarray,
     """(block, part, reply): in how many documents, over all blocks, each of a block's hashes occurs.
 
     hashes(row) gives a block's sorted distinct hashes below 2^BITS and in how many of
-    its documents each occurs. A reply holds the totals (up to 65,535) in the same
-    order, for one hash range.
+    its documents each occurs. A reply holds the totals in the same order, for one
+    hash range.
     """
     ranges = max(1, -(-blocks.count // RANGES_PER_BLOCK))
 
@@ -129,11 +129,11 @@ def document_counts(blocks: Blocks, hashes: Callable[[object], tuple[np.ndarray,
                     if cut[r] == cut[r + 1]:
                         continue
                     delta = np.diff(values[part], prepend=np.uint64(0))
-                    yield pd.DataFrame({"part": [r], "block": [row.block], "run": [squeeze(delta)], "n": [squeeze(np.minimum(n[part], 65535).astype(np.uint16))]})
+                    yield pd.DataFrame({"part": [r], "block": [row.block], "run": [squeeze(delta)], "n": [squeeze(n[part].astype(np.uint32))]})
 
     def solve(part: int, runs: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
         total, where = np.unique(np.concatenate([v for _, v, _ in runs]), return_inverse=True)
-        sums = np.minimum(np.bincount(where, weights=np.concatenate([n for _, _, n in runs]), minlength=len(total)), 65535).astype(np.uint16)
+        sums = np.minimum(np.bincount(where, weights=np.concatenate([n for _, _, n in runs]), minlength=len(total)), 2**32 - 1).astype(np.uint32)
         at = 0
         for block, v, _ in runs:
             yield pd.DataFrame({"block": [block], "part": [part], "reply": [squeeze(sums[where[at : at + len(v)]])]})
@@ -148,7 +148,7 @@ def document_counts(blocks: Blocks, hashes: Callable[[object], tuple[np.ndarray,
                     yield from solve(now, held)
                     held = []
                 now = row.part
-                held.append((row.block, np.cumsum(unsqueeze(row.run, np.uint64), dtype=np.uint64), unsqueeze(row.n, np.uint16)))
+                held.append((row.block, np.cumsum(unsqueeze(row.run, np.uint64), dtype=np.uint64), unsqueeze(row.n, np.uint32)))
         if held:
             yield from solve(now, held)
 

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfold.llm.blocks import BITS, NO_ID, Blocks, document_counts, mix, opened, unsqueeze
@@ -36,6 +36,8 @@ from tarnfold.llm.workspace import Workspace
 
 WORDS, PERCENT = 5, 80
 CELL_DOCS, CELL_SHINGLES = 512, 1_000_000
+MOST_ROUNDS = 500  # of components; they settle in about the square of the logarithm of the longest chain, and more is an error
+HOT = 1024  # documents of a shingle that share a hub; a more common one gets several, and a hub of hubs
 COSTS = [64, 1024, 16384]  # estimated candidates from which one more shared shingle is asked for
 PICKED, TOTALS, PLACED = 0, 1 << 20, 1 << 21  # kinds of replies to blocks
 _BLANK = np.zeros(256, bool)
@@ -121,7 +123,7 @@ def _ordered(row) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
     rows, h, b = _picked_sets(row)
     short = h >> np.uint64(64 - BITS)
     replies = _kind(row, TOTALS, PLACED)
-    total = np.concatenate([unsqueeze(r, np.uint16) for r in replies]) if replies else np.zeros(0, np.uint16)
+    total = np.concatenate([unsqueeze(r, np.uint32) for r in replies]) if replies else np.zeros(0, np.uint32)
     count = total[np.searchsorted(np.unique(short), short)].astype(np.int64)
     for i, r in enumerate(rows.tolist()):
         s, c = h[b[i] : b[i + 1]], count[b[i] : b[i + 1]]
@@ -136,14 +138,15 @@ def _ordered(row) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
 def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for row in pdf.itertuples():
-            tokens, keys, sizes = [], [], []
+            tokens, keys, sizes, times = [], [], [], []
             for r, s, c, prefix, _ in _ordered(row):
                 shared = s[:prefix][c[:prefix] > 1]
                 tokens.append(shared)
+                times.append(c[:prefix][c[:prefix] > 1])
                 keys.append(np.full(len(shared), (row.block << 16) + r))
                 sizes.append(np.full(len(shared), len(s)))
             if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "key": np.concatenate(keys), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "key": np.concatenate(keys), "n": np.concatenate(sizes), "c": np.concatenate(times)})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,22 +162,24 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """node, label: the smallest node of each connected component, for nodes of edges (a, b), by alternating large and small stars."""
-    now = ws.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
-    before = None
-    for i in range(1, 40):
+    """node, label: the smallest node of each connected component, for nodes of edges (a, b), by alternating large and small stars until a round changes nothing."""
+    now, before = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
+    for i in range(MOST_ROUNDS):
+        seen = Observation(f"{name}{i}")
+        mark = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
+        now = ws.save(now.observe(seen, *mark), f"{name}{i}")
+        if i:
+            ws.drop(f"{name}{i - 1}")
+        if seen.get == before:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+        before = seen.get
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least.hint("shuffle_hash"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b")
-        new = ws.save(joined.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}{i}")
-        ws.drop(f"{name}{i - 1}")
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == mark:
-            break
-        now, before = new, mark
-    return new.select(F.col("a").alias("node"), F.col("b").alias("label")).union(new.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+        joined = large.join(small.hint("shuffle_hash"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b")
+        now = joined.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
 
 
 class _Union:
@@ -309,12 +314,16 @@ def near_labels(blocks: Blocks, reps: DataFrame, ws: Workspace) -> DataFrame:
     picked = ws.save(_reply(reps.select(block_of, row_of), ["row"], PICKED, "int32"), "picked")
     totals = document_counts(blocks, _counts, picked).withColumn("part", (F.col("part") + TOTALS).cast("int"))
     known = picked.union(ws.save(totals, "totals"))
-    postings = ws.save(blocks.map(_postings, "token long, key long, n long", known), "postings")
+    postings = ws.save(blocks.map(_postings, "token long, key long, n long, c long", known), "postings")
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
-    leveled = postings.withColumn("level", level)
-    hubs = leveled.groupBy("token", "level").agg(F.min("key").alias("hub"))
+    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / HOT))
+    own = Window.partitionBy("token", "level", "part")
+    leveled = postings.select("token", "key", level.alias("level"), part.alias("part")).withColumn("near", F.min("key").over(own))
+    inner = leveled.groupBy("token", "level", "part").agg(F.first("near").alias("near"))
+    hubs = inner.groupBy("token", "level").agg(F.min("near").alias("hub"))
     above = hubs.select("token", (F.col("level") - 1).alias("level"), F.col("hub").alias("next"))
-    edges = leveled.join(hubs, ["token", "level"]).select(F.col("key").alias("a"), F.col("hub").alias("b")).union(hubs.join(above, ["token", "level"]).select("hub", "next"))
+    many = inner.join(hubs.hint("shuffle_hash"), ["token", "level"]).filter("near <> hub").select("near", "hub")
+    edges = leveled.select(F.col("key").alias("a"), F.col("near").alias("b")).union(many).union(hubs.join(above.hint("shuffle_hash"), ["token", "level"]).select("hub", "next"))
     near = ws.save(components(edges, ws, "near"), "near")
     sized = near.join(reps.select(F.col("key").alias("node"), "n"), "node").groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
     cells = F.greatest(F.ceil(F.col("m") / CELL_DOCS), F.when(F.col("m") > 2, F.ceil(F.col("shingles") / CELL_SHINGLES)).otherwise(1)).cast("long")

@@ -255,8 +255,8 @@ def smaller_starts(common: np.ndarray, left: np.ndarray, rlen: np.ndarray, llen:
 
 
 def _total_of(row) -> np.ndarray:
-    parts = [unsqueeze(r["reply"], np.uint16) for r in (row.replies if row.replies is not None else []) if r["part"] < MASKS]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+    parts = [unsqueeze(r["reply"], np.uint32) for r in (row.replies if row.replies is not None else []) if r["part"] < MASKS]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
 def _send(ranges: int):
