@@ -126,57 +126,67 @@ def no_counts() -> dict:
 
 
 class Windows:
-    """The windows of whole sequences, longest first, under a model: the states at their edges and the sequences' likelihoods."""
+    """The windows of whole sequences under a model: the states at their edges, and the sequences' log likelihoods.
+
+    Windows lie longest first and are worked through in slices of about TOGETHER places,
+    so that of a very long sequence only the edges are held whole.
+    """
 
     def __init__(self, model: dict, seqs: list[np.ndarray]) -> None:
         states = model["move"].shape[0]
+        self.flat = np.concatenate(seqs)
         sizes = np.array([len(s) for s in seqs])
-        flat, begin = np.concatenate(seqs), np.cumsum(sizes) - sizes
         count = -(-sizes // WINDOW)
-        owner = np.repeat(np.arange(len(seqs)), count)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        head, owner = np.cumsum(count) - count, np.repeat(np.arange(len(seqs)), count)
+        nth = np.arange(len(owner)) - head[owner]
         size = np.minimum(sizes[owner] - nth * WINDOW, WINDOW)
         order = np.argsort(-size, kind="stable")
-        self.size, self.first = size[order], nth[order] == 0
-        self.steps = int(self.size[0])
-        self.alive = np.searchsorted(-self.size, -np.arange(self.steps), side="left").tolist()
-        at = (begin[owner] + nth * WINDOW)[order] + np.minimum(np.arange(self.steps)[:, None], self.size - 1)
-        self.symbols = flat[at]
-        self.inside = np.arange(self.steps)[:, None] < self.size
+        self.size, self.first, self.begin = size[order], nth[order] == 0, ((np.cumsum(sizes) - sizes)[owner] + nth * WINDOW)[order]
         # Emissions are held against the greatest of their symbol, so that products stay far from 0.
         most = np.maximum(model["emit"].max(axis=1), 1e-300)
-        self.b = (model["emit"] / most[:, None]).astype(np.float32)[self.symbols]
+        self.emit, self.most = (model["emit"] / most[:, None]).astype(np.float32), np.log(most)
         self.move, self.start = model["move"].astype(np.float32), model["start"].astype(np.float32)
-        matrix, log = self._matrices(states)
+        matrix, log = np.empty((len(order), states, states), np.float32), np.empty(len(order))
+        for part in self.slices():
+            matrix[part], log[part] = self._matrices(part, states)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.enter, self.leave = np.empty((len(order), states), np.float32), np.ones((len(order), states), np.float32)
-        head, falling = np.cumsum(count) - count, np.argsort(-count, kind="stable")
-        longest = [int(x) for x in np.searchsorted(-count[falling], -np.arange(int(count[falling[0]])), side="left")]
-        total = np.zeros(len(seqs))
-        a = np.broadcast_to(self.start, (len(seqs), states))
-        for w, m in enumerate(longest):
+        falling = np.argsort(-count, kind="stable")
+        running = np.searchsorted(-count[falling], -np.arange(int(count.max())), side="left").tolist()
+        self.log, a = np.zeros(len(seqs)), np.broadcast_to(self.start, (len(seqs), states))
+        for w, m in enumerate(running):
             k = place[head[falling[:m]] + w]
             self.enter[k] = a[:m]
             a = np.matmul(a[:m, None, :], matrix[k])[:, 0]
             c = np.maximum(a.sum(axis=1), 1e-30)
             a = a / c[:, None]
-            total[falling[:m]] += np.log(c) + log[k]
-        for w in range(len(longest) - 1, 0, -1):
-            k = place[head[falling[: longest[w]]] + w]
+            self.log[falling[:m]] += np.log(c) + log[k]
+        for w in range(len(running) - 1, 0, -1):
+            k = place[head[falling[: running[w]]] + w]
             x = np.matmul(matrix[k], self.leave[k][:, :, None])[:, :, 0]
-            self.leave[place[head[falling[: longest[w]]] + w - 1]] = x / np.maximum(x.max(axis=1, keepdims=True), 1e-30)
-        each = np.where(self.inside, np.log(most)[self.symbols], 0).sum(axis=0)
-        self.log = total + np.bincount(owner, weights=each[place], minlength=len(seqs))
+            self.leave[place[head[falling[: running[w]]] + w - 1]] = x / np.maximum(x.max(axis=1, keepdims=True), 1e-30)
+
+    def slices(self) -> Iterator[slice]:
+        for a in range(0, len(self.size), TOGETHER // WINDOW):
+            yield slice(a, a + TOGETHER // WINDOW)
+
+    def opened(self, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Symbols, which places are filled, emissions, and how many windows still run at each step."""
+        size = self.size[part]
+        step = np.arange(int(size[0]))
+        symbols = self.flat[self.begin[part] + np.minimum(step[:, None], size - 1)]
+        return symbols, step[:, None] < size, self.emit[symbols], np.searchsorted(-size, -step, side="left").tolist()
 
-    def _matrices(self, states: int) -> tuple[np.ndarray, np.ndarray]:
+    def _matrices(self, part: slice, states: int) -> tuple[np.ndarray, np.ndarray]:
         """What each window does to the state before it, and the logarithm of what was divided out."""
-        matrix = np.where(self.first[:, None, None], np.eye(states, dtype=np.float32), self.move) * self.b[0][:, None, :]
-        log = np.zeros(len(matrix))
-        for t in range(1, self.steps):
-            m = self.alive[t]
-            matrix[:m] = (matrix[:m].reshape(-1, states) @ self.move).reshape(m, states, states) * self.b[t, :m, None, :]
-            if t % 8 == 7 or t == self.steps - 1:
+        symbols, inside, b, alive = self.opened(part)
+        matrix = np.where(self.first[part, None, None], np.eye(states, dtype=np.float32), self.move) * b[0][:, None, :]
+        log = np.where(inside, self.most[symbols], 0).sum(axis=0)
+        for t in range(1, len(alive)):
+            m = alive[t]
+            matrix[:m] = (matrix[:m].reshape(-1, states) @ self.move).reshape(m, states, states) * b[t, :m, None, :]
+            if t % 8 == 7 or t == len(alive) - 1:
                 c = np.maximum(matrix.max(axis=(1, 2)), 1e-30)
                 matrix /= c[:, None, None]
                 log += np.log(c)
@@ -184,34 +194,36 @@ class Windows:
 
 
 def expected_counts(model: dict, seqs: list[np.ndarray], total: dict) -> None:
-    """Add the expected counts of whole sequences to `total`: scaled forward-backward in all windows at once."""
+    """Add the expected counts of whole sequences to `total`: scaled forward-backward in many windows at once."""
     w = Windows(model, seqs)
     back = np.ascontiguousarray(w.move.T)
-    alpha, scale = np.zeros_like(w.b), np.ones(w.b.shape[:2], np.float32)
-    a = np.where(w.first[:, None], w.enter, w.enter @ w.move)
-    for t, m in enumerate(w.alive):
-        x = (a if t == 0 else a[:m] @ w.move) * w.b[t, :m]
-        scale[t, :m] = np.maximum(x.sum(axis=1), 1e-30)
-        a = alpha[t, :m] = x / scale[t, :m, None]
-    last = alpha[w.size - 1, np.arange(len(w.size))]
-    beta = w.leave / np.maximum((last * w.leave).sum(axis=1, keepdims=True), 1e-30)
-    gamma = np.zeros_like(alpha)
-    inner = ~w.first
-    for t in range(w.steps - 1, -1, -1):
-        m = w.alive[t]
-        gamma[t, :m] = alpha[t, :m] * beta[:m]
-        x = w.b[t, :m] * beta[:m] / scale[t, :m, None]
-        if t:
-            total["move"] += alpha[t - 1, :m].T @ x
-            beta[:m] = x @ back
-        else:
-            total["move"] += w.enter[inner].T @ x[inner]
-    at, mass = w.symbols[w.inside], gamma[w.inside]
-    for s in range(mass.shape[1]):
-        total["emit"][:, s] += np.bincount(at, weights=mass[:, s], minlength=len(total["emit"]))
-    total["start"] += gamma[0][w.first].sum(axis=0)
+    for part in w.slices():
+        symbols, inside, b, alive = w.opened(part)
+        enter, leave, first, size = w.enter[part], w.leave[part], w.first[part], w.size[part]
+        alpha, scale = np.zeros_like(b), np.ones(b.shape[:2], np.float32)
+        a = np.where(first[:, None], enter, enter @ w.move)
+        for t, m in enumerate(alive):
+            x = (a if t == 0 else a[:m] @ w.move) * b[t, :m]
+            scale[t, :m] = np.maximum(x.sum(axis=1), 1e-30)
+            a = alpha[t, :m] = x / scale[t, :m, None]
+        last = alpha[size - 1, np.arange(len(size))]
+        beta = leave / np.maximum((last * leave).sum(axis=1, keepdims=True), 1e-30)
+        gamma = np.zeros_like(alpha)
+        for t in range(len(alive) - 1, -1, -1):
+            m = alive[t]
+            gamma[t, :m] = alpha[t, :m] * beta[:m]
+            x = b[t, :m] * beta[:m] / scale[t, :m, None]
+            if t:
+                total["move"] += alpha[t - 1, :m].T @ x
+                beta[:m] = x @ back
+            else:
+                total["move"] += enter[~first].T @ x[~first]
+        at, mass = symbols[inside], gamma[inside]
+        for s in range(mass.shape[1]):
+            total["emit"][:, s] += np.bincount(at, weights=mass[:, s], minlength=len(total["emit"]))
+        total["start"] += gamma[0][first].sum(axis=0)
     total["log"] += float(w.log.sum())
-    total["n"] += int(w.inside.sum())
+    total["n"] += len(w.flat)
 
 
 def maximised(total: dict, model: dict, unigram: np.ndarray) -> dict:

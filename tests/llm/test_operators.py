@@ -202,6 +202,7 @@ def test_forward_is_the_sum_over_paths():
 @pytest.mark.parametrize("window", [2, 128])
 def test_expected_counts_are_those_of_all_paths(window, monkeypatch):
     monkeypatch.setattr(hmm_lm, "WINDOW", window)
+    monkeypatch.setattr(hmm_lm, "TOGETHER", 3 * window)
     monkeypatch.setattr(hmm_lm, "STATES", 3)
     rng = np.random.default_rng(4)
     s, symbols = 3, hmm_lm.SYMBOLS
