@@ -143,27 +143,6 @@ FROM h
 """
 
 
-def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions over judged runs; a run's state comes from the ids of an order line."""
-    lines = table(spark, sf_dir, "lineitem")
-    state = lines.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 5 + 1).cast("int").alias("score"), F.when(F.col("l_suppkey") % 3 == 0, (F.col("l_suppkey") % 5 + 1).cast("int")).alias("previous"), (F.col("l_orderkey") % 4).cast("int").alias("retries"), (F.col("l_partkey") % 7 == 0).alias("hitl"), (F.col("l_partkey") % 11 == 0).alias("resumed"))
-    target = decisions.route_after_judge(F.col("score"), F.col("previous"), F.col("retries"), F.col("hitl"), F.col("resumed"), 4, 2, 1)
-    out = state.select(target.alias("target"), decisions.fidelity_flag(F.col("score"), F.col("retries"), 3).alias("fidelity"), decisions.metadata_tier(F.col("score")).alias("tier"), decisions.hitl_priority(F.col("score"), F.col("hitl")).alias("priority"))
-    return out.groupBy("target", "fidelity", "tier").agg(F.count("*").alias("runs"), F.sum("priority").alias("priority"))
-
-
-QUERIES["routing"] = routing
-ORACLES["routing"] = """
-WITH s AS (SELECT l_partkey % 5 + 1 AS score, CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey % 5 + 1 END AS prev, l_orderkey % 4 AS retries, l_partkey % 7 = 0 AS hitl, l_partkey % 11 = 0 AS resumed FROM lineitem),
-d AS (SELECT CASE WHEN resumed THEN 'metadata' WHEN score <= 1 THEN 'failed'
-  WHEN prev IS NOT NULL AND retries > 0 AND score < prev AND prev < 4 THEN 'hitl' WHEN prev IS NOT NULL AND retries > 0 AND score < prev THEN 'metadata'
-  WHEN prev IS NOT NULL AND retries > 0 AND score <= prev AND score < 4 THEN 'hitl' WHEN score < 4 AND retries < 2 THEN 'refine' WHEN (hitl OR retries >= 2) AND score < 4 THEN 'hitl' ELSE 'metadata' END AS target,
-  CASE WHEN retries >= 3 THEN 'needs_review' WHEN score >= 4 THEN 'verified' WHEN score <= 2 THEN 'low_confidence' ELSE 'partial' END AS fidelity,
-  CASE WHEN score BETWEEN 3 AND 4 THEN 2 ELSE 1 END AS tier, (10 - score) * CASE WHEN hitl THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS priority FROM s)
-SELECT target, fidelity, tier, count(*) AS runs, sum(priority) AS priority FROM d GROUP BY ALL
-"""
-
-
 def ledger_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run counts, completion and failure rates by tenant; events stand for runs, purchases for completed and errors for failed ones."""
     runs = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("tenant"), "event_type", "user_id")
