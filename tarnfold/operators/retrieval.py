@@ -62,7 +62,7 @@ def search(points: DataFrame, queries: DataFrame, k: int, where: Column | None =
     parts = []
     for p in range(passes):
         rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).collect()  # about QUERY_BYTES
-        q = np.array([r["vector"] for r in rows], float).reshape(len(rows), -1)
+        q = np.array([r["vector"] for r in rows], float).reshape(len(rows), -1 if rows else 1)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), q))
         parts.append(kept.mapInArrow(_nearest(shared, k), "query_id long, id long, score double"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +24,25 @@ def build_session(app: str = "tarnfold", master: str | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a local one is set only where it is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.conf.set("tarnfold.local.shared", spark.conf.get("tarnfold.local.shared", f"file:///tmp/tarnfold-{uuid.uuid4().hex}"))
+    return spark.conf.get("tarnfold.local.shared")
+
+
+def saver(spark: SparkSession, name: str):
+    """save(df, step): df written below the shared folder and read again, so that lineage ends there."""
+    base = f"{shared_dir(spark)}/tarnfold-{name}-{uuid.uuid4().hex}"
+
+    def save(df: DataFrame, step: str) -> DataFrame:
+        df.write.mode("errorifexists").parquet(f"{base}/{step}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{step}")
+
+    return save

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.functions.ordered import html_unescape
 from tarnfold.operators.retrieval import latest
 
 # The kinds of files by extension.
@@ -21,13 +22,27 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def html_to_text(html):
-    """The text of an HTML page: scripts, styles and comments go, block ends become line feeds."""
+    """The text of an HTML page: scripts, styles and comments go, block ends become line feeds, entities are decoded."""
     out = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav)\s*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]+>", "")
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(sign))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
+    out = html_unescape(F.regexp_replace(out, r"<[^>]+>", ""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t\x{a0}]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
+
+
+def html_to_markdown(html):
+    """Headings, list items and paragraphs of an HTML page as markdown."""
+    out = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ")
+    for level in range(1, 7):
+        out = F.regexp_replace(out, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}\s*>", "\n\n" + "#" * level + " $1\n\n")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)<li\b[^>]*>", "\n- "), r"(?i)<br\s*/?>|</(?:p|div|ul|ol|tr|table|article|section|header|footer|nav)\s*>", "\n\n")
+    out = html_unescape(F.regexp_replace(out, r"<[^>]+>", ""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n ?(?:\n ?)+", "\n\n"), r"^\s+|\s+$", "")
+
+
+def html_without_tags(html):
+    """The plain way: tags become blanks, runs of blanks one, a line feed at the end. Scripts' texts stay."""
+    out = F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"(?U)\s+", " ")
+    return F.concat(F.trim(out), F.lit("\n"))
 
 
 def append_chunks(chunks: DataFrame, path: str) -> None:
@@ -39,3 +54,20 @@ def read_chunks(spark: SparkSession, path: str, tenant: str) -> DataFrame:
     """The newest version of each chunk of one tenant; other tenants' folders aren't read."""
     rows = spark.read.parquet(path).filter(F.col("tenant_id") == tenant)
     return latest(rows, ["chunk_id"], "doc_version")
+
+
+def read_expectations(spark: SparkSession, path: str) -> DataFrame:
+    """document, wanted: the lines of `<document>.expected.txt` files; blanks and lines that begin with # are left out."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.expected.txt").text(path)
+    wanted = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
+    rows = lines.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.expected\.txt$", "").alias("document"), wanted.alias("wanted"))
+    return rows.filter((F.col("wanted") != "") & ~F.col("wanted").startswith("#"))
+
+
+def read_golden_set(spark: SparkSession, path: str) -> DataFrame:
+    """case_id, query, id: a row for each document that a case of a golden set expects. A case without a query or expectations is an error."""
+    raw = spark.read.schema("cases array<struct<id:string,query:string,expected_doc_ids:array<string>>>").option("multiLine", "true").json(path)
+    cases = raw.select(F.posexplode("cases").alias("n", "c"))
+    fine = (F.coalesce(F.trim("c.query"), F.lit("")) != "") & (F.size(F.coalesce("c.expected_doc_ids", F.array().cast("array<string>"))) > 0)
+    wanted = F.when(fine, F.col("c.expected_doc_ids")).otherwise(F.raise_error(F.lit("a case needs a query and expected_doc_ids")))
+    return cases.select(F.coalesce("c.id", F.col("n").cast("string")).alias("case_id"), F.col("c.query").alias("query"), F.explode(wanted).alias("id"))

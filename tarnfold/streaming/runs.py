@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.session import shared_dir
+
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by type and window of event time; works on batches and on streams alike."""
@@ -16,10 +18,20 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
 
 
 def replay(spark: SparkSession, path: str) -> DataFrame:
-    """All files there are at path as one stream, to the end; gives the table of counts."""
+    """All files there are at path as one stream, to the end: a batch writes the windows that it changed, and state older than the watermark is dropped.
+
+    Results and the stream's checkpoint lie in the shared folder, so a stopped run goes on
+    where it was, and the driver holds none of it.
+    """
     schema = spark.read.parquet(path).schema
-    name = f"runs_{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/tarnfold-runs-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, so that a single file serves as well as a folder
-    query = windowed_counts(source).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/counts/batch={number}")
+
+    query = windowed_counts(source).writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    every = spark.read.schema("started timestamp, event_type string, n long, total double, batch int").parquet(f"{base}/counts")
+    # An updated window is written again by a later batch, and the last one counts.
+    return every.groupBy("started", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
