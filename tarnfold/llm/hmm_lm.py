@@ -4,17 +4,18 @@ The alphabet is the `VOCAB` most frequent training words (exact counts over all
 training texts), eight classes of rarer words by length and script, and the end of a
 text. Baum-Welch starts from the word frequencies, perturbed for each state. Every round
 is a Spark job over whole texts: tasks add up expected counts, which are summed by
-symbol. The first rounds tell the states apart on a `SHARE`-th of the training texts,
-taken by a hash and so growing with them; the others take all texts, until the
-likelihood of a token gains less than `SETTLED` nats. The scaled forward recursion then
+symbol. The first rounds tell the states apart on a 16th and then a quarter of the
+training texts, taken by a hash and so growing with them; the others take all. On each,
+rounds go on until the likelihood of a token gains less than `SETTLED` nats. The scaled forward recursion then
 gives the exact likelihood of every whole text. A rare word also pays its smoothed
 probability within its class, so the score is the probability of the text's words
 themselves.
 
-Texts lie cut into windows of `WINDOW` words, all worked through side by side. What a
-window does to any state before it is one small matrix; their products along a text give
-the states at its windows' edges, from both ends, so likelihoods and counts are those of
-whole texts, and a long text takes no more steps than a short one.
+Texts are worked through side by side, word by word, longest first. Where few are left,
+they are cut into windows of `WINDOW` words, side by side again: what a window does to
+any state before it is one small matrix, and their products along a text give the states
+at its windows' edges, from both ends. So likelihoods and counts are those of whole
+texts, and a very long text takes no more steps than others.
 
 Frequent words are looked up in a table of fixed size that every task holds; only
 rarer ones are shuffled, so no word's rows gather in one task.
@@ -41,8 +42,8 @@ from tarnfold.llm.workspace import Workspace, is_fold
 STATES, VOCAB, WORD_BYTES = 8, 32_000, 64
 RARE, END = VOCAB, VOCAB + 8
 SYMBOLS = END + 1
-WINDOW, TOGETHER = 128, 1 << 19  # words of a window, places of windows side by side
-SHARE, FIRST_ROUNDS, ROUNDS, SETTLED = 16, 10, 20, 0.01
+WINDOW, TOGETHER, NARROW = 128, 1 << 19, 48  # words of a window, words side by side, texts below which windows are
+SHARES, ROUNDS, SETTLED = (16, 4, 1), 50, 0.01
 FLUSH = 400_000
 LN10 = np.log(10.0)
 
@@ -107,12 +108,12 @@ def initial_model(unigram: np.ndarray, seed: int = 7) -> dict:
 
 
 def batches_of(seqs: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """Neighbouring sequences whose windows have about TOGETHER places, filled or not."""
+    """Neighbouring sequences of about TOGETHER words."""
     held: list[np.ndarray] = []
     size = 0
     for s in seqs:
         held.append(s)
-        size += -(-len(s) // WINDOW) * WINDOW
+        size += len(s)
         if size >= TOGETHER:
             yield held
             held, size = [], 0
@@ -126,14 +127,16 @@ def no_counts() -> dict:
 
 
 class Windows:
-    """The windows of whole sequences under a model: the states at their edges, and the sequences' log likelihoods.
+    """The windows of long sequences under a model: the states at their edges, and the sequences' log likelihoods.
 
-    Windows lie longest first and are worked through in slices of about TOGETHER places,
-    so that of a very long sequence only the edges are held whole.
+    A sequence goes on from the state `before` it, one row each. Windows lie longest first
+    and are worked through in slices of about TOGETHER places, so that of a very long
+    sequence only the edges are held whole.
     """
 
-    def __init__(self, model: dict, seqs: list[np.ndarray]) -> None:
-        states = model["move"].shape[0]
+    def __init__(self, scaled: tuple, seqs: list[np.ndarray], before: np.ndarray) -> None:
+        self.emit, self.most, self.move, _ = scaled
+        states = len(self.move)
         self.flat = np.concatenate(seqs)
         sizes = np.array([len(s) for s in seqs])
         count = -(-sizes // WINDOW)
@@ -141,20 +144,17 @@ class Windows:
         nth = np.arange(len(owner)) - head[owner]
         size = np.minimum(sizes[owner] - nth * WINDOW, WINDOW)
         order = np.argsort(-size, kind="stable")
-        self.size, self.first, self.begin = size[order], nth[order] == 0, ((np.cumsum(sizes) - sizes)[owner] + nth * WINDOW)[order]
-        # Emissions are held against the greatest of their symbol, so that products stay far from 0.
-        most = np.maximum(model["emit"].max(axis=1), 1e-300)
-        self.emit, self.most = (model["emit"] / most[:, None]).astype(np.float32), np.log(most)
-        self.move, self.start = model["move"].astype(np.float32), model["start"].astype(np.float32)
+        self.size, self.begin = size[order], ((np.cumsum(sizes) - sizes)[owner] + nth * WINDOW)[order]
         matrix, log = np.empty((len(order), states, states), np.float32), np.empty(len(order))
         for part in self.slices():
             matrix[part], log[part] = self._matrices(part, states)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
+        self.first = place[head]  # each sequence's first window
         self.enter, self.leave = np.empty((len(order), states), np.float32), np.ones((len(order), states), np.float32)
         falling = np.argsort(-count, kind="stable")
         running = np.searchsorted(-count[falling], -np.arange(int(count.max())), side="left").tolist()
-        self.log, a = np.zeros(len(seqs)), np.broadcast_to(self.start, (len(seqs), states))
+        self.log, a = np.zeros(len(seqs)), before[falling]
         for w, m in enumerate(running):
             k = place[head[falling[:m]] + w]
             self.enter[k] = a[:m]
@@ -181,7 +181,7 @@ class Windows:
     def _matrices(self, part: slice, states: int) -> tuple[np.ndarray, np.ndarray]:
         """What each window does to the state before it, and the logarithm of what was divided out."""
         symbols, inside, b, alive = self.opened(part)
-        matrix = np.where(self.first[part, None, None], np.eye(states, dtype=np.float32), self.move) * b[0][:, None, :]
+        matrix = self.move * b[0][:, None, :]
         log = np.where(inside, self.most[symbols], 0).sum(axis=0)
         for t in range(1, len(alive)):
             m = alive[t]
@@ -192,38 +192,103 @@ class Windows:
                 log += np.log(c)
         return matrix, log
 
+    def counted(self, total: dict) -> np.ndarray:
+        """Add the windows' expected counts to `total`; gives what each sequence says of the state before it."""
+        back, before = np.ascontiguousarray(self.move.T), np.empty_like(self.enter)
+        for part in self.slices():
+            symbols, inside, b, alive = self.opened(part)
+            enter, leave, size = self.enter[part], self.leave[part], self.size[part]
+            alpha, scale = np.zeros_like(b), np.ones(b.shape[:2], np.float32)
+            a = enter
+            for t, m in enumerate(alive):
+                x = (a[:m] @ self.move) * b[t, :m]
+                scale[t, :m] = np.maximum(x.sum(axis=1), 1e-30)
+                a = alpha[t, :m] = x / scale[t, :m, None]
+            last = alpha[size - 1, np.arange(len(size))]
+            beta = leave / np.maximum((last * leave).sum(axis=1, keepdims=True), 1e-30)
+            gamma = np.zeros_like(alpha)
+            for t in range(len(alive) - 1, -1, -1):
+                m = alive[t]
+                gamma[t, :m] = alpha[t, :m] * beta[:m]
+                x = b[t, :m] * beta[:m] / scale[t, :m, None]
+                total["move"] += (alpha[t - 1, :m] if t else enter).T @ x
+                beta[:m] = x @ back
+            before[part] = beta
+            add_emissions(total, symbols[inside], gamma[inside])
+        return before[self.first]
 
-def expected_counts(model: dict, seqs: list[np.ndarray], total: dict) -> None:
-    """Add the expected counts of whole sequences to `total`: scaled forward-backward in many windows at once."""
-    w = Windows(model, seqs)
-    back = np.ascontiguousarray(w.move.T)
-    for part in w.slices():
-        symbols, inside, b, alive = w.opened(part)
-        enter, leave, first, size = w.enter[part], w.leave[part], w.first[part], w.size[part]
-        alpha, scale = np.zeros_like(b), np.ones(b.shape[:2], np.float32)
-        a = np.where(first[:, None], enter, enter @ w.move)
-        for t, m in enumerate(alive):
-            x = (a if t == 0 else a[:m] @ w.move) * b[t, :m]
-            scale[t, :m] = np.maximum(x.sum(axis=1), 1e-30)
-            a = alpha[t, :m] = x / scale[t, :m, None]
-        last = alpha[size - 1, np.arange(len(size))]
-        beta = leave / np.maximum((last * leave).sum(axis=1, keepdims=True), 1e-30)
-        gamma = np.zeros_like(alpha)
-        for t in range(len(alive) - 1, -1, -1):
-            m = alive[t]
-            gamma[t, :m] = alpha[t, :m] * beta[:m]
-            x = b[t, :m] * beta[:m] / scale[t, :m, None]
+
+def add_emissions(total: dict, symbols: np.ndarray, mass: np.ndarray) -> None:
+    for s in range(mass.shape[1]):
+        total["emit"][:, s] += np.bincount(symbols, weights=mass[:, s], minlength=len(total["emit"]))
+
+
+def scaled_model(model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions held against the greatest of their symbol, so that products stay far from 0; the logarithms of those; moves and starts."""
+    most = np.maximum(model["emit"].max(axis=1), 1e-300)
+    return (model["emit"] / most[:, None]).astype(np.float32), np.log(most), model["move"].astype(np.float32), model["start"].astype(np.float32)
+
+
+class SideBySide:
+    """Whole sequences under a model, longest first: step by step while NARROW or more of them still run, then by windows."""
+
+    def __init__(self, model: dict, seqs: list[np.ndarray]) -> None:
+        self.order = np.argsort([-len(s) for s in seqs], kind="stable")
+        seqs = [seqs[i] for i in self.order]
+        sizes = np.array([len(s) for s in seqs])
+        self.scaled = scaled_model(model)
+        emit, most, move, start = self.scaled
+        narrow = int(sizes[min(NARROW, len(sizes)) - 1]) if len(sizes) >= NARROW else 0
+        # The head ends where fewer than NARROW run on; a little beyond, if all end soon.
+        steps = int(sizes[0]) if int(sizes[0]) - narrow <= WINDOW else max(1, narrow)
+        self.alive = np.searchsorted(-sizes, -np.arange(steps + 1), side="left").tolist()
+        head = np.minimum(sizes, steps)
+        base = np.cumsum([0, *self.alive[:-1]])
+        self.base = base.tolist()
+        owner = np.repeat(np.arange(len(seqs)), head)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(head) - head, head)
+        self.symbols = np.empty(len(owner), np.uint16)
+        self.symbols[base[at] + owner] = np.concatenate([s[:steps] for s in seqs])
+        self.b = emit[self.symbols]
+        self.alpha, self.scale = np.empty_like(self.b), np.empty(len(self.b), np.float32)
+        self.log, a = np.zeros(len(seqs)), None
+        for t in range(steps):
+            m, i, j = self.alive[t], self.base[t], self.base[t + 1]
+            x = (start if a is None else a[:m] @ move) * self.b[i:j]
+            c = np.maximum(x.sum(axis=1), 1e-30)
+            a = self.alpha[i:j] = x / c[:, None]
+            self.scale[i:j] = c
+            self.log[:m] += np.log(c)
+        self.log += np.bincount(owner, weights=most[self.symbols][base[at] + owner], minlength=len(seqs))
+        left = self.alive[steps]
+        self.tail = Windows(self.scaled, [s[steps:] for s in seqs[:left]], a[:left]) if left else None
+        if left:
+            self.log[:left] += self.tail.log
+
+    def counted(self, total: dict) -> None:
+        back = np.ascontiguousarray(self.scaled[2].T)
+        beta = np.ones((self.alive[0], len(back)), np.float32)
+        if self.tail is not None:
+            beta[: self.alive[-1]] = self.tail.counted(total)
+        gamma = np.empty_like(self.alpha)
+        for t in range(len(self.alive) - 2, -1, -1):
+            m, i, j = self.alive[t], self.base[t], self.base[t + 1]
+            gamma[i:j] = self.alpha[i:j] * beta[:m]
             if t:
-                total["move"] += alpha[t - 1, :m].T @ x
+                x = self.b[i:j] * beta[:m] / self.scale[i:j, None]
+                before = self.base[t - 1]
+                total["move"] += self.alpha[before : before + m].T @ x
                 beta[:m] = x @ back
-            else:
-                total["move"] += enter[~first].T @ x[~first]
-        at, mass = symbols[inside], gamma[inside]
-        for s in range(mass.shape[1]):
-            total["emit"][:, s] += np.bincount(at, weights=mass[:, s], minlength=len(total["emit"]))
-        total["start"] += gamma[0][first].sum(axis=0)
+        add_emissions(total, self.symbols, gamma)
+        total["start"] += gamma[: self.alive[0]].sum(axis=0)
+
+
+def expected_counts(model: dict, seqs: list[np.ndarray], total: dict) -> None:
+    """Add the expected counts of whole sequences to `total`, by the scaled forward-backward recursion."""
+    w = SideBySide(model, seqs)
+    w.counted(total)
     total["log"] += float(w.log.sum())
-    total["n"] += len(w.flat)
+    total["n"] += sum(map(len, seqs))
 
 
 def maximised(total: dict, model: dict, unigram: np.ndarray) -> dict:
@@ -261,22 +326,30 @@ def baum_welch_round(seqs: DataFrame, model: dict, unigram: np.ndarray) -> tuple
     return maximised({"emit": rows[:SYMBOLS], "move": rows[SYMBOLS : SYMBOLS + STATES], "start": rows[SYMBOLS + STATES]}, model, unigram), float(log / n)
 
 
-def baum_welch(seqs: DataFrame, unigram: np.ndarray) -> dict:
-    """Rounds until the likelihood settles. seqs has key and seq."""
+def baum_welch(seqs: DataFrame, unigram: np.ndarray, ws: Workspace) -> dict:
+    """Rounds over growing shares until the likelihood settles on each. seqs has key and seq."""
     model = initial_model(unigram)
-    for part, rounds in ((seqs.filter(F.pmod(F.xxhash64("key"), F.lit(SHARE)) == 0), FIRST_ROUNDS), (seqs, ROUNDS)):
+    for share in SHARES:
+        part = seqs if share == 1 else ws.save(seqs.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), f"share{share}")
         before = None
-        for _ in range(rounds):
+        for _ in range(ROUNDS):
             model, now = baum_welch_round(part, model, unigram)
-            if now is None or (before is not None and part is seqs and now - before < SETTLED):
+            if now is None or (before is not None and now - before < SETTLED):
                 break
             before = now
+        if share != 1:
+            ws.drop(f"share{share}")
     return model
 
 
 def forward_log10(model: dict, seqs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each whole sequence by the scaled forward recursion."""
-    out = [Windows(model, part).log for part in batches_of(seqs)]
+    out = []
+    for part in batches_of(seqs):
+        w = SideBySide(model, part)
+        log = np.empty(len(part))
+        log[w.order] = w.log
+        out.append(log)
     return np.concatenate(out) / LN10 if out else np.zeros(0)
 
 
@@ -328,7 +401,7 @@ def fit_and_score(docs: DataFrame, held_out: Column, learn: Column, name: str =
     unigram[: len(hot)] = hot["n"]
     unigram[RARE:END] = [rest[c][0] for c in range(8)]
     unigram[END] = ends
-    model = baum_welch(encoded.filter("learn").select("key", "seq"), unigram / max(1, unigram.sum()))
+    model = baum_welch(encoded.filter("learn").select("key", "seq"), unigram / max(1, unigram.sum()), ws)
 
     denominator = n_all + 0.5 * (v_all + 1)
     base, known = np.zeros(SYMBOLS), np.zeros(SYMBOLS, np.int64)

@@ -7,12 +7,14 @@ exceeds 1 is skipped in the join itself. In others, a threshold of at least
 `COORDINATE_FROM` prunes by ranges of the query's heaviest coordinates and a lower one
 by length; what is left is verified by exact integer products.
 
-Every bucket is met by every block of queries that it may serve, packed as one row
-each, so no step emits a row for each pair of vectors.
+Vectors travel packed, a bucket or a block of queries a row, so no step emits a row for
+each pair of vectors. Buckets of near lengths form at most GROUPS groups; a block of
+queries is sent to those groups alone whose longest vector can reach its bound.
 
 Defined cases: a vector that is null or holds a null or non-finite component takes no
 part; vectors shorter than the longest count as padded by zeros; exact repeats of a
-row collapse, and of rows that share an id but differ the least vector counts; with
+row collapse, and of rows that share an id but differ the least vector counts (the SQL
+below says the same); with
 fewer than k candidates all are returned; products beyond the range of a long are
 clamped to it.
 """
@@ -26,7 +28,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS, QUERY_ROWS, COORDINATE_FROM, COORDINATES = 4096, 1024, 0.75, 4
+from tarnfold.llm.workspace import Workspace
+
+BUCKET_ROWS, QUERY_ROWS, GROUPS, COORDINATE_FROM, COORDINATES = 4096, 1024, 2048, 0.75, 4
 SCALE = 1024.0
 LONG = 2**63
 
@@ -119,13 +123,14 @@ def _survivors(q: np.ndarray, bound: float, unit: np.ndarray, norm: np.ndarray,
     return np.nonzero(keep)[0]
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 10, name: str = "topk") -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each row for which `queries` holds."""
     spark = vectors.sparkSession
+    ws = Workspace(spark, name)
     rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", scaled(F.col("embedding")).alias("v"))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("norm", length(F.col("v"))).persist()
+    rows = ws.save(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("norm", length(F.col("v"))), "rows")
     width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1)
-    buckets = rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id").mapInPandas(_pack(BUCKET_ROWS, width, True), PACKED).persist()
+    buckets = ws.save(rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id").mapInPandas(_pack(BUCKET_ROWS, width, True), PACKED), "buckets")
     n_buckets = buckets.count()
     head = buckets.orderBy(F.desc("most"), "block").limit(1).collect()  # one bucket of BUCKET_ROWS vectors
     head_ids, head_mat = (head[0]["ids"], head[0]["mat"]) if head else (b"", b"")
@@ -140,9 +145,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
                 yield pd.DataFrame({"q_ids": [r.ids], "q_mat": [r.mat], "bounds": [b.tobytes()], "need": [float(need.min()) * (1 - 1e-9)]})
 
     asked = rows.filter(queries).mapInPandas(_pack(QUERY_ROWS, width, False), PACKED).mapInPandas(bound, "q_ids binary, q_mat binary, bounds binary, need double")
-    groups = max(1, min(n_buckets, 2048))
-    asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    cells = asked.join(buckets.withColumn("g", F.pmod(F.hash("block"), F.lit(groups))), "g").filter(F.col("most") >= F.col("need"))
+    # Buckets of near lengths are a group; a block of queries goes to the groups that can hold a candidate, and only there.
+    groups = max(1, min(n_buckets, GROUPS))
+    tops = sorted(set(buckets.approxQuantile("most", [(i + 1) / groups for i in range(groups)], 0.0)))  # at most GROUPS numbers
+    upper = F.lit(tops).cast("array<double>")
+    group = F.array_position(F.transform(upper, lambda t: F.col("most") <= t), True)
+    asked = asked.withColumn("g", F.explode(F.filter(F.sequence(F.lit(1).cast("long"), F.lit(len(tops)).cast("long")), lambda g: F.element_at(upper, g.cast("int")) >= F.col("need"))))
+    cells = asked.join(buckets.withColumn("g", group), "g").filter(F.col("most") >= F.col("need"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -157,7 +166,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
                     at = _survivors(q[i], bounds[i], unit, norm, mat)
                     at = at[ids[at] != qid]
                     score = _products(q[i : i + 1], mat[at])[0] if len(at) else np.zeros(0)
-                    keep = np.nonzero(score >= bounds[i])[0] if np.isfinite(bounds[i]) else np.arange(len(at))
+                    keep = np.nonzero(score.astype(np.float64) >= bounds[i])[0] if np.isfinite(bounds[i]) else np.arange(len(at))
                     best = keep[np.lexsort((ids[at[keep]], -score[keep].astype(np.float64)))[: k + 0]] if score.dtype != object else np.array(sorted(keep, key=lambda j: (-score[j], ids[at[j]]))[:k], dtype=int)
                     out.append((int(qid), ids[at[best]], score[best]))
                 yield pd.DataFrame({"query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64), "vec_id": np.concatenate([o[1] for o in out]).astype(np.int64), "score": np.concatenate([o[2] for o in out]).astype(np.int64)})
@@ -169,14 +178,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    return top_k(vectors, F.col("vec_id") % 100 == 0, 10)
+    return top_k(vectors, F.col("vec_id") % 100 == 0, 10, "op3")
 
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  SELECT vec_id, min([CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding]) AS q
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  GROUP BY vec_id
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
          CAST(list_dot_product([CAST(x AS DOUBLE) FOR x IN a.q], [CAST(x AS DOUBLE) FOR x IN b.q]) AS BIGINT) AS score

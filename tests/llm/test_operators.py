@@ -199,9 +199,10 @@ def test_forward_is_the_sum_over_paths():
         assert abs(math.log10(total) - got) < 1e-5
 
 
-@pytest.mark.parametrize("window", [2, 128])
-def test_expected_counts_are_those_of_all_paths(window, monkeypatch):
+@pytest.mark.parametrize(("window", "narrow"), [(2, 1), (2, 3), (2, 9), (128, 48)])
+def test_expected_counts_are_those_of_all_paths(window, narrow, monkeypatch):
     monkeypatch.setattr(hmm_lm, "WINDOW", window)
+    monkeypatch.setattr(hmm_lm, "NARROW", narrow)
     monkeypatch.setattr(hmm_lm, "TOGETHER", 3 * window)
     monkeypatch.setattr(hmm_lm, "STATES", 3)
     rng = np.random.default_rng(4)
@@ -263,7 +264,10 @@ def test_em_learns_reliabilities():
     assert post["phone", "++++"] > 0.9 > 0.1 > post["phone", "----"]
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("bucket", [4096, 24])
+def test_topk(spark, bucket, monkeypatch):
+    monkeypatch.setattr(topk_search, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", 2)
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.normal(0, 1 + (i % 7), 6)], "x") for i in range(400)]
     rows += [(400, None, ""), (401, [1.0, None, 0.0], ""), (402, [float("nan")] * 6, ""), (403, [float("inf")] * 6, ""), (404, rows[3][1], ""), (500, rows[3][1], ""), (3, rows[3][1], "y"), (600, [], "")]
@@ -279,6 +283,23 @@ def test_topk(spark):
     assert topk_search.top_k(frame.limit(0), topk_search.F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_skips_short_vectors(spark, monkeypatch):
+    """Lengths over many buckets: queries don't reach the groups of short vectors, and huge products are clamped."""
+    monkeypatch.setattr(topk_search, "BUCKET_ROWS", 16)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 5) * 1.05 ** (400 - i)]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk_search.top_k(frame, topk_search.F.col("vec_id") % 100 == 0, 3).collect())
+    vec = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 100, 200, 300):
+        best = sorted((-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(vec[q], vec[c])))), c) for c in vec if c != q)[:3]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert got == sorted(want)
+    big = spark.createDataFrame([(0, [1e12, 1e12]), (1, [1e12, 1e12]), (2, [-1e12, -1e12])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk_search.top_k(big, topk_search.F.col("vec_id") == 0, 2).orderBy("rank").collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
+
+
 def test_urls(spark):
     duckdb = pytest.importorskip("duckdb")
     rows = [(i, f"https://h{i % 7}.org/x" if i % 3 else f"http://b{i % 4}.net/es/1", f"<a href=\"https://h{(i * 5 + 1) % 7}.org/q\"> <A class=x HREF='//b{i % 4}.net/z'>", 1) for i in range(60)]
