@@ -12,7 +12,7 @@ from tarnfold.functions import rules
         ("rewrite_pattern", {"pattern": r"(\d+) USD", "replacement": r"$\1"}, "5 USD and 6 USD", "$5 and $6", 2),
         ("strip_headers_footers", {"first_n": 1, "last_n": 1, "patterns": ["^--"]}, "head\na\n-- x\nb\nfoot", "a\nb", 3),
         ("normalize_headings", {}, "Title\n=====\n\nPart\n---\nx\n\n---", "# Title\n\n## Part\nx\n\n---", 2),
-        ("fix_numbered_headings", {}, "## 1.1.8 A\n## 1.11 B\n## 1 C\n## D", "### 1.1.8 A\n## 1.11 B\n# 1 C\n## D", 2),
+        ("fix_numbered_headings", {}, "# 4.2.7 Pumps\n## 3.12 Valves\n#### 9 Ends\n## Plain", "### 4.2.7 Pumps\n## 3.12 Valves\n# 9 Ends\n## Plain", 2),
         ("merge_hardwrapped_paragraphs", {}, "one\n two \nthree\n\n# H\nfour\n- item\nfive\nsix", "one two three\n\n# H\nfour\n- item\nfive six", 3),
         ("fix_bullets", {}, "* a\n```\n* b\n```\n  + c", "- a\n```\n* b\n```\n  - c", 2),
         ("fix_bullets", {}, "no bullets", "no bullets", 0),

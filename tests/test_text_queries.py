@@ -9,15 +9,18 @@ from tarnfold.functions import decisions, markdown, ordered
 @pytest.mark.parametrize(
     ("step", "text", "want"),
     [
-        (markdown.collapse_newlines, "A\n\n\n\n\nB", "A\n\nB"),
-        (markdown.strip_broken_links, "[click here]() [x](#) [y](z)", "click here x [y](z)"),
-        (ordered.repair_headings, "# H1\n#### H4\n## H2", "# H1\n## H4\n## H2"),
-        (markdown.strip_trailing_whitespace, "hello   \nworld  ", "hello\nworld"),
-        (markdown.join_superscripts, "±1×10 -7 on the 1 st, 10 -7", "±1×10^-7 on the 1st, 10 -7"),
-        (markdown.strip_bullet_glyphs, "- • one\n*  two\n• three", "- one\n* two\n• three"),
-        (markdown.normalize_markdown, "# T\nx\r\n1) a", "# T\n\nx\n1. a\n"),
-        (markdown.strip_frontmatter, "---\na: 1\n---\nbody", "body"),
-        (markdown.blank_page_numbers, "Page 3 of 9\n 4 \ntext 5", "\n\ntext 5"),
+        (markdown.collapse_newlines, "one\n\n\ntwo\n\nthree\n\n\n\n", "one\n\ntwo\n\nthree\n\n"),
+        (markdown.strip_broken_links, "see [here]( ) or [there](# ), not [this](u)", "see here or there, not [this](u)"),
+        (ordered.repair_headings, "### start\n##### far below\ntext\n# up\n### down\n#no", "### start\n#### far below\ntext\n# up\n## down\n#no"),
+        (markdown.strip_trailing_whitespace, "kept  inside \t\n\u3000\n end\u00a0", "kept  inside\n\n end"),
+        (markdown.join_superscripts, "5x10\n−3 kg by the 22 nd of 10 5", "5x10^−3 kg by the 22nd of 10 5"),
+        (markdown.strip_bullet_glyphs, "* ▪ cell\n3)    gap\n▪ alone \ue0b7x", "* cell\n3) gap\n▪ alone x"),
+        (markdown.normalize_markdown, "## Part\nbody\r\n\r\n\r\n2) item\n", "## Part\n\nbody\n\n2. item\n"),
+        (markdown.strip_frontmatter, "---\nk: v\nl: w\n---\nrest\n---\n", "rest\n---\n"),
+        (markdown.blank_page_numbers, "12 / 40\nPAGE 2 of 3  \npages 4\n 9", "\n\npages 4\n"),
+        (ordered.html_unescape, "a &lt;b&gt; &#228; &#x3b1; &amp;amp; & co", "a <b> ä α &amp; & co"),
+        (ordered.blank_repeated_cells, "|x|x|\n|-|-|\n|---|---|\n| y | y |", "|x|x|\n|-|-|\n|---|---|\n| y | y |"),
+        (ordered.blank_repeated_headings, "# T\na\n## T\n# U\n# U", "# T\na\n\n# U\n# U"),
     ],
 )
 def test_step(spark, step, text, want):
