@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ NO_ID = 2**63 - 1  # stands for a null id, above all others
 SCHEMA = "block long, rows binary, ids binary, starts binary, text binary"
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     base, seq = TaskContext.get().partitionId() << 24, 0
     texts: list[bytes] = []
     ids: list[int] = []
@@ -40,7 +41,7 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for i, t, r in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["row"].tolist(), strict=True):
             b = t.encode("utf-8", "surrogatepass") if t is not None else b""
-            if texts and (size + len(b) > BLOCK_BYTES or len(texts) == BLOCK_ROWS):
+            if texts and (size + len(b) > most or len(texts) == BLOCK_ROWS):
                 yield out()
                 seq, size = seq + 1, 0
                 texts.clear()
@@ -60,7 +61,7 @@ class Blocks:
     def __init__(self, docs: DataFrame, name: str, row: str | None = None) -> None:
         self.spark: SparkSession = docs.sparkSession
         self.table = f"tarnfold_{name}_{uuid.uuid4().hex}"
-        packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row") if row else F.lit(0).cast("long").alias("row")).mapInPandas(_pack, SCHEMA)
+        packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row") if row else F.lit(0).cast("long").alias("row")).mapInPandas(partial(_pack, most=BLOCK_BYTES), SCHEMA)
         self.buckets = max(1, min(20_000, docs.rdd.getNumPartitions()))
         packed.write.option("compression", "zstd").bucketBy(self.buckets, "block").saveAsTable(self.table)
         self.count = self.spark.table(self.table).select("block").count()

@@ -232,10 +232,7 @@ def label_texts(model: dict, texts: list[str | None]) -> pd.DataFrame:
 RESULT = "lang_pred string, score double, span_start array<int>, span_end array<int>, span_lang array<string>"
 
 
-def labeller(spark: SparkSession, model: dict) -> Callable[[Column], Column]:
-    """A column function of text; the model, of a size fixed by the number of languages, is broadcast."""
-    shared = spark.sparkContext.broadcast(model)
-
+def _label(shared):
     @F.pandas_udf(RESULT)
     def label(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
@@ -244,6 +241,12 @@ def labeller(spark: SparkSession, model: dict) -> Callable[[Column], Column]:
     return label
 
 
+def labelled(docs: DataFrame, model: dict) -> DataFrame:
+    """docs as `doc` with `found`, the language of each text; the model, of a size fixed by the number of languages, is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select(F.struct("*").alias("doc"), _label(shared)(F.col("text")).alias("found"))
+
+
 def in_training(key: Column) -> Column:
     return ~is_fold(key, 5, 0) & key.isNotNull()
 
@@ -251,16 +254,14 @@ def in_training(key: Column) -> Column:
 def predict(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, prediction and spans of every row of docs, learning from its training fold."""
     model = train(docs, in_training(F.col("doc_id")))
-    label = labeller(docs.sparkSession, model)
-    rows = docs.select("doc_id", is_fold(F.col("doc_id"), 5, 0).alias("held_out"), label(F.col("text")).alias("found"))
-    return rows.select("doc_id", "held_out", "found.*")
+    rows = labelled(docs.select("doc_id", "text"), model)
+    return rows.select("doc.doc_id", is_fold(F.col("doc.doc_id"), 5, 0).alias("held_out"), "found.*")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of docs whose text has one language for at least that share of its letters; columns unchanged."""
     model = train(docs, in_training(F.col("doc_id")))
-    found = labeller(docs.sparkSession, model)(F.col("text"))
-    return docs.select(F.struct("*").alias("doc"), found.alias("found")).filter((F.col("found.lang_pred") != "und") & (F.col("found.score") >= least)).select("doc.*")
+    return labelled(docs, model).filter((F.col("found.lang_pred") != "und") & (F.col("found.score") >= least)).select("doc.*")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

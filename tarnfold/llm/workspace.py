@@ -1,34 +1,35 @@
 """Intermediate tables in the shared folder that the cluster names in spark.checkpoint.dir.
 
 Written tables cut lineage and survive lost executors: a task that is lost is run
-again from files which every executor can read.
+again from files which every executor can read. What a result still reads stays until
+the driver ends, and goes then.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local one is set only where it is unset and the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.conf.set("tarnfold.local.shared", spark.conf.get("tarnfold.local.shared", f"file:///tmp/tarnfold-{uuid.uuid4().hex}"))
-    return spark.conf.get("tarnfold.local.shared")
+from tarnfold.session import shared_dir
 
 
 class Workspace:
-    """A folder of one run of an operator. Tables are dropped as soon as nothing reads them."""
+    """A folder of one run of an operator. Tables that no result reads are dropped on the way, the others with the driver."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/tarnfold-{name}-{uuid.uuid4().hex}"
+        atexit.register(self._leave)
+
+    def _leave(self) -> None:
+        try:
+            self.drop("")
+        except (Py4JError, OSError, AttributeError):  # the JVM ended first
+            pass
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write df and read it back with its own schema, so empty results keep their columns."""

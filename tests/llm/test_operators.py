@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tarnfold.llm import decontaminate, hmm_lm, language_id, mixing, ngram_join, pii, sharding, suffix_dedup, topk_search, url_filter
+from tarnfold.llm import blocks, decontaminate, hmm_lm, language_id, mixing, ngram_join, pii, sharding, suffix_dedup, topk_search, url_filter
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, label string"
@@ -93,9 +93,11 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("cell", [512, 2])
-def test_ngram_join(docs, rows, cell, monkeypatch):
+@pytest.mark.parametrize(("cell", "most", "hot"), [(512, 4 << 20, 1024), (2, 900, 1)])
+def test_ngram_join(docs, rows, cell, most, hot, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL_DOCS", cell)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", most)
     sets = [(10**9 if r[0] is None else r[0], shingles(r[1])) for r in rows]
     component = {i: i for i, _ in sets}
     for _ in range(4):
@@ -111,6 +113,17 @@ def test_ngram_join(docs, rows, cell, monkeypatch):
         assert kept.columns == docs.columns and kept.count() == len(set(component.values()))
 
 
+def test_components_of_long_chains(spark, tmp_path):
+    rng = random.Random(9)
+    order = list(range(300))
+    rng.shuffle(order)
+    edges = [(order[i], order[i + 1]) for i in range(299) if i % 100 != 99] + [(1000 + i, 1000) for i in range(50)] + [(7, 7)]
+    ws = ngram_join.Workspace(spark, "chains")
+    got = {r["node"]: r["label"] for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long"), ws, "c").collect()}
+    want = {n: min(order[a : a + 100]) for a in (0, 100, 200) for n in order[a : a + 100]} | {1000 + i: 1000 for i in range(50)}
+    assert got == want
+
+
 def test_ngram_join_of_nothing(empty):
     assert ngram_join.classes(empty).count() == 0
 
@@ -130,7 +143,10 @@ def test_keep_first_tells_rows_of_one_id_apart(spark):
     assert len(one) == 1 and sorted(map(repr, got)) == sorted(map(repr, [*want, *one]))
 
 
-def test_suffix_dedup(spark, docs, rows, empty):
+@pytest.mark.parametrize("most", [4 << 20, 900])
+def test_suffix_dedup(spark, docs, rows, empty, most, monkeypatch):
+    """With blocks of 900 bytes a task holds many blocks, and the text of 4,000 words is larger than one."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", most)
     seen, want = {}, []
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     for i, t, *_ in order:
