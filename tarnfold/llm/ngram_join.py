@@ -38,28 +38,52 @@ WORDS, PERCENT = 5, 80
 CELL_DOCS, CELL_SHINGLES = 512, 1_000_000
 MOST_ROUNDS = 500  # of components; they settle in about the square of the logarithm of the longest chain, and more is an error
 HOT = 1024  # documents of a shingle that share a hub; a more common one gets several, and a hub of hubs
+SLICE = 1 << 18  # bytes hashed at once
 COSTS = [64, 1024, 16384]  # estimated candidates from which one more shared shingle is asked for
 PICKED, TOTALS, PLACED = 0, 1 << 20, 1 << 21  # kinds of replies to blocks
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))), dtype=np.uint64)
+
+
+# Bytes with A-Z lower-cased, an odd base, and a factor for each word of a shingle.
+_VALUE = np.array([x + 33 if 65 <= x <= 90 else x + 1 for x in range(256)], np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_FACTORS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+
+
 def word_hashes(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document of every word of a block."""
-    low = np.where((text >= 65) & (text <= 90), text + 32, text).astype(np.uint8)
+    """Hash and document of every word of a block.
+
+    A word's hash is a difference of running sums of its bytes times powers of an odd
+    base, turned back by the inverse power of where it begins. Stretches of about SLICE
+    bytes, which end where a word begins, are summed at a time.
+    """
     inside = ~_BLANK[text]
     begins = np.zeros(len(text) + 1, bool)
     begins[starts] = True
     start = np.nonzero(inside & (np.append(True, ~inside[:-1]) | begins[:-1]))[0]
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.nonzero(inside)[0]
-    first = np.searchsorted(at, start)
-    size = np.diff(np.append(first, len(at)))
-    place = np.arange(len(at)) - np.repeat(first, size)
-    power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-    h = np.add.reduceat((low[at].astype(np.uint64) + np.uint64(1)) * power[place], first)
-    return mix(h + size.astype(np.uint64)), np.searchsorted(starts, start, side="right") - 1
+    end = np.nonzero(inside & (np.append(~inside[1:], True) | begins[1:]))[0]
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + SLICE)))
+        low, n = int(start[i]), int(end[j - 1] - start[i]) + 1
+        power, inverse = (_POWERS if n <= SLICE * 2 else (_powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUE[text[low : low + n]] * power[:n], out=sums[1:])
+        at = start[i:j] - low
+        out[i:j] = (sums[end[i:j] - low + 1] - sums[at]) * inverse[at]
+        i = j
+    return mix(out + (end - start + 1).astype(np.uint64)), np.searchsorted(starts, start, side="right") - 1
+
+
+_POWERS = _powers(_BASE, SLICE * 2), _powers(pow(_BASE, -1, 2**64), SLICE * 2)
 
 
 def shingle_sets(row) -> tuple[np.ndarray, np.ndarray]:
@@ -68,26 +92,27 @@ def shingle_sets(row) -> tuple[np.ndarray, np.ndarray]:
     n_docs = len(starts) - 1
     word, doc = word_hashes(text, starts)
     n_words = np.bincount(doc, minlength=n_docs)
-    parts, owners = [], []
-    if len(word) >= WORDS:
-        h = word[: len(word) - WORDS + 1]
+    begin = np.cumsum(n_words) - n_words
+    # Where a document's shingles lie: as many as its words less four, one if it has fewer words, none without.
+    n = np.where(n_words >= WORDS, n_words - WORDS + 1, (n_words > 0).astype(np.int64))
+    bound = np.concatenate(([0], np.cumsum(n)))
+    h = np.empty(bound[-1], np.uint64)
+    long = n_words >= WORDS
+    if long.any():
+        count = len(word) - WORDS + 1
+        every = word[:count] * _FACTORS[0]
         for k in range(1, WORDS):
-            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + word[k : len(word) - WORDS + 1 + k])
-        own = doc[: len(h)]
-        whole = own == doc[WORDS - 1 :]
-        parts.append(h[whole])
-        owners.append(own[whole])
-    begin = np.concatenate(([0], np.cumsum(n_words)))
-    for d in np.nonzero((n_words > 0) & (n_words < WORDS))[0]:
-        digest = hashlib.blake2b(word[begin[d] : begin[d + 1]].tobytes(), digest_size=8).digest()
-        parts.append(np.frombuffer(digest, np.uint64))
-        owners.append(np.array([d]))
-    h, d = (np.concatenate(parts), np.concatenate(owners)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])) if len(h) else np.zeros(0, bool)
-    h, d = h[new], d[new]
-    return h, np.searchsorted(d, np.arange(n_docs + 1))
+            every += word[k : count + k] * _FACTORS[k]
+        h[np.repeat(long, n)] = mix(every[doc[:count] == doc[WORDS - 1 :]])
+    for d in np.nonzero(~long & (n_words > 0))[0]:
+        h[bound[d]] = np.frombuffer(hashlib.blake2b(word[begin[d] : begin[d] + n_words[d]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[bound[:-1][n > 0]] = True
+    kept = np.concatenate(([0], np.cumsum(new)))
+    return h[new], kept[bound]
 
 
 def _kind(row, low: int, high: int) -> list[bytes]:
@@ -118,18 +143,26 @@ def _counts(row) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h >> np.uint64(64 - BITS), return_counts=True)
 
 
-def _ordered(row) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
-    """(row, shingles from rare to common, their document counts, base prefix, l) of each representative."""
+def _ordered(row, wanted: set[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
+    """(row, shingles from rare to common, their document counts, base prefix, l) of each representative, or of those wanted."""
     rows, h, b = _picked_sets(row)
     short = h >> np.uint64(64 - BITS)
     replies = _kind(row, TOTALS, PLACED)
     total = np.concatenate([unsqueeze(r, np.uint32) for r in replies]) if replies else np.zeros(0, np.uint32)
-    count = total[np.searchsorted(np.unique(short), short)].astype(np.int64)
+    # Totals come in the order of the block's distinct hashes.
+    order = np.argsort(short)
+    sorted_short = short[order]
+    count = np.empty(len(h), np.int64)
+    if len(h):
+        count[order] = total[np.cumsum(np.append(False, sorted_short[1:] != sorted_short[:-1]))]
     for i, r in enumerate(rows.tolist()):
+        if wanted is not None and r not in wanted:
+            continue
         s, c = h[b[i] : b[i + 1]], count[b[i] : b[i + 1]]
         n = len(s)
-        order = np.lexsort((s, c))
-        s, c = s[order], c[order]
+        # Sets are sorted, so a stable sort orders by count, then hash; counts beyond 65,535 count as that.
+        rare = np.argsort(np.minimum(c, 65535).astype(np.uint16), kind="stable")
+        s, c = s[rare], c[rare]
         prefix = n - -(-PERCENT * n // 100) + 1
         cost = int((c[:prefix] - 1).sum())
         yield r, s, c, prefix, 1 + sum(cost >= x for x in COSTS)
@@ -157,7 +190,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not got:
                 continue
             place = {int(r): (int(nb), int(g)) for r, nb, g in np.frombuffer(got[0], np.int64).reshape(-1, 3)}
-            out = [(nb, g, (row.block << 16) + r, len(s), prefix, times, s.tobytes()) for r, s, _, prefix, times in _ordered(row) if r in place for nb, g in [place[r]]]
+            out = [(nb, g, (row.block << 16) + r, len(s), prefix, times, s.tobytes()) for r, s, _, prefix, times in _ordered(row, set(place)) for nb, g in [place[r]]]
             yield pd.DataFrame(out, columns=["nb", "g", "key", "n", "prefix", "times", "set"])
 
 
