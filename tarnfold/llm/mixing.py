@@ -115,6 +115,8 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], ws: Workspac
     label = F.create_map(*[x for i, d in enumerate(held) for x in (F.lit(d), F.lit(float(i)))])
     table = vectors.transform(rows.select(F.element_at(label, F.col("domain")).alias("label"), "terms"))
     fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=FIT_ROUNDS, standardization=False).fit(table)
+    fitted.write().overwrite().save(f"{ws.path}/classifier")
+    fitted = LogisticRegressionModel.load(f"{ws.path}/classifier")  # without the fit's summary, which holds the session and its table
     fitted.setPredictionCol("").setRawPredictionCol("")
     return Classifier(prior, vectors, fitted, tuple(held.index(d) if d in held else -1 for d in domains))
 

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfold.llm.blocks import BITS, NO_ID, Blocks, document_counts, mix, opened, unsqueeze
@@ -198,14 +198,13 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """node, label: the smallest node of each connected component, for nodes of edges (a, b), by alternating large and small stars until a round changes nothing."""
     now, before = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
     for i in range(MOST_ROUNDS):
-        seen = Observation(f"{name}{i}")
-        mark = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
-        now = ws.save(now.observe(seen, *mark), f"{name}{i}")
+        now = ws.save(now, f"{name}{i}")
         if i:
             ws.drop(f"{name}{i - 1}")
-        if seen.get == before:
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-        before = seen.get
+        before = mark
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least.hint("shuffle_hash"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -24,12 +24,12 @@ def folder(spark, tmp_path_factory):
     items = [(i, sentence(rng, english, 30)) for i in range(15)]
     rows = []
     for i in range(160):
-        bad = i % 8 == 0
+        bad = i % 4 == 0
         rows.append((i, sentence(rng, english if i % 2 else other, rng.randrange(60, 90)) + (" vile vile vile" if bad else " kind"), "en" if i % 2 else "xx"))
     rows += [(200 + k, rows[k][1] + " end", rows[k][2]) for k in (1, 2, 3)]  # near copies of smaller ids
     rows += [(210, rows[5][1], "en"), (211, sentence(rng, english, 40) + " " + items[3][1] + " " + sentence(rng, english, 40), "en"), (212, items[4][1].upper(), "en")]
     rows += [(220, None, None), (221, "", None), (222, "12 34 !!", None), (None, sentence(rng, english, 70) + " kind", "en")]
-    labels = [(i, 1, int(i % 8 == 0)) for i in range(0, 120)] + [(999, 0, 1)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(0, 130)] + [(999, 0, 1)]
     base = tmp_path_factory.mktemp("tables")
     spark.createDataFrame([(i, t, lang, "s", len(t or ""), 5, 0.5, "w", "d", 7) for i, t, lang in rows], SCHEMA).repartition(3).write.parquet(f"file://{base}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{base}/benchmark.parquet")
@@ -83,7 +83,7 @@ def test_run_gives_the_rows_of_its_stages(folder):
     path, rows, _, spark = folder
     got = corpus_pipeline.run(spark, path)
     ids = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got.collect())
-    assert 211 not in ids and 220 not in ids and 210 not in ids and -1 in ids and 100 < len(ids) < 150 and {"vslot", "shard"} <= set(got.columns)
+    assert 211 not in ids and 220 not in ids and 210 not in ids and -1 in ids and 80 < len(ids) < 150 and {"vslot", "shard"} <= set(got.columns)
     assert sharding.N_SLOTS == 4096
 
 
