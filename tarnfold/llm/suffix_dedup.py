@@ -79,32 +79,46 @@ def _gram_counts(row) -> tuple[np.ndarray, np.ndarray]:
     _, _, _, doc, gram = anchors(*opened(row))
     if not len(gram):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    order = np.lexsort((doc, gram))
+    order = np.argsort(gram, kind="stable")  # documents lie in order already
     g, d = gram[order], doc[order]
-    new = np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]))
-    return np.unique(g[new], return_counts=True)
+    g = g[np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]))]
+    first = np.nonzero(np.append(True, g[1:] != g[:-1]))[0]
+    return g[first], np.diff(np.append(first, len(g)))
 
 
 def _take(text: np.ndarray, start: np.ndarray, size: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Rows of `size` bytes from each start, 0 outside [low, high)."""
-    at = start[:, None] + np.arange(size)
-    fine = (at >= low[:, None]) & (at < high[:, None])
-    return np.where(fine, text[np.clip(at, 0, max(len(text) - 1, 0))], 0).astype(np.uint8)
+    padded = np.concatenate((np.zeros(size, np.uint8), text, np.zeros(size, np.uint8)))
+    out = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, size)[start + size])
+    cut = np.nonzero((start < low) | (start + size > high))[0]  # few rows reach beyond their document
+    if len(cut):
+        at = start[cut, None] + np.arange(size)
+        out[cut] *= (at >= low[cut, None]) & (at < high[cut, None])
+    return out
+
+
+def _of_distinct(values: np.ndarray, per_distinct: np.ndarray) -> np.ndarray:
+    """For each value, the entry of per_distinct, which is in the order of the distinct values."""
+    order = np.argsort(values)
+    ranked = values[order]
+    out = np.empty(len(values), per_distinct.dtype)
+    out[order] = per_distinct[np.cumsum(np.append(False, ranked[1:] != ranked[:-1]))]
+    return out
 
 
 def entries(row, totals: np.ndarray) -> dict | None:
-    """A block's anchors whose gram other documents hold too, and its distinct contexts, sorted by hash range and suffix."""
+    """A block's anchors whose gram other documents hold too, with the bytes to both sides."""
     ids, starts, text = opened(row)
     at, first, last, doc, gram = anchors(ids, starts, text)
     if not len(gram):
         return None
-    keep = totals[np.searchsorted(np.unique(gram), gram)] > 1
+    keep = _of_distinct(gram, totals) > 1
     at, first, last, doc, gram = at[keep], first[keep], last[keep], doc[keep], gram[keep]
     if not len(at):
         return None
     low, high = starts[doc], starts[doc + 1]
     right = _take(text, at, LENGTH, low, high)
-    left = _take(text, at - (SPREAD - 1), SPREAD - 1, low, high)[:, ::-1]
+    left = np.ascontiguousarray(_take(text, at - (SPREAD - 1), SPREAD - 1, low, high)[:, ::-1])
     rlen, llen = np.minimum(high - at, LENGTH), np.minimum(at - low, SPREAD - 1)
     return {"ids": ids, "at": at, "first": first, "last": last, "doc": doc, "gram": gram, "right": right, "left": left, "rlen": rlen, "llen": llen}
 
