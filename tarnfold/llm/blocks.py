@@ -157,25 +157,31 @@ def document_counts(blocks: Blocks, hashes: Callable[[object], tuple[np.ndarray,
     return sent.repartition(ranges, "part").sortWithinPartitions("part", "block").mapInPandas(merge, "block long, part int, reply binary")
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))), dtype=np.uint64)
+
+
+# An odd number, so that its powers have inverses modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+SPAN = 1 << 19  # bytes that one table of powers serves
+_POWERS = powers(BASE, SPAN), powers(pow(BASE, -1, 2**64), SPAN)
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of BASE and of its inverse for n bytes and more."""
+    return _POWERS if n <= SPAN else (powers(BASE, n), powers(pow(BASE, -1, 2**64), n))
+
+
 def rolling_hash(b: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of the `width` bytes from each position (positions too near the end get none)."""
+    """A 64-bit hash of the `width` bytes from each position (positions too near the end get none): a difference of running sums of bytes times powers, turned back by the inverse power of the position."""
     n = len(b) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    # Doubling: the hash of 2k bytes from those of k; width is a sum of powers of two.
-    h = (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    out, done, size = None, 0, 1
-    rest = width
-    while rest:
-        if rest & 1:
-            piece = h[done : done + n]
-            out = piece.copy() if out is None else mix(out * np.uint64(0xD6E8FEB86659FD93) + piece)
-            done += size
-        rest >>= 1
-        if rest:
-            h = mix(h[:-size] * np.uint64(0xA0761D6478BD642F) + h[size:])
-            size *= 2
-    return out
+    power, inverse = power_tables(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=sums[1:])
+    return mix((sums[width : width + n] - sums[:n]) * inverse[:n])
 
 
 def mix(h: np.ndarray) -> np.ndarray:

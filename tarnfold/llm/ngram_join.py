@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.blocks import BITS, NO_ID, Blocks, document_counts, mix, opened, unsqueeze
+from tarnfold.llm.blocks import BITS, NO_ID, Blocks, document_counts, mix, opened, power_tables, unsqueeze
 from tarnfold.llm.workspace import Workspace
 
 WORDS, PERCENT = 5, 80
@@ -45,13 +45,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))), dtype=np.uint64)
-
-
-# Bytes with A-Z lower-cased, an odd base, and a factor for each word of a shingle.
+# Bytes with A-Z lower-cased, and a factor for each word of a shingle.
 _VALUE = np.array([x + 33 if 65 <= x <= 90 else x + 1 for x in range(256)], np.uint64)
-_BASE = 0x9E3779B97F4A7C15
 _FACTORS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -74,7 +69,7 @@ def word_hashes(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(start, start[i] + SLICE)))
         low, n = int(start[i]), int(end[j - 1] - start[i]) + 1
-        power, inverse = (_POWERS if n <= SLICE * 2 else (_powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)))
+        power, inverse = power_tables(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUE[text[low : low + n]] * power[:n], out=sums[1:])
         at = start[i:j] - low
@@ -83,9 +78,6 @@ def word_hashes(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(out + (end - start + 1).astype(np.uint64)), np.searchsorted(starts, start, side="right") - 1
 
 
-_POWERS = _powers(_BASE, SLICE * 2), _powers(pow(_BASE, -1, 2**64), SLICE * 2)
-
-
 def shingle_sets(row) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of a block's documents, one document after the other, and their bounds."""
     _, starts, text = opened(row)
