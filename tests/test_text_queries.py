@@ -19,7 +19,7 @@ from tarnfold.functions import decisions, markdown, ordered
         (markdown.strip_frontmatter, "---\nk: v\nl: w\n---\nrest\n---\n", "rest\n---\n"),
         (markdown.blank_page_numbers, "12 / 40\nPAGE 2 of 3  \npages 4\n 9", "\n\npages 4\n"),
         (ordered.html_unescape, "a &lt;b&gt; &#228; &#x3b1; &amp;amp; & co", "a <b> ä α &amp; & co"),
-        (ordered.blank_repeated_cells, "|x|x|\n|-|-|\n|---|---|\n| y | y |", "|x|x|\n|-|-|\n|---|---|\n| y | y |"),
+        (ordered.blank_repeated_cells, "|x|x|\n|-|-|\n|---|---|\n| y | y |", "|x|x|\n|-| |\n|---|---|\n| y | y |"),
         (ordered.blank_repeated_headings, "# T\na\n## T\n# U\n# U", "# T\na\n\n# U\n# U"),
     ],
 )
