@@ -125,20 +125,16 @@ def document_counts(blocks: Blocks, hashes: Callable[[object], tuple[np.ndarray,
             for row in pdf.itertuples():
                 values, n = hashes(row)
                 cut = cut_by_range(values, ranges)
-                for r in range(ranges):
-                    part = slice(cut[r], cut[r + 1])
-                    if cut[r] == cut[r + 1]:
-                        continue
-                    delta = np.diff(values[part], prepend=np.uint64(0))
-                    yield pd.DataFrame({"part": [r], "block": [row.block], "run": [squeeze(delta)], "n": [squeeze(n[part].astype(np.uint32))]})
+                full = np.nonzero(cut[1:] > cut[:-1])[0].tolist()
+                parts = [slice(cut[r], cut[r + 1]) for r in full]
+                n = n.astype(np.uint32)
+                yield pd.DataFrame({"part": full, "block": row.block, "run": [squeeze(np.diff(values[p], prepend=np.uint64(0))) for p in parts], "n": [squeeze(n[p]) for p in parts]})
 
     def solve(part: int, runs: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
         total, where = np.unique(np.concatenate([v for _, v, _ in runs]), return_inverse=True)
         sums = np.minimum(np.bincount(where, weights=np.concatenate([n for _, _, n in runs]), minlength=len(total)), 2**32 - 1).astype(np.uint32)
-        at = 0
-        for block, v, _ in runs:
-            yield pd.DataFrame({"block": [block], "part": [part], "reply": [squeeze(sums[where[at : at + len(v)]])]})
-            at += len(v)
+        cut = np.cumsum([0, *(len(v) for _, v, _ in runs)])
+        yield pd.DataFrame({"block": [b for b, _, _ in runs], "part": part, "reply": [squeeze(sums[where[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, np.ndarray, np.ndarray]] = []

@@ -257,10 +257,12 @@ def smaller_starts(common: np.ndarray, left: np.ndarray, rlen: np.ndarray, llen:
         fine = np.nonzero((rlen[busy] >= LENGTH - o) & (llen[busy] >= o))[0]
         if not len(fine):
             continue
-        g, s, d = group[fine], side[fine], least[busy[fine]]
-        order = np.lexsort((s, g))
-        g, s = g[order], s[order]
-        new = np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1]))
+        d = least[busy[fine]]
+        # Only equality counts, so one hash of the group and the left side is sorted.
+        both = mix(side[fine] + mix(group[fine].astype(np.uint64)))
+        order = np.argsort(both)
+        both = both[order]
+        new = np.append(True, both[1:] != both[:-1])
         first = np.nonzero(new)[0]
         lowest = np.minimum.reduceat(d[order], first)[np.cumsum(new) - 1]
         hit = lowest < d[order]
@@ -282,11 +284,13 @@ def _send(ranges: int):
                     continue
                 d = distinct(e, ranges)
                 cut = np.searchsorted(d["part"], np.arange(ranges + 1))
-                for r in range(ranges):
-                    p = slice(cut[r], cut[r + 1])
-                    if cut[r] < cut[r + 1]:
-                        shared, rest = front_code(d["right"][p])
-                        yield pd.DataFrame({"part": [r], "block": [row.block], "shared": [squeeze(shared)], "rest": [squeeze(np.frombuffer(rest, np.uint8))], "left": [squeeze(d["left"][p].reshape(-1))], "sizes": [squeeze((d["rlen"][p] * 64 + d["llen"][p]).astype(np.uint16))], "least": [squeeze(d["least"][p])]})
+                full = np.nonzero(cut[1:] > cut[:-1])[0].tolist()
+                parts = [slice(cut[r], cut[r + 1]) for r in full]
+                coded = [front_code(d["right"][p]) for p in parts]
+                yield pd.DataFrame({
+                    "part": full, "block": row.block, "shared": [squeeze(shared) for shared, _ in coded], "rest": [squeeze(np.frombuffer(rest, np.uint8)) for _, rest in coded], "left": [squeeze(d["left"][p].reshape(-1)) for p in parts],
+                    "sizes": [squeeze((d["rlen"][p] * 64 + d["llen"][p]).astype(np.uint16)) for p in parts], "least": [squeeze(d["least"][p]) for p in parts],
+                })
 
     return run
 
@@ -307,10 +311,8 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size, side, ids = np.concatenate(sizes)[order], np.concatenate(left)[order], np.concatenate(least)[order]
         mask = np.empty(len(order), np.uint32)
         mask[order] = smaller_starts(np.array(common), side, (size // 64).astype(np.int64), (size % 64).astype(np.int64), ids)
-        at = 0
-        for row, (strings, _) in zip(rows, runs, strict=True):
-            yield pd.DataFrame({"block": [row.block], "part": [part + MASKS], "reply": [squeeze(mask[at : at + len(strings)])]})
-            at += len(strings)
+        cut = np.cumsum([0, *(len(strings) for strings, _ in runs)])
+        yield pd.DataFrame({"block": [row.block for row in rows], "part": part + MASKS, "reply": [squeeze(mask[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]})
 
     held: list = []
     for pdf in batches:
