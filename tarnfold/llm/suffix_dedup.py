@@ -195,20 +195,19 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
         offset.append(total)
         total += len(strings)
     head = [strings[0] if strings else None for strings, _ in runs] + [None] * (k - len(runs))
-    place, known = [0] * k, [0] * k
+    # A run that has ended knows less than any other, so it loses at once.
+    place, known = [0] * k, [0 if x is not None else -1 for x in head]
     loser = [0] * k
 
     def play(a: int, b: int) -> tuple[int, int]:
-        x, y = head[a], head[b]
-        if y is None:
-            return a, b
-        if x is None:
-            return b, a
+        """Winner and loser of two heads; the loser learns what it shares with the winner."""
         p, q = known[a], known[b]
         if p != q:
             return (a, b) if p > q else (b, a)
+        x, y = head[a], head[b]
         if x == y:
-            known[b] = LENGTH
+            if p >= 0:
+                known[b] = LENGTH
             return a, b
         u, v = int.from_bytes(x[p:], "big"), int.from_bytes(y[p:], "big")
         n = LENGTH - ((u ^ v).bit_length() + 7) // 8
@@ -218,9 +217,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
         known[a] = n
         return b, a
 
-    winner = list(range(k))
-    nodes = [0] * (2 * k)
-    nodes[k:] = winner
+    nodes = [0] * k + list(range(k))
     for i in range(k - 1, 0, -1):
         nodes[i], loser[i] = play(nodes[2 * i], nodes[2 * i + 1])
     order, common = [], []
@@ -233,10 +230,14 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
         if place[w] < len(strings):
             head[w], known[w] = strings[place[w]], lcps[place[w]]
         else:
-            head[w] = None
+            head[w], known[w] = None, -1
         i = (w + k) >> 1
         while i:
-            w, loser[i] = play(w, loser[i])
+            b = loser[i]
+            if known[w] < known[b]:
+                w, loser[i] = b, w
+            elif known[w] == known[b]:
+                w, loser[i] = play(w, b)
             i >>= 1
     if common:
         common[0] = 0
