@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnfold.llm import decontaminate, filter_audit, hmm_lm, language_id, mixing, ngram_join, pii, sharding, suffix_dedup, topk_search, url_filter
+from tarnfold.llm import decontaminate, filter_audit, hmm_lm, language_id, merkle, mixing, ngram_join, pii, quality_rules, sharding, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op5_ngram": ngram_join.op5_ngram,
@@ -15,9 +15,17 @@ QUERIES = {
     "op2_language": language_id.op2_language,
     "op3_topk": topk_search.op3_topk,
     "op10_shards": sharding.op10_shards,
+    "op11_quality": quality_rules.op11_quality,
     "op12_filters": filter_audit.op12_filters,
+    "op13_manifest": merkle.op13_manifest,
+}
+ORACLES = {
+    "op1_urls": url_filter.ORACLE_SQL,
+    "op3_topk": topk_search.ORACLE_SQL,
+    "op11_quality": quality_rules.ORACLE_SQL,
+    "op12_filters": filter_audit.ORACLE_SQL,
+    "op13_manifest": merkle.ORACLE_SQL,
 }
-ORACLES = {"op1_urls": url_filter.ORACLE_SQL, "op3_topk": topk_search.ORACLE_SQL, "op12_filters": filter_audit.ORACLE_SQL}
 
 
 def queries() -> dict:
