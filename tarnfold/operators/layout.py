@@ -8,6 +8,7 @@ order is worked out a page at a time.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cmp_to_key
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.functions.markdown import collapse_newlines, stripped
+from tarnfold.operators.grouped import each_group, typed
 
 PAGE = ["doc_id", "page"]
 # Kinds of layouts, those that are noise, captions, and the kinds of a table cell's text, in order.
@@ -25,6 +27,7 @@ CELLS = [
     (r"^(20|19)[0-9]{2}[年/-][0-9]{1,2}[月/-][0-9]{1,2}日*$", "Dt"), (r"^(20|19)[0-9]{2}年$", "Dt"), (r"^(20|19)[0-9]{2}[年-][0-9]{1,2}月*$", "Dt"), (r"^[0-9]{1,2}[月-][0-9]{1,2}日*$", "Dt"), (r"^第*[一二三四1-4]季度$", "Dt"),
     (r"^(20|19)[0-9]{2}年*[一二三四1-4]季度$", "Dt"), (r"^(20|19)[0-9]{2}[ABCDE]$", "Dt"), (r"^[0-9.,+%/ -]+$", "Nu"), (r"^[0-9A-Z/\._~-]+$", "Ca"), (r"^[A-Z]*[a-z' -]+$", "En"), (r"^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()' -]+$", "NE"), (r"^.{1}$", "Sg"),
 ]
+FORWARD = "[a-zA-Z0-9 :*./%+-]"
 ENGLISH = r"""[ a-zA-Z0-9,/;:'\[\]\(\)!@#$%^&*"?<>._-]{30,}"""
 
 
@@ -98,6 +101,11 @@ def is_caption(text: Column, kind: Column) -> Column:
     return stripped(text).rlike(CAPTION) | F.coalesce(F.contains(kind, F.lit("caption")), F.lit(False))
 
 
+def right_to_left(text: Column) -> Column:
+    """Text of a script that runs to the left, read the other way: signs in reverse, runs of Latin letters, digits and what goes with them as they are."""
+    return F.array_join(F.reverse(F.regexp_extract_all(text, F.lit(f"{FORWARD}+|{FORWARD.replace('[', '[^')}"), F.lit(0))), "")
+
+
 def cell_kind(text: Column) -> Column:
     """Date, number, code, English, number with words, single sign, short or long text, other."""
     t = stripped(text)
@@ -172,3 +180,62 @@ def merged_lines(boxes: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=p.columns)
 
     return _by_page(boxes, ["column", "top", "x0", "box"], change)
+
+
+def tolerant(boxes: list[dict], first: str, second: str, tolerance: float) -> list[dict]:
+    """By one edge, and by the other where that differs by less than the tolerance. This is no total order; a stable merge sort that compares so defines the result."""
+
+    def order(a: dict, b: dict) -> int:
+        far = a[first] - b[first]
+        far = a[second] - b[second] if abs(far) < tolerance else far
+        return (far > 0) - (far < 0)
+
+    return sorted(boxes, key=cmp_to_key(order))
+
+
+def line_order(boxes: list[dict], near: float = 10) -> list[dict]:
+    """By top, then each box goes left past neighbours before it that begin at nearly its height and farther right, up to the first that doesn't."""
+    out: list[dict] = []
+    for b in sorted(boxes, key=lambda b: (b["top"], b["x0"])):
+        at = len(out)
+        while at and abs(out[at - 1]["top"] - b["top"]) < near and b["x0"] < out[at - 1]["x0"]:
+            at -= 1
+        out.insert(at, b)
+    return out
+
+
+def placed(boxes: DataFrame, order: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """boxes with place: their number in the page when `order` has ordered it, given them by box."""
+    edges = ["x0", "x1", "top", "bottom"]
+    found = each_group(boxes.select(*PAGE, "box", *edges), PAGE, ["box"], lambda rows: [{**{k: b[k] for k in [*PAGE, "box"]}, "place": n} for n, b in enumerate(order(rows))], f"{typed(boxes, *PAGE, 'box')}, place int")
+    return boxes.join(found, [*PAGE, "box"])
+
+
+def without_lookalikes(layouts: DataFrame, boxes: DataFrame, far: int = 2, most: float = 0.7) -> DataFrame:
+    """Layouts of a page in order (layout), each held against the first of the next far - 1 that is of its kind and touches it: where one covers more than `most` of the other, the better scored goes on, or without scores the one that covers more of the page's boxes; of equals the later."""
+    area = overlap("l", "b", ratio=False)
+    shared = layouts.alias("l").join(boxes.alias("b"), PAGE).groupBy(*PAGE, "layout").agg(F.sum(area).alias("held"))
+    edges = ["x0", "x1", "top", "bottom"]
+    rows = layouts.join(shared, [*PAGE, "layout"], "left").select(*PAGE, "layout", "kind", "score", *edges, F.coalesce("held", F.lit(0.0)).alias("held"))
+
+    def share(a: dict, b: dict) -> float:
+        both = max(0, min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])) * max(0, min(a["bottom"], b["bottom"]) - max(a["top"], b["top"]))
+        size = (a["x1"] - a["x0"]) * (a["bottom"] - a["top"])
+        return both / size if size else 0
+
+    def alike(a: dict, b: dict) -> bool:
+        return a["kind"] == b["kind"] and a["x1"] >= b["x0"] and b["x1"] >= a["x0"] and a["bottom"] >= b["top"] and b["bottom"] >= a["top"]
+
+    def change(rows: list[dict]) -> list[dict]:
+        stay, at = list(rows), 0
+        while at < len(stay) - 1:
+            a = stay[at]
+            other = next((n for n in range(at + 1, min(at + far, len(stay))) if alike(a, stay[n])), None)
+            if other is None or max(share(a, stay[other]), share(stay[other], a)) < most:
+                at += 1
+                continue
+            by = "score" if a["score"] and stay[other]["score"] else "held"
+            del stay[other if a[by] > stay[other][by] else at]
+        return [{k: b[k] for k in [*PAGE, "layout"]} for b in stay]
+
+    return layouts.join(each_group(rows, PAGE, ["layout"], change, typed(layouts, *PAGE, "layout")), [*PAGE, "layout"], "left_semi")
