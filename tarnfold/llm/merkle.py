@@ -59,7 +59,7 @@ def tree_key(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(bytearray(b"\x01")), value.cast("string").cast("binary")), F.lit(bytearray()))
 
 
-def climb(nodes: list[tuple[int, int, str]], n: int) -> tuple[dict[Node, str], list[list[Node]]]:
+def climb(nodes: list[tuple[int, int, str]], n: int, base: int) -> tuple[dict[Node, str], list[list[Node]]]:
     """Push nodes (level, place, digest), each beginning where the one before ends, on a stack of peaks of a tree with n leaves. The digests of all nodes by place, and which each push completed."""
     stack: list[list[Node]] = []  # runs of siblings that aren't complete yet
     known, made = {}, []
@@ -68,50 +68,52 @@ def climb(nodes: list[tuple[int, int, str]], n: int) -> tuple[dict[Node, str], l
         known[new] = digest
         while True:
             level, at = new
-            width = -(-n // BASE**level)
-            run = [*stack.pop(), new] if at % BASE and stack and stack[-1][-1] == (level, at - 1) else [new]
-            first, last = run[0][1], at % BASE == BASE - 1 or at == width - 1
-            if width == 1 or first % BASE or not last:
+            width = -(-n // base**level)
+            run = [*stack.pop(), new] if at % base and stack and stack[-1][-1] == (level, at - 1) else [new]
+            first, last = run[0][1], at % base == base - 1 or at == width - 1
+            if width == 1 or first % base or not last:
                 stack.append(run)
                 break
-            new = (level + 1, at // BASE)
+            new = (level + 1, at // base)
             known[new] = hashed("".join(known[x] for x in run))
             done.append(new)
         made.append(done)
     return known, made
 
 
-def passed(node: Node, known: dict[Node, str], n: int) -> tuple[Node, str]:
+def passed(node: Node, known: dict[Node, str], n: int, base: int) -> tuple[Node, str]:
     """The peak above a node, and the digests of all siblings on the way to it."""
     (level, at), path = node, []
-    width = -(-n // BASE**level)
-    while width > 1 and (level + 1, at // BASE) in known:
-        first = at - at % BASE
-        path += [known[level, s] for s in range(first, min(first + BASE, width)) if s != at]
-        level, at, width = level + 1, at // BASE, -(-width // BASE)
+    width = -(-n // base**level)
+    while width > 1 and (level + 1, at // base) in known:
+        first = at - at % base
+        path += [known[level, s] for s in range(first, min(first + base, width)) if s != at]
+        level, at, width = level + 1, at // base, -(-width // base)
     return (level, at), "".join(path)
 
 
-def fold(digest: str, at: int, n: int, path: str) -> tuple[str, str]:
+def fold(digest: str, at: int, n: int, path: str, base: int = BASE) -> tuple[str, str]:
     """The root that a leaf's digest and its siblings give, and the siblings that are left."""
     while n > 1:
-        first = at - at % BASE
-        size = min(BASE, n - first)
+        first = at - at % base
+        size = min(base, n - first)
         siblings = [path[64 * i : 64 * i + 64] for i in range(size - 1)]
         siblings.insert(at - first, digest)
         digest, path = hashed("".join(siblings)), path[64 * (size - 1) :]
-        at, n = at // BASE, -(-n // BASE)
+        at, n = at // base, -(-n // base)
     return digest, path
 
 
 def climbed(nodes: DataFrame, span: int) -> DataFrame:
     """Nodes (tree, n, level, at, digest, others), sorted within partitions by tree and first leaf, with their peak among what follows each other in aligned blocks of BASE ** span leaves: p_level, p_at, p_digest, the path there, and the nodes completed."""
 
+    base = BASE  # the tasks get the value of now
+
     def of_run(rows: pd.DataFrame) -> pd.DataFrame:
         n = int(rows["n"].iat[0])
         given = list(zip(rows["level"].tolist(), rows["at"].tolist(), [d.hex() for d in rows["digest"]], strict=True))
-        known, made = climb(given, n)
-        peaks = [passed((k, j), known, n) for k, j, _ in given]
+        known, made = climb(given, n, base)
+        peaks = [passed((k, j), known, n, base) for k, j, _ in given]
         return rows.assign(
             p_level=[p[0] for p, _ in peaks], p_at=[p[1] for p, _ in peaks], p_digest=[bytes.fromhex(known[p]) for p, _ in peaks], path=[bytes.fromhex(x) for _, x in peaks],
             made=[[{"level": k, "at": j, "digest": bytes.fromhex(known[k, j])} for k, j in new] for new in made],
@@ -121,9 +123,9 @@ def climbed(nodes: DataFrame, span: int) -> DataFrame:
         held: pd.DataFrame | None = None
         for rows in batches:
             rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            size = BASE ** rows["level"].astype("int64")
+            size = base ** rows["level"].astype("int64")
             first = rows["at"] * size
-            block = first // BASE**span
+            block = first // base**span
             new = (rows["tree"] != rows["tree"].shift()) | (block != block.shift()) | (first != (first + size).shift())
             cut = [*new.to_numpy().nonzero()[0].tolist(), len(rows)]
             for a, b in zip(cut[:-2], cut[1:-1], strict=True):
