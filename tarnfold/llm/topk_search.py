@@ -8,15 +8,16 @@ exceeds 1 is skipped in the join itself. In others, a threshold of at least
 by length; what is left is verified by exact integer products.
 
 Vectors travel packed, a bucket or a block of queries a row, so no step emits a row for
-each pair of vectors. Buckets of near lengths form at most GROUPS groups; a block of
-queries is sent to those groups alone whose longest vector can reach its bound.
+each pair of vectors. Buckets of near lengths form at most GROUPS groups, and where
+lengths tie groups are split by a salt; a block of queries is sent to those groups alone
+whose longest vector can reach its bound.
 
 Defined cases: a vector that is null or holds a null or non-finite component takes no
-part; vectors shorter than the longest count as padded by zeros; exact repeats of a
-row collapse, and of rows that share an id but differ the least vector counts (the SQL
-below says the same); with
-fewer than k candidates all are returned; products beyond the range of a long are
-clamped to it.
+part; vectors shorter than the longest count as padded by zeros; every row is a candidate
+but the query's own, so rows that share an id meet each other, and one without an id is
+found, as null and after its equals; with fewer than k candidates all are returned;
+products beyond the range of a long are clamped to it. Rows are numbered in the order of
+their ids, and go by that number until the end.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def _pack(rows: int, width: int, sort: bool):
                 mat[i, : len(v)] = v
             norm = np.sqrt((mat * mat).sum(axis=1))
             order = np.argsort(-norm, kind="stable") if sort else np.arange(len(df))
-            ids = df["vec_id"].to_numpy(np.int64)[order]
+            ids = df["row"].to_numpy(np.int64)[order]
             return pd.DataFrame({"block": [int(ids[0]) if len(ids) else 0], "n": [len(df)], "most": [float(norm.max(initial=0.0))], "ids": [ids.tobytes()], "mat": [mat[order].tobytes()]})
 
         for pdf in batches:
@@ -127,10 +128,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, name: str = "topk")
     """query_id, rank, vec_id, score of the k best candidates of each row for which `queries` holds."""
     spark = vectors.sparkSession
     ws = Workspace(spark, name)
-    rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", scaled(F.col("embedding")).alias("v"))
-    rows = ws.save(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("norm", length(F.col("v"))), "rows")
+    rows = vectors.filter(usable(F.col("embedding"))).select("vec_id", scaled(F.col("embedding")).alias("v"))
+    last = F.asc_nulls_last("vec_id")
+    rows = rows.withColumn("_any", F.rand(5)).repartitionByRange(last, "_any").sortWithinPartitions(last, "_any").drop("_any")
+    rows = ws.save(rows.withColumns({"norm": length(F.col("v")), "row": F.monotonically_increasing_id()}), "rows")
     width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1)
-    buckets = ws.save(rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id").mapInPandas(_pack(BUCKET_ROWS, width, True), PACKED), "buckets")
+    buckets = ws.save(rows.select("row", "v", "norm").repartitionByRange(F.desc("norm"), "row").sortWithinPartitions(F.desc("norm"), "row").mapInPandas(_pack(BUCKET_ROWS, width, True), PACKED), "buckets")
     n_buckets = buckets.count()
     head = buckets.orderBy(F.desc("most"), "block").limit(1).collect()  # one bucket of BUCKET_ROWS vectors
     head_ids, head_mat = (head[0]["ids"], head[0]["mat"]) if head else (b"", b"")
@@ -144,14 +147,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, name: str = "topk")
                 need = np.where((b > 0) & (norms > 0), b / np.maximum(norms, 1e-300), 0.0)
                 yield pd.DataFrame({"q_ids": [r.ids], "q_mat": [r.mat], "bounds": [b.tobytes()], "need": [float(need.min()) * (1 - 1e-9)]})
 
-    asked = rows.filter(queries).mapInPandas(_pack(QUERY_ROWS, width, False), PACKED).mapInPandas(bound, "q_ids binary, q_mat binary, bounds binary, need double")
+    asked = rows.filter(queries).select("row", "v").mapInPandas(_pack(QUERY_ROWS, width, False), PACKED).mapInPandas(bound, "q_ids binary, q_mat binary, bounds binary, need double")
     # Buckets of near lengths are a group; a block of queries goes to the groups that can hold a candidate, and only there.
     groups = max(1, min(n_buckets, GROUPS))
     tops = sorted(set(buckets.approxQuantile("most", [(i + 1) / groups for i in range(groups)], 0.0)))  # at most GROUPS numbers
     upper = F.lit(tops).cast("array<double>")
     group = F.array_position(F.transform(upper, lambda t: F.col("most") <= t), True)
-    asked = asked.withColumn("g", F.explode(F.filter(F.sequence(F.lit(1).cast("long"), F.lit(len(tops)).cast("long")), lambda g: F.element_at(upper, g.cast("int")) >= F.col("need"))))
-    cells = asked.join(buckets.withColumn("g", group), "g").filter(F.col("most") >= F.col("need"))
+    salts = -(-groups // max(1, len(tops)))
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("g", F.explode(F.filter(F.sequence(F.lit(1).cast("long"), F.lit(len(tops)).cast("long")), lambda g: F.element_at(upper, g.cast("int")) >= F.col("need"))))
+    cells = asked.join(buckets.withColumns({"g": group, "salt": F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")}), ["g", "salt"]).filter(F.col("most") >= F.col("need"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -167,13 +171,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, name: str = "topk")
                     at = at[ids[at] != qid]
                     score = _products(q[i : i + 1], mat[at])[0] if len(at) else np.zeros(0)
                     keep = np.nonzero(score.astype(np.float64) >= bounds[i])[0] if np.isfinite(bounds[i]) else np.arange(len(at))
-                    best = keep[np.lexsort((ids[at[keep]], -score[keep].astype(np.float64)))[: k + 0]] if score.dtype != object else np.array(sorted(keep, key=lambda j: (-score[j], ids[at[j]]))[:k], dtype=int)
+                    best = keep[np.lexsort((ids[at[keep]], -score[keep].astype(np.float64)))[:k]] if score.dtype != object else np.array(sorted(keep, key=lambda j: (-score[j], ids[at[j]]))[:k], dtype=int)
                     out.append((int(qid), ids[at[best]], score[best]))
-                yield pd.DataFrame({"query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64), "vec_id": np.concatenate([o[1] for o in out]).astype(np.int64), "score": np.concatenate([o[2] for o in out]).astype(np.int64)})
+                yield pd.DataFrame({"query": np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64), "row": np.concatenate([o[1] for o in out]).astype(np.int64), "score": np.concatenate([o[2] for o in out]).astype(np.int64)})
 
-    found = cells.select("q_ids", "q_mat", "bounds", "ids", "mat").mapInPandas(verify, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = cells.select("q_ids", "q_mat", "bounds", "ids", "mat").mapInPandas(verify, "query long, row long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "row")
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    names = rows.select("row", "vec_id")
+    best = best.join(names, "row").join(names.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query")
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,17 +190,16 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, min([CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding]) AS q
+  SELECT row_number() OVER () AS i, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
-  GROUP BY vec_id
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+  SELECT a.i AS query, a.vec_id AS query_id, b.vec_id AS vec_id,
          CAST(list_dot_product([CAST(x AS DOUBLE) FOR x IN a.q], [CAST(x AS DOUBLE) FOR x IN b.q]) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  FROM v a JOIN v b ON a.i <> b.i
   WHERE a.vec_id % 100 = 0
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s
 )
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
 """
