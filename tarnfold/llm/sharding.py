@@ -17,7 +17,7 @@ initial map; columns of the input named like an output column are replaced.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,6 +126,18 @@ def grow(current: SlotMap, weight: dict[int, int]) -> SlotMap:
     return SlotMap(current.version + 1, new + 1, tuple(shards), moved)
 
 
+def shrink(current: SlotMap, weight: dict[int, int]) -> SlotMap:
+    """Take the last shard away: its slots, heaviest first, go to the shard that holds least by then; no other slot moves."""
+    shards, last = list(current.shards), current.n_shards - 1
+    load = current.loads(weight)[:last]
+    for slot in sorted((s for s, k in enumerate(shards) if k == last), key=lambda s: (-weight.get(s, 0), s)):
+        to = min(range(last), key=lambda k: (load[k], k))
+        shards[slot] = to
+        load[to] += weight.get(slot, 0)
+    moved = tuple(s for s in range(len(shards)) if shards[s] != current.shards[s])
+    return SlotMap(current.version + 1, last, tuple(shards), moved)
+
+
 _MAP = "n_shards int, vslot int, shard int"
 
 
@@ -135,15 +147,22 @@ def store_map(spark: SparkSession, m: SlotMap, path: str) -> None:
     spark.createDataFrame(rows, _MAP).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={m.version}")
 
 
-def stored_versions(spark: SparkSession, path: str) -> list[int]:
-    """The versions stored at path, in order; none if there is no such folder."""
+def _versions(spark: SparkSession, path: str) -> dict[int, bool]:
+    """The versions in the folder at path, and whether each was written to its end; none if there is no such folder."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(folder):
-        return []
-    found = [f.getPath() for f in store.listStatus(folder)]
-    whole = [p for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]  # a write that was cut short has none
-    return sorted(int(p.getName().removeprefix("version=")) for p in whole)
+    found = [f.getPath() for f in store.listStatus(folder)] if store.exists(folder) else []
+    return {int(p.getName().removeprefix("version=")): store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) for p in found}
+
+
+def stored_versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that can be read, in order; a write that was cut short is none."""
+    return sorted(v for v, whole in _versions(spark, path).items() if whole)
+
+
+def next_version(spark: SparkSession, path: str) -> int:
+    """A number beyond all that were begun, so that a write that was cut short stands in nobody's way."""
+    return max(_versions(spark, path), default=-1) + 1
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -181,19 +200,20 @@ def slot_loads(slotted: DataFrame) -> list:
 
 
 def updated_map(spark: SparkSession, loads: list, n_shards: int, path: str | None, n_slots: int = N_SLOTS) -> SlotMap:
-    """The newest stored map, or the initial one, rebalanced for the loads; stored as the next version when a path is given."""
+    """The newest stored map, or the initial one, grown or shrunk to the number of shards and rebalanced for the loads. With a path, each of these steps that changes the map is stored as the next version."""
+    weight = {r["vslot"]: r["bytes"] for r in loads}
     known = stored_versions(spark, path) if path else []
-    first = load_map(spark, path) if known else initial_map(n_shards, n_slots)
-    while first.n_shards < n_shards:
-        first = grow(first, {r["vslot"]: r["bytes"] for r in loads})
-    if path and not known:
-        store_map(spark, first, path)
-    if not loads:
-        return first
-    second = rebalance(first, {r["vslot"]: r["bytes"] for r in loads})
-    if path:
-        store_map(spark, second, path)
-    return second
+
+    def stored(m: SlotMap) -> SlotMap:
+        if path:
+            m = replace(m, version=next_version(spark, path))
+            store_map(spark, m, path)
+        return m
+
+    now = load_map(spark, path) if known else stored(initial_map(n_shards, n_slots))
+    while now.n_shards != n_shards:
+        now = stored((grow if now.n_shards < n_shards else shrink)(now, weight))
+    return stored(rebalance(now, weight)) if loads else now
 
 
 def shard_of(m: SlotMap) -> Column:
