@@ -287,14 +287,15 @@ def test_topk(spark, bucket, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.normal(0, 1 + (i % 7), 6)], "x") for i in range(400)]
     rows += [(400, None, ""), (401, [1.0, None, 0.0], ""), (402, [float("nan")] * 6, ""), (403, [float("inf")] * 6, ""), (404, rows[3][1], ""), (500, rows[3][1], ""), (3, rows[3][1], "y"), (600, [], "")]
+    rows += [(None, rows[200][1], ""), (500, rows[9][1], ""), (600, rows[9][1], "")]  # rows of one id are queries and candidates of their own, rows without one candidates
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
-    got = sorted(tuple(r) for r in topk_search.top_k(frame, topk_search.F.col("vec_id") % 100 == 0, 10).collect())
-    vec = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    got = sorted(map(repr, map(tuple, topk_search.top_k(frame, topk_search.F.col("vec_id") % 100 == 0, 10).collect())))
+    vec = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in vec:
-        if q % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(vec[q], vec[c])), c) for c in vec if c != q)[:10]
-            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    for n, (q, v) in enumerate(vec):
+        if q is not None and q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), c is None, c or 0) for m, (c, w) in enumerate(vec) if m != n)[:10]
+            want += [repr((q, k + 1, None if none else c, -s)) for k, (s, none, c) in enumerate(best)]
     assert got == sorted(want)
     assert topk_search.top_k(frame.limit(0), topk_search.F.col("vec_id") % 100 == 0).count() == 0
 
@@ -535,3 +536,26 @@ def test_maps_move_few_slots():
     assert max(load) - min(load) <= 0.001 * sum(load) / 8 and len(second.moved) < 400
     third = sharding.grow(second, weight)
     assert all(third.shards[s] == 8 for s in third.moved) and abs(third.loads(weight)[8] / (sum(weight.values()) / 9) - 1) < 0.05
+
+
+def test_a_map_shrinks_and_unfinished_versions_stand_in_nobodys_way(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(2000)], "doc_id long, text string")
+    path = f"file://{tmp_path}/map"
+    sharding.shard_records(docs, 8, path).count()
+    before = sharding.load_map(spark, path)
+    (tmp_path / "map" / "version=2").mkdir()  # a write that was cut short
+    got = {r["shard"]: r["n"] for r in sharding.shard_records(docs, 4, path).groupBy("shard").agg(sharding.F.sum("size").alias("n")).collect()}
+    assert set(got) == {0, 1, 2, 3} and max(got.values()) - min(got.values()) < 60
+    assert sharding.stored_versions(spark, path)[:3] == [0, 1, 3] and sharding.load_map(spark, path).n_shards == 4
+    gone = sharding.shrink(before, {s: 1 for s in range(4096)})
+    assert all((a == b) == (b != 7) for a, b in zip(gone.shards, before.shards, strict=True)) and max(gone.shards) == 6
+    sharding.shard_records(docs, 5, path).count()
+    assert {sharding.load_map(spark, path, v).n_shards for v in sharding.stored_versions(spark, path)} == {4, 5, 6, 7, 8}
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    ids = sharding.F.when(sharding.F.col("id") % 3 > 0, sharding.F.col("id"))
+    docs = spark.range(60_000).select(ids.alias("doc_id"), sharding.F.when(sharding.F.col("id") % 3 > 0, sharding.F.col("id").cast("string")).otherwise("copy").alias("text"))
+    n = decontaminate.sampled(docs.select("text")).count()
+    assert 0.8 * decontaminate.SAMPLE < n <= 2 * decontaminate.SAMPLE
+    assert decontaminate.sampled(docs.select("text").limit(5)).count() == 5 and decontaminate.sampled(docs.select("text").limit(0)).count() == 0
