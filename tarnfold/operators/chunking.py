@@ -23,16 +23,26 @@ def chunked(text: Column, strategy: str, target_tokens: int = 320, max_tokens: i
 
 def quality(chunks: Column, source: Column, max_tokens: int, bounds: dict[str, float] | None = None) -> Column:
     """struct of counts, ratios, violations and passed of a document's chunks against the bounds."""
-    b = BOUNDS | (bounds or {})
-    texts = F.transform(chunks, lambda c: c["text"])
-    tokens, n = F.transform(texts, approx_tokens), F.size(chunks)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    chars, whole = total(F.transform(texts, F.length)), F.greatest(F.length(stripped(source)), F.lit(1))
-    none = n == 0
-    most = F.coalesce(F.array_max(tokens), F.lit(0))
-    coverage = F.when(none, 0.0).otherwise(chars / whole)
-    ratio = F.when(none, 0.0).otherwise(most / F.lit(max(max_tokens, 1)))
-    duplicated = F.when(none, 0.0).otherwise(1.0 - F.try_divide(F.size(F.array_distinct(texts)).cast("double"), n))
+    once = lambda value, change: F.transform(F.array(value), change)[0]
+    sizes = F.transform(chunks, lambda c: F.struct(approx_tokens(c["text"]).alias("tokens"), F.length(c["text"]).alias("chars")))
+    counts = F.struct(sizes.alias("sizes"), F.size(F.array_distinct(F.transform(chunks, lambda c: c["text"]))).alias("different"), F.length(stripped(source)).alias("whole"))
+    return F.when(chunks.isNotNull(), once(counts, lambda c: once(_totals(c), lambda t: _bounded(t, max_tokens, BOUNDS | (bounds or {})))))
+
+
+def _totals(c: Column) -> Column:
+    """Sums and extremes of the chunks' sizes."""
+    total = lambda field: F.aggregate(c["sizes"], F.lit(0), lambda s, x: s + x[field])
+    tokens = F.transform(c["sizes"], lambda x: x["tokens"])
+    ends = [F.coalesce(f(tokens), F.lit(0)).alias(n) for n, f in (("most", F.array_max), ("least", F.array_min))]
+    return F.struct(F.size(c["sizes"]).alias("n"), total("tokens").alias("tokens"), total("chars").alias("chars"), *ends, c["different"], F.greatest(c["whole"], F.lit(1)).alias("whole"))
+
+
+def _bounded(t: Column, max_tokens: int, b: dict[str, float]) -> Column:
+    """What `quality` gives, from totals."""
+    n, none = t["n"], t["n"] == 0
+    coverage = F.when(none, 0.0).otherwise(t["chars"] / t["whole"])
+    ratio = F.when(none, 0.0).otherwise(t["most"] / F.lit(max(max_tokens, 1)))
+    duplicated = F.when(none, 0.0).otherwise(1.0 - F.try_divide(t["different"].cast("double"), n))
     wrong = F.array_compact(
         F.array(
             F.when(none, "no_chunks"),
@@ -43,7 +53,7 @@ def quality(chunks: Column, source: Column, max_tokens: int, bounds: dict[str, f
         )
     )
     return F.struct(
-        n.alias("chunk_count"), F.coalesce(F.try_divide(total(tokens).cast("double"), n), F.lit(0.0)).alias("avg_tokens"), most.alias("max_tokens"), F.coalesce(F.array_min(tokens), F.lit(0)).alias("min_tokens"),
+        n.alias("chunk_count"), F.coalesce(F.try_divide(t["tokens"].cast("double"), n), F.lit(0.0)).alias("avg_tokens"), t["most"].alias("max_tokens"), t["least"].alias("min_tokens"),
         coverage.alias("coverage_ratio"), ratio.alias("max_token_ratio"), duplicated.alias("duplication_ratio"), (F.size(wrong) == 0).alias("passed"), wrong.alias("violations"),
     )
 
@@ -63,5 +73,5 @@ def with_chunks(docs: DataFrame, strategy: str, text: str = "text", target_token
 
 
 def chunk_rows(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row a chunk of docs with `chunks`."""
-    return docs.select(*keep, F.explode("chunks").alias("c")).select(*keep, "c.*")
+    """A row a chunk of docs with `chunks`. An outer explode and a filter after it: a plain one makes Spark ask for the chunks' number below, and so chunk twice."""
+    return docs.select(*keep, F.explode_outer("chunks").alias("c")).filter("c IS NOT NULL").select(*keep, "c.*")

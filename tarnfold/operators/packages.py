@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfold.functions.markdown import safe_filename, strip_frontmatter
@@ -20,6 +20,7 @@ from tarnfold.functions.markdown import safe_filename, strip_frontmatter
 # What a package's files are called, and a zip entry's date, so that equal documents give equal bytes.
 MANIFEST, INDEX, TEXT, INVENTORY = "manifest.json", "index.json", "document.md", "INDEX.md"
 DATE = (1980, 1, 1, 0, 0, 0)
+SCOPE = ["tenant_id", "project_id", "corpus_id"]
 
 
 def json_string(c: Column) -> Column:
@@ -109,3 +110,52 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
     """file, package of the zips in a folder."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("content").alias("package"))
+
+
+def scoped_documents(points: DataFrame, most: int | None = None) -> DataFrame:
+    """The finalised documents of active versions with their scope: (tenant, project, corpus, doc_id, doc_version), markdown and chunks; of each corpus the first `most`, if given, by id and version."""
+    kept = points.filter("is_finalized AND is_active_version")
+    parts = F.sort_array(F.collect_list(F.struct(F.col("chunk_index").isNull().alias("last"), "chunk_index", "text")))
+    docs = kept.groupBy(*SCOPE, "doc_id", "doc_version").agg(F.array_join(F.transform(parts, lambda c: c["text"]), "\n\n").alias("markdown"), F.count("*").alias("chunks"))
+    if most is None:
+        return docs
+    nth = F.row_number().over(Window.partitionBy(*SCOPE).orderBy("doc_id", "doc_version"))
+    return docs.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_nth")
+
+
+def export_scopes(docs: DataFrame, path: str, meta: list[str]) -> None:
+    """Folders by tenant, project and corpus, written by the executors: `documents` has a line for each document's file (its content, frontmatter and all), `manifests` one for each corpus, of aggregates over them.
+
+    Rows are dealt by corpus, large corpora over several files, and nothing is held whole:
+    a manifest is counts and sums, and the sum of the files' hashes, not a list.
+    """
+    files = docs.select(*SCOPE, "doc_id", "doc_version", "chunks", *lean_columns(meta))
+    files.hint("rebalance", *SCOPE).write.mode("errorifexists").partitionBy(*SCOPE).json(f"{path}/documents")
+    exported_manifests(docs.sparkSession, path).write.mode("errorifexists").partitionBy(*SCOPE[:2]).json(f"{path}/manifests")
+
+
+def lean_columns(meta: list[str]) -> list[Column]:
+    """file and content of a document."""
+    content = F.concat(frontmatter({m: F.col(m) for m in meta}), F.coalesce("markdown", F.lit("")))
+    return [F.concat(safe_filename(F.col("doc_id")), F.lit("_"), safe_filename(F.col("doc_version")), F.lit(".md")).alias("file"), content.alias("content")]
+
+
+def read_exported(spark: SparkSession, path: str) -> DataFrame:
+    """The documents' lines of an export again, with their scope; other tenants' folders aren't read under a filter."""
+    return spark.read.schema(", ".join(f"{c} string" for c in ("doc_id", "doc_version")) + ", chunks long, file string, content string, " + ", ".join(f"{c} string" for c in SCOPE)).json(f"{path}/documents")
+
+
+def exported_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """A row a corpus of what an export's files hold: documents, chunks, characters, and a checksum that doesn't depend on their order."""
+    digest = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", "file", "content"), 256), 1, 8), 16, 10).cast("long")
+    return read_exported(spark, path).groupBy(*SCOPE).agg(F.count("*").alias("documents"), F.sum("chunks").alias("chunks"), F.sum(F.length("content")).alias("chars"), F.sum(digest).alias("checksum"))
+
+
+def verified_export(spark: SparkSession, path: str) -> DataFrame:
+    """Each corpus whose files and manifest don't say the same, with what differs: none, if the export is whole."""
+    kept = spark.read.schema(", ".join(f"{c} string" for c in SCOPE) + ", documents long, chunks long, chars long, checksum long").json(f"{path}/manifests").alias("m")
+    now = exported_manifests(spark, path).alias("f")
+    same = F.lit(True)
+    for c in ("documents", "chunks", "chars", "checksum"):
+        same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}"))
+    return kept.join(now, [F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}")) for c in SCOPE], "full").filter(~same).select(*[F.coalesce(f"m.{c}", f"f.{c}").alias(c) for c in SCOPE], F.col("m.documents").alias("listed"), F.col("f.documents").alias("found"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfold.session import saver
+
 # What the modes of fidelity let through.
 FIDELITY = {"verified": ["verified"], "verified+partial": ["verified", "partial"], "verified_partial": ["verified", "partial"], "all": None}
 QUERY_BLOCK, QUERY_BYTES = 256, 64 << 20
@@ -51,24 +53,28 @@ def search(points: DataFrame, queries: DataFrame, k: int, where: Column | None =
     """query_id, rank, id, score: the k nearest points that pass the filter, by cosine, ties to the smaller id.
 
     points has id (long) and vector; queries has query_id (long) and vector. Queries of any
-    number are taken in passes of about QUERY_BYTES, which is what is broadcast at once;
-    a batch of points gives k rows a query at most, so pairs are never built.
+    number are taken in passes of about QUERY_BYTES, which is what the driver and a task hold at
+    once; a batch of points gives k rows a query at most, so pairs are never built. Vectors
+    that are null, or hold a null or no finite number, take no part.
     """
     spark = points.sparkSession
-    kept = (points if where is None else points.filter(where)).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    usable = "vector IS NOT NULL AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    kept = (points if where is None else points.filter(where)).select(F.col("id").cast("long").alias("id"), vector).filter(usable)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), vector).filter(usable)
     size = asked.agg(F.sum(8 * (F.size("vector") + 1)).alias("n")).first()["n"] or 0
     passes = max(1, -(-size // QUERY_BYTES))
-    parts = []
+    save, found = saver(spark, "search"), None
     for p in range(passes):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).collect()  # about QUERY_BYTES
+        rows = asked.filter(F.pmod(F.xxhash64("query_id", "vector"), F.lit(passes)) == p).collect()  # about QUERY_BYTES
         q = np.array([r["vector"] for r in rows], float).reshape(len(rows), -1 if rows else 1)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), q))
-        parts.append(kept.mapInArrow(_nearest(shared, k), "query_id long, id long, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+        part = kept.mapInArrow(_nearest(shared, k), "query_id long, id long, score double")
+        if passes > 1:  # its rows are written before the next pass's queries come
+            part = save(part, f"pass{p}")
+            shared.destroy()
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

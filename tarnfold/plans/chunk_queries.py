@@ -17,7 +17,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(PARTS).alias("text"))
 
 
@@ -44,7 +44,7 @@ j AS (SELECT doc_id, section, run, any_value(path) AS path, trim(string_agg(p, c
 
 @lambda f: QUERIES.__setitem__("semantic_chunks", f)
 def semantic_chunks(spark, sf_dir):
-    docs = _docs(spark, sf_dir).withColumn("chunks", chunking.semantic_chunks(F.col("text"), 120, 160))
+    docs = documents(spark, sf_dir).withColumn("chunks", chunking.semantic_chunks(F.col("text"), 120, 160))
     return _rows(C.chunk_rows(docs, "doc_id"))
 
 
@@ -58,7 +58,7 @@ d AS (SELECT doc_id, section, path, k * 1000 + a AS k, p, CASE WHEN long THEN 10
 
 @lambda f: QUERIES.__setitem__("paragraph_chunks", f)
 def paragraph_chunks(spark, sf_dir):
-    docs = _docs(spark, sf_dir).withColumn("chunks", chunking.paragraph_chunks(F.col("text"), 600))
+    docs = documents(spark, sf_dir).withColumn("chunks", chunking.paragraph_chunks(F.col("text"), 600))
     return _rows(C.chunk_rows(docs, "doc_id")).drop("path")
 
 
@@ -68,7 +68,7 @@ ORACLES["paragraph_chunks"] = f"{_BASE}, q AS (SELECT doc_id, 0 AS section, '' A
 
 @lambda f: QUERIES.__setitem__("hierarchical_chunks", f)
 def hierarchical_chunks(spark, sf_dir):
-    docs = _docs(spark, sf_dir).withColumn("chunks", chunking.hierarchical_chunks(F.col("text"), 600))
+    docs = documents(spark, sf_dir).withColumn("chunks", chunking.hierarchical_chunks(F.col("text"), 600))
     rows = C.chunk_rows(docs, "doc_id")
     return rows.select("doc_id", "index", F.sha2("text", 256).alias("digest"), F.array_join("section_path", "/").alias("path"), F.coalesce("parent_header_id", F.lit("")).alias("parent"), F.array_join("sibling_ids", ",").alias("siblings"))
 
@@ -81,7 +81,7 @@ FROM r LEFT JOIN (SELECT doc_id, parent, list(index ORDER BY index) AS every FRO
 @lambda f: QUERIES.__setitem__("chunks_with_fallback", f)
 def chunks_with_fallback(spark, sf_dir):
     """Semantic chunks of small bounds: documents of a long paragraph break them and are chunked by paragraphs."""
-    out = C.with_chunks(_docs(spark, sf_dir), "semantic", target_tokens=120, max_tokens=160, max_chars=600)
+    out = C.with_chunks(documents(spark, sf_dir), "semantic", target_tokens=120, max_tokens=160, max_chars=600)
     return out.select("doc_id", "strategy", "qa.chunk_count", "qa.max_tokens", "qa.min_tokens", F.round("qa.avg_tokens", 6).alias("avg_tokens"), F.round("qa.coverage_ratio", 6).alias("coverage"), F.round("qa.max_token_ratio", 6).alias("ratio"), F.round("qa.duplication_ratio", 6).alias("duplication"), "qa.passed")
 
 
@@ -110,7 +110,7 @@ ORACLES["chunk_features"] = "SELECT doc_id, doc_id % 3 = 0 AS has_table, doc_id
 def line_kinds(spark, sf_dir):
     """How many lines of each kind the documents hold."""
     x = F.col("x")
-    lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n", -1)).alias("x"))
+    lines = documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n", -1)).alias("x"))
     return lines.groupBy("doc_id").agg(
         F.count_if(chunking.heading_of(x).isNotNull()).alias("headings"), F.count_if(chunking.is_table_line(x)).alias("table_lines"), F.count_if(chunking.is_table_rule(x)).alias("rules"), F.count_if(chunking.is_list_item(x)).alias("items"),
         F.count_if(chunking.is_continuation(x)).alias("continuations"), F.max(F.when(chunking.heading_of(x)["level"] == 1, chunking.heading_of(x)["title"])).alias("title"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.functions import names
 from tarnfold.operators import evaluation, layout, packages, stitching, store, workflow
+from tarnfold.plans import chunk_queries
 from tarnfold.plans.decision_queries import MARKED
 from tarnfold.plans.fixtures import view, with_views
 from tarnfold.plans.text_queries import NL
@@ -134,18 +137,19 @@ def chunk_manifest(spark, sf_dir):
     return lines.select(parts[0].alias("doc_id"), F.try_element_at(parts, F.lit(2)).cast("bigint").alias("chunk_index"), F.sha2("line", 256).alias("digest"))
 
 
-@query("chunk_store", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN concat('new ', left(text, 100)) ELSE left(text, 300) END AS text FROM documents WHERE doc_id % 4 <> 3)
-SELECT concat('t', doc_id % 2) AS tenant_id, concat('d', doc_id) AS doc_id, 0 AS chunk_index, sha256(trim(text)) AS content_hash, doc_id % 2 = 0 AS is_active_version, CASE WHEN doc_id % 4 = 1 THEN 'checked' END AS note FROM d""")
-def chunk_store(spark, sf_dir):
-    """Two commits (the second renews a quarter of the documents), an update, a deletion and an activation; what is then stored."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("t"), F.col("doc_id") % 2).alias("tenant_id"), F.lit("p").alias("project_id"), F.lit("c").alias("corpus_id"), F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.lit("v1").alias("doc_version"), F.left("text", F.lit(300)).alias("text"), F.lit(True).alias("is_finalized"), F.lit(5).alias("judge_score"), F.lit(0).alias("retries"), (F.col("doc_id") % 4).alias("k"))
-    points = lambda d: store.points_of(d, "paragraph", 8, max_chars=400).withColumn("note", F.lit(None).cast("string"))
-    import uuid
+_STORED = chunk_queries.ORACLES["paragraph_chunks"]
+
 
+@query("chunk_store", f"""WITH c AS ({_STORED}), d AS (SELECT doc_id, index AS chunk_index, digest AS content_hash FROM c WHERE doc_id % 4 NOT IN (1, 3) UNION ALL SELECT doc_id, 0, sha256(concat('renewed ', doc_id)) FROM documents WHERE doc_id % 4 = 1)
+SELECT concat('t', doc_id % 2) AS tenant_id, concat('d', doc_id) AS doc_id, CAST(chunk_index AS INT) AS chunk_index, content_hash, doc_id % 2 = 0 AS is_active_version, CASE WHEN doc_id % 4 = 1 THEN 'checked' END AS note FROM d""")
+def chunk_store(spark, sf_dir):
+    """Two commits of whole texts in chunks (the second renews a quarter of the documents, by shorter ones), an update, a deletion and an activation; what is then stored."""
+    docs = chunk_queries.documents(spark, sf_dir).select(F.concat(F.lit("t"), F.col("doc_id") % 2).alias("tenant_id"), F.lit("p").alias("project_id"), F.lit("c").alias("corpus_id"), F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.lit("v1").alias("doc_version"), "text", F.lit(True).alias("is_finalized"), F.lit(5).alias("judge_score"), F.lit(0).alias("retries"), (F.col("doc_id") % 4).alias("k"))
+    points = lambda d: store.points_of(d, "paragraph", 8, max_chars=600).withColumn("note", F.lit(None).cast("string"))
     kept = store.ChunkStore(spark, f"{shared_dir(spark)}/tarnfold-store-{uuid.uuid4().hex}", 8)
-    kept.commit(points(docs))
-    kept.commit(points(docs.filter("k = 1").withColumn("text", F.concat(F.lit("new "), F.left("text", F.lit(100))))))
     number = F.substring("doc_id", 2, 20).cast("long")
+    kept.commit(points(docs))
+    kept.commit(points(docs.filter("k = 1").withColumn("text", F.concat(F.lit("renewed "), number))))
     kept.set_payload(number % 4 == 1, note="checked")
     kept.delete(number % 4 == 3)
     kept.activate("v2", tenant_id="t1", project_id="p")
