@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from tarnfold.plans import admin_queries, chunk_queries, cleanup_queries, corpus_queries, decision_queries, layout_queries, ledger_queries, retrieval_queries, storage_queries, text_queries
+    from tarnfold.plans import admin_queries, chunk_queries, cleanup_queries, config_queries, corpus_queries, decision_queries, layout_queries, ledger_queries, retrieval_queries, storage_queries, text_queries
 
-    return [cleanup_queries, admin_queries, corpus_queries, layout_queries, decision_queries, chunk_queries, text_queries, retrieval_queries, ledger_queries, storage_queries]
+    return [cleanup_queries, admin_queries, corpus_queries, layout_queries, decision_queries, chunk_queries, text_queries, retrieval_queries, ledger_queries, storage_queries, config_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
