@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tarnfold.functions import ordered
 
-# Ligatures and their letters; invisible code points; bullet glyphs.
+# Ligatures and their letters; code points that show nothing, by number; bullet glyphs.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-INVISIBLE = "﻿​‌‍­⁠⁣⁤￾"
+INVISIBLE = "\ufeff\u200b\u200c\u200d\u00ad\u2060\u2063\u2064\ufffe"  # mark of byte order, spaces and joiners without width, soft hyphen, word joiner, invisible signs
 BULLETS = "•‣◦⁃▪▫●■∙·"
 # The patterns that the clean-up's results depend on.
 BROKEN_LINK = r"\[([^\]]*)\]\(\s*(?:#\s*)?\)"
@@ -146,15 +146,21 @@ def steps_of(toggles: dict[str, object] | None = None, layout: bool = False) ->
 def cleaned(docs: DataFrame, text: str = "text", toggles: dict[str, object] | None = None, layout: bool = False) -> DataFrame:
     """docs with the cleaned text, `transforms_applied`, `warnings` (of the text after the core steps), `chars_before` and `chars_after`.
 
-    Each step is a column of its own, so that no expression holds another twice.
+    Each step is a column of its own, so that no expression holds another twice, and is
+    held against the text before it at once: a row holds two texts, however many steps there are.
     """
     steps = steps_of(toggles, layout)
-    out = docs.withColumn("_t0", F.col(text))
-    for i, (_, step) in enumerate(steps):
-        out = out.withColumn(f"_t{i + 1}", step(F.col(f"_t{i}")))
-    applied = F.array_compact(F.array(*[F.when(F.col(f"_t{i}") != F.col(f"_t{i + 1}"), F.lit(name)) for i, (name, _) in enumerate(steps)]))
-    out = out.withColumns({"transforms_applied": applied, "warnings": warnings(F.col(f"_t{len(CORE)}")), "chars_before": F.length("_t0"), "chars_after": F.length(f"_t{len(steps)}"), text: F.col(f"_t{len(steps)}")})
-    return out.drop(*[f"_t{i}" for i in range(len(steps) + 1)])
+    out = docs.withColumns({"chars_before": F.length(text), "_now": F.col(text), "_warned": F.lit(None).cast("array<string>")}).drop(text)
+    done = []
+    for i, (name, step) in enumerate(steps):
+        if i == len(CORE):
+            out = out.withColumn("_warned", warnings(F.col("_now")))
+        out = out.withColumn("_next", step(F.col("_now"))).withColumn(f"_did{i}", F.col("_next") != F.col("_now")).drop("_now").withColumnRenamed("_next", "_now")
+        done.append(F.when(F.col(f"_did{i}"), F.lit(name)))
+    said = F.col("_warned") if len(steps) > len(CORE) else warnings(F.col("_now"))
+    out = out.withColumns({"transforms_applied": F.array_compact(F.array(*done)), "warnings": said, "chars_after": F.length("_now")})
+    kept = [F.col("_now").alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("transforms_applied", "warnings", "chars_before", "chars_after")]
+    return out.select(*kept, "transforms_applied", "warnings", "chars_before", "chars_after")
 
 
 def clean(text: Column) -> Column:
