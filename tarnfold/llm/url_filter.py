@@ -10,7 +10,8 @@ at least `THRESHOLD` times its own pages.
 
 Links are counted by pair of hosts before anything else (a host with a third of all
 pages is one row for each host that it links to), and every round is written to the
-shared folder.
+shared folder. Rounds go on until the largest part that one sends is SETTLED of the largest
+seed: each sends DAMPING of the one before at most, so about 130 rounds reach that on any graph, however long its chains.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no
 rule and is allowed; a null html has no links; relative links stay within a host and
@@ -26,7 +27,7 @@ from tarnfold.llm.workspace import Workspace, ascii_lower
 
 # The rules of the query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
+DAMPING, SETTLED, THRESHOLD = 0.85, 1e-9, 0.5  # part of a rank sent on; share of the largest seed below which nothing is; net distrust a page that blocks
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
@@ -62,14 +63,19 @@ def propagate(seeds: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
     moves = ws.save(forth.unionByName(back), "moves")
     start = seeds.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("seed")))).alias("x"), "host").select("x.kind", "host", F.col("x.seed").cast("double").alias("seed"))
     start = ws.save(start, "seeds")
+    # What a round sends on is kept apart from what has come: the rank is the sum of all rounds, and the end is when the largest part sent is small.
+    most = start.agg(F.max("seed")).first()[0] or 0.0
     rank = start.withColumnRenamed("seed", "rank")
-    if not moves.isEmpty():
-        for i in range(ROUNDS):
-            sent = moves.join(rank.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-            new = start.join(sent, ["kind", "host"], "full").select("kind", "host", (F.coalesce("seed", F.lit(0.0)) + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"))
-            rank = ws.save(new, f"rank{i}")
-            if i:
-                ws.drop(f"rank{i - 1}")
+    sent, rounds = rank.filter("rank > 0"), 0
+    while most > 0 and not moves.isEmpty():
+        part = moves.join(sent.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg((DAMPING * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
+        sent = ws.save(part, f"sent/round={rounds}")
+        rounds += 1
+        largest = sent.agg(F.max("rank")).first()[0] or 0.0
+        if largest < SETTLED * most:
+            break
+    if rounds:
+        rank = rank.unionByName(ws.spark.read.schema(sent.schema).parquet(f"{ws.path}/sent").select(*rank.columns))
     return rank.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
 
 
@@ -95,18 +101,13 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same rounds, unrolled."""
+    """The same walk, some rounds longer."""
     quoted = LINK.replace("'", "''")
     fits = "\n".join(f"    WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}'" for h, p, _ in sorted(RULES, key=lambda r: -len(r[0] + r[1])))
     allow = ", ".join(f"'{h + p}'" for h, p, v in RULES if v == "allow")
     lower = "translate(coalesce(regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    rounds = "".join(
-        f""", sent{i} AS (SELECT kind, b AS host, sum(rank * share) AS got FROM moves JOIN rank{i} r USING (kind) WHERE r.host = a GROUP BY ALL),
-rank{i + 1} AS (SELECT kind, host, coalesce(seed, 0.0) + {DAMPING} * coalesce(got, 0.0) AS rank FROM rank0s FULL JOIN sent{i} USING (kind, host))"""
-        for i in range(ROUNDS)
-    )
     return f"""
-WITH named AS MATERIALIZED (
+WITH RECURSIVE named AS MATERIALIZED (
   SELECT page_id, {lower.format("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages
 ), ruled AS MATERIALIZED (SELECT *, CASE
 {fits}
@@ -123,9 +124,12 @@ WITH named AS MATERIALIZED (
   SELECT host, count(*) FILTER (WHERE by_rule = 'allow') AS allowed, count(*) FILTER (WHERE by_rule = 'block') AS blocked, count(*) AS n_pages
   FROM judged WHERE host <> '' GROUP BY host
 ), rank0s AS (SELECT 'trust' AS kind, host, CAST(allowed AS DOUBLE) AS seed FROM hosts UNION ALL SELECT 'distrust', host, CAST(blocked AS DOUBLE) FROM hosts
-), rank0 AS (SELECT kind, host, seed AS rank FROM rank0s){rounds}
+), walk AS (
+  SELECT kind, host, seed AS rank, 0 AS step FROM rank0s WHERE seed > 0
+  UNION ALL SELECT kind, b, {DAMPING} * sum(rank * share), step + 1 FROM walk JOIN moves USING (kind) WHERE host = a AND step < 300 GROUP BY kind, b, step
+), ranked AS (SELECT kind, host, sum(rank) AS rank FROM walk GROUP BY ALL)
 , bad AS (
-  SELECT host FROM hosts JOIN rank{ROUNDS} USING (host) GROUP BY host, n_pages
+  SELECT host FROM hosts JOIN ranked USING (host) GROUP BY host, n_pages
   HAVING round(sum(CASE kind WHEN 'distrust' THEN rank ELSE -rank END), 9) >= {THRESHOLD} * n_pages
 )
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged

@@ -330,6 +330,15 @@ def test_urls(spark):
     assert url_filter.judge(frame.limit(0), url_filter.RULES).count() == 0
 
 
+def test_distrust_goes_along_long_chains(spark):
+    """Hosts that lead to blocked ones over up to 30 links, one link each, with 90 blocked pages at the end."""
+    rows = [(n, f"https://h{n}.org/", f'<a href="https://h{n + 1}.org/">') for n in range(30)] + [(30, "https://h30.org/", '<a href="https://bad.net/es/">')] + [(100 + n, "https://bad.net/es/x", "") for n in range(90)]
+    got = {r["host"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url_filter.RULES).collect()}
+    for n in range(31):  # a host's distrust is what the seeds send back over its links
+        assert got[f"h{n}.org"] == ("block" if 90 * 0.85 ** (31 - n) >= 0.5 else "allow"), n
+    assert sum(v == "block" for h, v in got.items() if h != "bad.net") == 31 and 90 * 0.85**31 > 0.5
+
+
 def descended(n, p, shares, rounds=4000):
     """Plain projected gradient with a small step, in NumPy: what the operator's steps must reach too."""
     r, goal = np.ones(len(n)), np.array(shares) * n.sum()
