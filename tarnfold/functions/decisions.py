@@ -229,3 +229,16 @@ def chunk_id(parts: list[Column]) -> Column:
     h = F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256)
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def vision_messages(image_uri: Column, markdown: Column, system: str, ask: str) -> Column:
+    """The messages of a model that sees a page: what it shall do, the page's image in full detail, and what is asked of the markdown, fenced, that was read from it. JSON, as a model's interface takes it."""
+    image = F.struct(F.lit("image_url").alias("type"), F.struct(image_uri.alias("url"), F.lit("high").alias("detail")).alias("image_url"))
+    text = F.struct(F.lit("text").alias("type"), F.concat(F.lit(f"{ask}\n\n```markdown\n"), F.coalesce(markdown, F.lit("")), F.lit("\n```")).alias("text"))
+    user = F.concat(F.lit('{"role":"user","content":['), F.to_json(image), F.lit(","), F.to_json(text), F.lit("]}"))
+    return F.concat(F.lit("["), F.to_json(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))), F.lit(","), user, F.lit("]"))
+
+
+def data_uri(content: Column, mime: str = "image/png") -> Column:
+    """Bytes as a URI that holds them."""
+    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))

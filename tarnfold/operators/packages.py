@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,6 +67,22 @@ def inventory(docs: DataFrame, title: str, columns: list[str]) -> DataFrame:
     return docs.agg(F.array_join(lines, "\n").alias("markdown"))
 
 
+def inventory_lines(docs: DataFrame, title: str, columns: list[str], save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """nth, line: the same table as a row a line, for inventories of any size. Rows are numbered within ranges of their order, and the ranges by their counts; `save` writes the ranges once, so that they stay what they were counted as."""
+    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    rows = docs.select("doc_id", "doc_version", cells.alias("cells")).repartitionByRange("doc_id", "doc_version").sortWithinPartitions("doc_id", "doc_version")
+    rows = save(rows.select("cells", F.monotonically_increasing_id().alias("at")), "ranges").withColumn("part", F.shiftright("at", 33))
+    parts = rows.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    parts = save(parts.select("part", (before - F.col("first") + 1).alias("shift"), "n"), "parts")
+    numbered = rows.join(parts.select("part", "shift"), "part").select((F.col("at") + F.col("shift")).alias("number"), "cells")
+    head = [f"# {title}", "", "Total documents: ", "", "| # | " + " | ".join(columns) + " |", "|---|" + "---|" * len(columns)]
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("string").alias("t"))
+    top = total.select(F.posexplode(F.array(*[F.concat(F.lit(x), F.col("t")) if x.endswith(": ") else F.lit(x) for x in head])).alias("at", "line")).select((F.col("at") + 1).cast("long").alias("nth"), "line")
+    line = F.concat(F.lit("| "), F.col("number").cast("string"), F.lit(" | "), F.array_join("cells", " | "), F.lit(" |"))
+    return top.unionByName(numbered.select((F.col("number") + len(head)).alias("nth"), line.alias("line")))
+
+
 def _zip(files: dict[str, str]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

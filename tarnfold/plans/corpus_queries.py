@@ -121,6 +121,13 @@ def export_inventory(spark, sf_dir):
     return packages.inventory(packages.document_markdown(_chunks(spark, sf_dir)), "Export", ["doc_id", "doc_version", "chunks"]).select(F.sha2("markdown", 256).alias("digest"))
 
 
+@query("inventory_lines", _CHUNKS + """, r AS (SELECT *, row_number() OVER (ORDER BY doc_id, doc_version) AS n FROM m) SELECT n + 6 AS nth, concat('| ', n, ' | ', doc_id, ' | ', doc_version, ' | ', chunks, ' |') AS line FROM r
+UNION ALL SELECT 1, '# Export' UNION ALL SELECT 2, '' UNION ALL SELECT 3, concat('Total documents: ', count(*)) FROM m UNION ALL SELECT 4, '' UNION ALL SELECT 5, '| # | doc_id | doc_version | chunks |' UNION ALL SELECT 6, '|---|---|---|---|'""")
+def inventory_lines(spark, sf_dir):
+    """The inventory as numbered lines, no task of which holds it whole."""
+    return packages.inventory_lines(packages.document_markdown(_chunks(spark, sf_dir)), "Export", ["doc_id", "doc_version", "chunks"], saver(spark, "inventory"))
+
+
 @query("packages_read_again", _CHUNKS + " SELECT concat(doc_id, '_', doc_version, '.zip') AS file, doc_id, doc_version, sha256(markdown) AS digest, NULL::VARCHAR AS error FROM m UNION ALL SELECT 'broken.zip', NULL, NULL, NULL, 'BadZipFile'")
 def packages_read_again(spark, sf_dir):
     """Every document packed and read again, and one package that is none."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnfold.functions import decisions
 from tarnfold.operators import characters, layout, paragraphs, tables
 from tarnfold.plans.text_queries import NL
 from tarnfold.session import table
@@ -174,3 +175,13 @@ def layouts_cleaned(spark, sf_dir):
 @query("right_to_left", r"SELECT doc_id, sha256(array_to_string(list_reverse(regexp_extract_all(text, '(?s)[a-zA-Z0-9 :*./%+-]+|[^a-zA-Z0-9 :*./%+-]')), '')) AS digest FROM documents")
 def right_to_left(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(layout.right_to_left(F.col("text")), 256).alias("digest"))
+
+
+@query("vision_prompts", rf"""SELECT conv_id, turn, sha256(json_extract_string(m, '$[1].content[0].image_url.url')) AS image, sha256(json_extract_string(m, '$[1].content[1].text')) AS asked, json_extract_string(m, '$[0].content') AS system, CAST(json_array_length(m) AS INT) AS messages
+FROM (SELECT conv_id, turn, to_json([{{'role': 'system', 'content': 'Correct one page.'}}::JSON, {{'role': 'user', 'content': [{{'type': 'image_url', 'image_url': {{'url': concat('data:image/png;base64,', base64(encode(role))), 'detail': 'high'}}}}::JSON, {{'type': 'text', 'text': concat('As shown:', {NL}, {NL}, '```markdown', {NL}, text, {NL}, '```')}}::JSON]}}::JSON]) AS m FROM conversations)""")
+def vision_prompts(spark, sf_dir):
+    """Prompts of pages whose image stands in them; what a reader of their JSON finds."""
+    turns = table(spark, sf_dir, "conversations")
+    m = decisions.vision_messages(decisions.data_uri(F.col("role").cast("binary")), F.col("text"), "Correct one page.", "As shown:")
+    got = lambda path: F.get_json_object("m", path)
+    return turns.select("conv_id", "turn", m.alias("m")).select("conv_id", "turn", F.sha2(got("$[1].content[0].image_url.url"), 256).alias("image"), F.sha2(got("$[1].content[1].text"), 256).alias("asked"), got("$[0].content").alias("system"), F.json_array_length("m").alias("messages"))
