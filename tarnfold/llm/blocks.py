@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.llm.workspace import Workspace
+
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
 RANGES_PER_BLOCK = 2  # hash ranges, and so reducers, follow the number of blocks
 BITS = 48
@@ -56,14 +58,15 @@ def _pack(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
 
 
 class Blocks:
-    """A bucketed table of blocks in the warehouse; use as a context manager. row, a long column of docs, travels along as each document's `rows`."""
+    """A bucketed table of blocks in the shared folder; use as a context manager. row, a long column of docs, travels along as each document's `rows`."""
 
     def __init__(self, docs: DataFrame, name: str, row: str | None = None) -> None:
         self.spark: SparkSession = docs.sparkSession
         self.table = f"tarnfold_{name}_{uuid.uuid4().hex}"
         packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row") if row else F.lit(0).cast("long").alias("row")).mapInPandas(partial(_pack, most=BLOCK_BYTES), SCHEMA)
         self.buckets = max(1, min(20_000, docs.rdd.getNumPartitions()))
-        packed.write.option("compression", "zstd").bucketBy(self.buckets, "block").saveAsTable(self.table)
+        self.ws = Workspace(self.spark, f"{name}_blocks")  # a bucketed table needs a name, but its files lie where all executors read, whatever the warehouse is
+        packed.write.option("compression", "zstd").option("path", f"{self.ws.path}/blocks").bucketBy(self.buckets, "block").saveAsTable(self.table)
         self.count = self.spark.table(self.table).select("block").count()
 
     def __enter__(self) -> Blocks:
@@ -71,6 +74,7 @@ class Blocks:
 
     def __exit__(self, *_: object) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self.ws.drop("blocks")
 
     def map(self, run: Callable, schema: str, replies: DataFrame | None = None) -> DataFrame:
         """run(iterator of frames) over the blocks, with the replies (block, part, reply) to each as an array in order of part."""
