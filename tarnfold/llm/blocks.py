@@ -15,6 +15,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,31 +30,34 @@ NO_ID = 2**63 - 1  # stands for a null id, above all others
 SCHEMA = "block long, rows binary, ids binary, starts binary, text binary"
 
 
-def _pack(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Texts are cut out of the batches' own buffers, run by run, and never become objects."""
     base, seq = TaskContext.get().partitionId() << 24, 0
-    texts: list[bytes] = []
-    ids: list[int] = []
-    rows: list[int] = []
-    size = 0
-
-    def out() -> pd.DataFrame:
-        starts = np.cumsum([0, *map(len, texts)]).astype(np.int64)
-        return pd.DataFrame({"block": [base + seq], "rows": [np.array(rows, np.int64).tobytes()], "ids": [np.array(ids, np.int64).tobytes()], "starts": [starts.tobytes()], "text": [b"".join(texts)]})
-
-    for pdf in batches:
-        for i, t, r in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["row"].tolist(), strict=True):
-            b = t.encode("utf-8", "surrogatepass") if t is not None else b""
-            if texts and (size + len(b) > most or len(texts) == BLOCK_ROWS):
+    held: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]] = []  # bytes, lengths, ids, row numbers
+    size = n = 0
+
+    def out() -> pa.RecordBatch:
+        text, lengths, ids, rows = zip(*held, strict=True)
+        starts = np.concatenate(([0], np.cumsum(np.concatenate(lengths)))).astype(np.int64)
+        packed = [starts.tobytes() if c is None else np.concatenate(c).tobytes() for c in (rows, ids, None)]
+        return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), *[pa.array([x], pa.binary()) for x in (*packed, b"".join(text))]], names=["block", "rows", "ids", "starts", "text"])
+
+    for batch in batches:
+        ids, texts, rows = batch.column("doc_id"), batch.column("text"), batch.column("row")
+        ids = pc.fill_null(ids, NO_ID).to_numpy()
+        rows = rows.to_numpy()
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        data, i = texts.buffers()[2], 0
+        while i < len(texts):
+            j = min(int(np.searchsorted(at, at[i] + most - size, side="right")) - 1, i + BLOCK_ROWS - n, len(texts))
+            j = max(j, i if n else i + 1)  # a text beyond the size is a block of its own
+            if j > i:
+                held.append((data[at[i] : at[j]].to_pybytes() if at[j] > at[i] else b"", np.diff(at[i : j + 1]), ids[i:j], rows[i:j]))
+                size, n, i = size + int(at[j] - at[i]), n + j - i, j
+            if i < len(texts):
                 yield out()
-                seq, size = seq + 1, 0
-                texts.clear()
-                ids.clear()
-                rows.clear()
-            texts.append(b)
-            rows.append(r)
-            ids.append(NO_ID if i is None or i != i else int(i))
-            size += len(b)
-    if texts:
+                held, size, n, seq = [], 0, 0, seq + 1
+    if n:
         yield out()
 
 
@@ -63,7 +67,7 @@ class Blocks:
     def __init__(self, docs: DataFrame, name: str, row: str | None = None) -> None:
         self.spark: SparkSession = docs.sparkSession
         self.table = f"tarnfold_{name}_{uuid.uuid4().hex}"
-        packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row") if row else F.lit(0).cast("long").alias("row")).mapInPandas(partial(_pack, most=BLOCK_BYTES), SCHEMA)
+        packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row") if row else F.lit(0).cast("long").alias("row")).mapInArrow(partial(_pack, most=BLOCK_BYTES), SCHEMA)
         self.buckets = max(1, min(20_000, docs.rdd.getNumPartitions()))
         self.ws = Workspace(self.spark, f"{name}_blocks")  # a bucketed table needs a name, but its files lie where all executors read, whatever the warehouse is
         packed.write.option("compression", "zstd").option("path", f"{self.ws.path}/blocks").bucketBy(self.buckets, "block").saveAsTable(self.table)
