@@ -1,7 +1,8 @@
 """Documents through judging and refining, as passes over a table of states.
 
-A pass moves every document that still runs by one node; documents at rest are carried
-along. The number of passes is bounded by the retries, and a pass writes its table to the
+A pass moves every document that still runs by one node, and reads those alone; documents
+at rest stay where the pass that ended them wrote them. The number of passes is bounded by
+the retries, and a pass writes its table to the
 shared folder, so lineage doesn't grow and a lost executor costs one pass.
 """
 
@@ -59,13 +60,16 @@ def refined(state: DataFrame, provider: Provider) -> DataFrame:
 def run(docs: DataFrame, save: callable, routing: decisions.Routing | None = None, provider: Provider | None = None, max_retries: int = 2, text: str = "text") -> DataFrame:
     """docs with their final state: at metadata (accepted), hitl (for a human) or failed. save(df, name) writes a pass and reads it again."""
     routing, provider = routing or decisions.Routing(), provider or Provider()
-    state = started(docs, text, max_retries)
+    state, rest = started(docs, text, max_retries), None
     for i in range(3 * max_retries + 1):
-        state = save(judged(state, provider, routing), f"judged{i}")
-        if state.filter("current_node = 'refine'").isEmpty():
-            return state
-        state = refined(state, provider)
-    return state
+        done = save(judged(state, provider, routing), f"judged{i}")
+        running = done.filter("current_node = 'refine'")
+        if running.isEmpty():
+            return done if rest is None else rest.unionByName(done)
+        ended = done.filter("current_node <> 'refine'")
+        rest = ended if rest is None else rest.unionByName(ended)
+        state = refined(running, provider)
+    return rest.unionByName(state)
 
 
 def outcome(judge_score: Column, retries: Column, max_retries: int) -> Column:
