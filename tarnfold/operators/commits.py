@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tarnfold.operators.artifacts import appended
+
 VERSION = "_version"  # the column that a data folder's name stands for
 
 
@@ -131,6 +133,20 @@ class Commits:
         return Snapshot(number, tables)
 
 
+    def vacuum(self, keep: int = 1, idle_ms: int = 86_400_000) -> int:
+        """Delete the data folders that none of the newest `keep` whole records names and that nobody has written to for idle_ms, which is longer than any writer takes; how many. Records stay, but snapshots before those kept can't be read any more."""
+        whole = [t for n in reversed(self._numbers()) if (t := self._record(n)) is not None][:keep]
+        named = {(table, f.partition("/")[0]) for tables in whole for table, about in tables.items() for f in about["folders"]}
+        before, gone = self.jvm.java.lang.System.currentTimeMillis() - idle_ms, 0
+        for table in {t for tables in whole for t in tables}:
+            for f in self.files.listStatus(self._at(table)):
+                name = f.getPath().getName()
+                if name.startswith(f"{VERSION}=") and (table, name) not in named and f.getModificationTime() <= before:
+                    self.files.delete(f.getPath(), True)
+                    gone += 1
+        return gone
+
+
 def paused(log: Commits, runs: DataFrame, base: Snapshot | None = None) -> Snapshot:
     """Runs that wait for a human: in one commit each gets status and node hitl, a pending task with the judge's words, and a waiting node.
 
@@ -159,8 +175,6 @@ def session_committed(log: Commits, stitched: DataFrame, base: Snapshot | None =
     run_id, status, filename), runs (id, status, current_node, doc_id, is_hitl_resume) and artifacts. A session
     without a stitched text, or that is committed already, stays as it is. New runs are numbered after the largest, by session.
     """
-    from tarnfold.operators.artifacts import appended
-
     base = base or log.snapshot()
     sessions, runs = log.read("sessions", base), log.read("runs", base)
     ready = sessions.join(stitched.filter("markdown <> ''"), "session_id").filter("status <> 'committed'")

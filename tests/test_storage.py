@@ -59,6 +59,17 @@ def test_records_that_were_cut_short_are_passed_over(spark, log, tmp_path):
     assert after.number == 3 and log.snapshot().number == 3 and len(state(log)["runs"]) == 4
 
 
+def test_vacuum_keeps_what_is_named_and_what_is_new(spark, log):
+    row = spark.createDataFrame([(9, "running", None)], RUN)
+    log.commit(log.snapshot(), append={"runs": row})
+    log.commit(log.snapshot(), replace={"runs": row})
+    log._write("runs", row, None)  # a writer that stopped
+    before = state(log)
+    assert log.vacuum(keep=1) == 0 and log.vacuum(keep=2, idle_ms=-1) == 1
+    assert state(log) == before and len(state(log, log.snapshot(2))["runs"]) == 4
+    assert log.vacuum(keep=1, idle_ms=-1) == 2 and state(log) == before
+
+
 def test_of_two_writers_from_one_snapshot_the_second_is_told(spark, log):
     base, row = log.snapshot(), spark.createDataFrame([(9, "running", None)], RUN)
     log.commit(base, append={"runs": row})
