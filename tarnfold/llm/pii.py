@@ -109,7 +109,7 @@ def luhn(digits: Column) -> Column:
 
 def _part_ok(part: Column) -> Column:
     plain = F.regexp_replace(part, "^0+", "")
-    return F.when(F.length(plain) > 3, False).otherwise(F.coalesce(plain.cast("int"), F.lit(0)) <= 255)
+    return F.when(F.length(plain) > 3, False).otherwise(F.coalesce(plain.try_cast("int"), F.lit(0)) <= 255)
 
 
 def _valid(kind: str, s: Column) -> Column:
@@ -231,7 +231,11 @@ def find_spans(docs: DataFrame, name: str = "pii") -> DataFrame:
     return classify(ws.save(candidates(docs), "candidates"))
 
 
+def count_of(spans: str, kind: str) -> Column:
+    """How many of the spans are of a kind. Spark gives a function of two arguments the span's place as the second, so the kind is none of them."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), "op6")
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *[count_of("base", kind).alias(f"n_{kind}") for kind in KINDS], F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.concat("base", "added")).alias("spans"))

@@ -273,6 +273,15 @@ def test_pii(spark, empty):
     assert pii.find_spans(empty).count() == 0
 
 
+def test_pii_counts_of_kinds(spark, tmp_path):
+    texts = ["10.0.0.1 and 0.00.000.255", "a@b.c d@e.f 0000 0000 0000 0000", "+1 (826) 555-4081 a@b.c 1.2.3.4 1.2.3.4", "+1 (826) 555-4081", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in pii.op6_pii(spark, str(tmp_path)).collect():
+        want = base_spans(texts[r["doc_id"]])
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [want.count(f"{k}:") for k in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_em_learns_reliabilities():
     patterns = [("phone", "+++", 0)]
     patterns = [("phone", "++++", 80), ("phone", "0+0+", 30), ("phone", "----", 60), ("phone", "0-0-", 40)]
