@@ -14,6 +14,7 @@ from tarnfold.functions import decisions, markdown, ordered
         (ordered.repair_headings, "### start\n##### far below\ntext\n# up\n### down\n#no", "### start\n#### far below\ntext\n# up\n## down\n#no"),
         (markdown.strip_trailing_whitespace, "kept  inside \t\n\u3000\n end\u00a0", "kept  inside\n\n end"),
         (markdown.join_superscripts, "5x10\n−3 kg by the 22 nd of 10 5", "5x10^−3 kg by the 22nd of 10 5"),
+        (markdown.join_superscripts, "5433 stß, ß2 nd, 2 ndx; x10\n5ß x10\v5", "5433stß, ß2nd, 2 ndx; x10^5ß x10\v5"),
         (markdown.strip_bullet_glyphs, "* ▪ cell\n3)    gap\n▪ alone \ue0b7x", "* cell\n3) gap\n▪ alone x"),
         (markdown.normalize_markdown, "## Part\nbody\r\n\r\n\r\n2) item\n", "## Part\n\nbody\n\n2. item\n"),
         (markdown.strip_frontmatter, "---\nk: v\nl: w\n---\nrest\n---\n", "rest\n---\n"),
