@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.functions import decisions, guardrails
 from tarnfold.functions.markdown import sections
+from tarnfold.session import saver
 
 # What converters call headings and titles, and the marks that they get.
 MARKS = {"section_header": "## ", "title": "# "}
@@ -29,12 +30,16 @@ def source_of(refs: DataFrame) -> DataFrame:
 
 
 def appended(ledger: DataFrame, rows: DataFrame, order: list[Column]) -> DataFrame:
-    """ledger and the rows after it, numbered on from its largest id. Rows are numbered within ranges of their order, so no task numbers all of them."""
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
-    numbered = spread.withColumn("_nth", nth)
+    """ledger and the rows after it, numbered on from its largest id. Rows are numbered within ranges of their order, so no task numbers all of them.
+
+    The ranges are written once and read twice: a range sort that is worked out again draws
+    other bounds, and counts of ranges must be of the rows that are numbered.
+    """
+    save = saver(rows.sparkSession, "appended")
+    spread = save(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    numbered = spread.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy("_at")))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = numbered.groupBy("_part").agg(F.max("_nth").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row a partition
+    parts = spread.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row a partition
     last = ledger.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
     out = numbered.join(F.broadcast(parts.select("_part", "_before")), "_part").join(F.broadcast(last), how="left", on=F.lit(True))
     return ledger.unionByName(out.withColumn("id", (F.col("_last") + F.col("_before") + F.col("_nth")).cast("long")).select(*ledger.columns))

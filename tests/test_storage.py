@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfold.operators import packages, retrieval
+from tarnfold.operators import artifacts, packages, retrieval
 from tarnfold.operators.commits import Commits, Conflict, paused
 from tarnfold.operators.diagnostics import Diagnostics
 from tarnfold.operators.store import ChunkStore
@@ -181,3 +181,17 @@ def test_search_in_several_passes_and_unusable_vectors(spark, monkeypatch):
     one = sorted(map(tuple, retrieval.search(points, asked, 3).collect()))
     monkeypatch.setattr(retrieval, "QUERY_BYTES", 64)
     assert sorted(map(tuple, retrieval.search(points, asked, 3).collect())) == one and len(one) == 18
+
+
+def test_rows_are_numbered_on_when_ranges_are_sampled(spark):
+    conf = {"spark.sql.execution.rangeExchange.sampleSizePerPartition": "5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        new = spark.range(20000).select((F.col("id") * 7919 % 20011).alias("at"), F.lit("new").alias("status"))
+        got = artifacts.appended(spark.range(10).select("id", F.lit("old").alias("status"), F.lit(-1).cast("long").alias("at")), new, [F.col("at")]).filter("status = 'new'").orderBy("id").collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert [r["id"] for r in got] == list(range(10, 20010)) and [r["at"] for r in got] == sorted(i * 7919 % 20011 for i in range(20000))
