@@ -189,8 +189,8 @@ def test_rows_are_numbered_on_when_ranges_are_sampled(spark):
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        new = spark.range(20000).select((F.col("id") * 7919 % 20011).alias("at"), F.lit("new").alias("status"))
-        got = artifacts.appended(spark.range(10).select("id", F.lit("old").alias("status"), F.lit(-1).cast("long").alias("at")), new, [F.col("at")]).filter("status = 'new'").orderBy("id").collect()
+        new = spark.range(20000).select((F.col("id") * 7919 % 20011).alias("at"), F.concat(F.lit("new "), "id").alias("status"))
+        got = artifacts.appended(spark.range(10).select("id", F.lit("old").alias("status"), F.lit(-1).cast("long").alias("at")), new, [F.col("at")]).filter("status LIKE 'new %'").orderBy("id").collect()
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
