@@ -91,3 +91,21 @@ def test_violations_lead_to_paragraphs(spark):
     assert long["strategy"] == "paragraph" and len(long["chunks"]) == 45 and long["qa"]["violations"] == ["duplication_ratio=0.978 > limit=0.100"]
     assert got["short text"]["strategy"] == "semantic" and got["short text"]["qa"]["passed"]
     assert got[""]["qa"]["violations"] == ["no_chunks"]
+
+
+def test_workers_get_few_texts_at_once(spark, tmp_path):
+    from tarnfold import session
+
+    spark.range(1).write.parquet(f"{tmp_path}/documents.parquet")
+    held = spark.conf.get(session.BATCH, None)
+    try:
+        for own, want in ((None, "1000"), ("77", "77")):
+            spark.conf.unset(session.BATCH)
+            if own:
+                spark.conf.set(session.BATCH, own)
+            session.table(spark, str(tmp_path), "documents")
+            assert spark.conf.get(session.BATCH) == want
+    finally:
+        spark.conf.unset(session.BATCH)
+        if held:
+            spark.conf.set(session.BATCH, held)
