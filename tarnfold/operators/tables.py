@@ -47,10 +47,10 @@ def tagged(cells: DataFrame, bands: DataFrame) -> DataFrame:
     )
 
 
-def by_band(boxes: list[Box], band: str, then: str) -> list[Box]:
-    """Neighbours that have a band are ordered by it; those that have none stay where they are."""
+def by_band(boxes: list[Box], band: str, *then: str) -> list[Box]:
+    """Neighbours that have a band are ordered by it and by the edges after it; those that have none stay where they are. What came before is no order to rely on: one with a tolerance isn't total."""
     runs = groupby(boxes, key=lambda b: b[band] is not None)
-    return [b for known, run in runs for b in (sorted(run, key=lambda b: (b[band], b[then])) if known else run)]
+    return [b for known, run in runs for b in (sorted(run, key=lambda b: (b[band], *(b[e] for e in then))) if known else run)]
 
 
 def numbered(boxes: list[Box], line: str, edge: str, begins: Callable[[Box, Box, float], bool]) -> int:
@@ -112,6 +112,8 @@ def middles(grid: Grid, size: int, axis: int, low: tuple[str, str], high: tuple[
 
 def spans_merged(grid: Grid, sizes: list[int]) -> dict[tuple[int, int], tuple[int, int]]:
     """Cells of a spanned area become one, at its first; returns the rows and columns that each takes. Texts that repeat what is there aren't added."""
+    if not any(b["area_left"] is not None for cell in grid.values() for b in cell):
+        return {}
     rows = middles(grid, sizes[0], 0, ("row_top", "top"), ("", "bottom"))
     cols = middles(grid, sizes[1], 1, ("col_left", "x0"), ("col_right", "x1"))
     of: dict[tuple[int, int], tuple[int, int]] = {}
@@ -138,9 +140,10 @@ def spans_merged(grid: Grid, sizes: list[int]) -> dict[tuple[int, int], tuple[in
 def header_rows(grid: Grid, rows: int) -> list[int]:
     """Rows of which most cells are in a header or, in a table of numbers, no number."""
     most = Counter(b["cell"] for b in sorted((b for cell in grid.values() for b in cell), key=lambda b: b["nth"])).most_common(1)[0][0]
-    out = []
-    for r in range(rows):
-        cells = [cell for k, cell in grid.items() if k[0] == r]
+    out, of = [], {r: [] for r in range(rows)}
+    for k, cell in grid.items():
+        of[k[0]].append(cell)
+    for r, cells in of.items():
         said = [any(b["header"] for b in cell) or most == "Nu" for cell in cells if not most == cell[0]["cell"] == "Nu"]
         out += [r] if cells and sum(said) > len(cells) / 2 else []
     return out
@@ -215,9 +218,9 @@ def built(boxes: list[Box], english: bool) -> dict:
         return {"caption": caption, "html": "", "described": [], "n_rows": 0, "n_cols": 0, "n_spans": 0}
     high = min((b["row_height"] for b in cells if b["row"] is not None), default=0)
     wide = min((b["col_right"] - b["col_left"] for b in cells if b["column"] is not None), default=0)
-    down = by_band(tolerant(cells, "top", "x0", high / 2), "row", "x0")
+    down = by_band(tolerant(cells, "top", "x0", high / 2), "row", "x0", "nth")
     sizes = [numbered(down, "rn", "bottom", begins_row)]
-    across = by_band(tolerant(down, "x0", "top", wide / 2), "column", "top")
+    across = by_band(tolerant(down, "x0", "top", wide / 2), "column", "top", "x0", "nth")
     sizes.append(numbered(across, "cn", "x1", begins_column))
     grid: Grid = {}
     for b in across:

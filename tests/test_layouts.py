@@ -1,6 +1,7 @@
 """Recognised pages: tables with spans, characters by tiles, paragraphs, columns and orders with a tolerance, against plain versions."""
 
 import random
+from functools import cmp_to_key
 from itertools import combinations
 
 import numpy as np
@@ -175,3 +176,23 @@ def test_lookalikes_within_reach_go(spark):
 def test_right_to_left(spark):
     rows = spark.createDataFrame([("שלום 12.5% abc",), ("",), (None,), ("אב",)], "t string")
     assert [r[0] for r in rows.select(layout.right_to_left(F.col("t"))).collect()] == [" 12.5% abcםולש", "", None, "בא"]
+
+
+def test_wide_cells_read_from_left_to_right():
+    """Boxes of a cell lie wider apart than the tolerance of columns, so the order with a tolerance is none of the cell's."""
+    rng = random.Random(7)
+    for _ in range(40):
+        places = [(n, r, c, float(rng.randrange(120))) for n, (r, c) in enumerate((r, c) for r in range(16) for c in range(3) for _ in range(4))]
+        band = {"row_height": 10.0, "header": False, "caption": False, "cell": "Ca", **dict.fromkeys(("area_left", "area_right", "area_top", "area_bottom"))}
+        boxes = [{"box": n, "x0": c * 100 + x, "x1": c * 100 + x + 10, "top": r * 20.0, "bottom": r * 20.0 + 10, "text": f"{n} ", "row": r, "row_top": r * 20.0, "column": c, "col_left": c * 100.0, "col_right": c * 100.0 + 70, **band} for n, r, c, x in places]
+        line = lambda r: "; ".join("".join(str(n) for _, n in sorted((x, n) for n, r0, c0, x in places if (r0, c0) == (r, c))) for c in range(3))  # noqa: E731, B023
+        assert tables.built(boxes, False)["described"] == [line(r) for r in range(16)]
+
+
+def test_lines_apart_sort_as_the_comparison_does():
+    rng = random.Random(5)
+    for step in (0, 1, 3, 10, 25):
+        boxes = [{"n": n, "top": rng.randrange(6) * step + rng.choice((0, 0, 0.5, 4)), "x0": rng.randrange(5)} for n in range(rng.randrange(1, 40))]
+        for near in (0, 1, 5, 9.5):
+            far = lambda a, b: a["x0"] - b["x0"] if abs(a["top"] - b["top"]) < near else a["top"] - b["top"]  # noqa: E731, B023
+            assert layout.tolerant(boxes, "top", "x0", near) == sorted(boxes, key=cmp_to_key(far))
