@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfold.functions.markdown import bound
 from tarnfold.session import saver
 
 # What the modes of fidelity let through.
@@ -97,10 +98,12 @@ def evaluation_summary(cases: DataFrame) -> DataFrame:
 
 def word_chunks(text: Column, size: int, step: int) -> Column:
     """array<struct<chunk_index, chunk>>: overlapping runs of words; the last run ends the text."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("chunk_index"), F.array_join(F.slice(words, i * step + 1, F.lit(size)), " ").alias("chunk")))
+
+    def runs(words: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(words) - size) / step)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("chunk_index"), F.array_join(F.slice(words, i * step + 1, F.lit(size)), " ").alias("chunk")))
+
+    return bound(F.filter(F.split(text, r"\s+"), lambda w: w != ""), runs)
 
 
 def deterministic_embedding(text: Column, dim: int) -> Column:
