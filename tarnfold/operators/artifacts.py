@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.functions import decisions, guardrails
-from tarnfold.functions.markdown import sections
+from tarnfold.functions.markdown import bound, sections
 from tarnfold.session import saver
 
 # What converters call headings and titles, and the marks that they get.
@@ -88,8 +88,7 @@ def page_markdown(pages: DataFrame, number: int) -> DataFrame:
 
 
 def refined_by_section(docs: DataFrame, refine=decisions.refined_offline, most_tokens: int = 6000, text: str = "text") -> DataFrame:
-    """docs with `refined`, their sections refined one by one and put together again, and `refused`, why it doesn't stand (the text is then kept)."""
-    parts = docs.select("doc_id", F.posexplode(sections(F.col(text), most_tokens)).alias("at", "part")).withColumn("part", refine(F.col("part")))
-    whole = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "\n\n").alias("_new"))
-    out = docs.join(whole, "doc_id", "left").withColumn("refused", guardrails.refine_verdict(F.col(text), F.coalesce("_new", F.lit(""))))
+    """docs with `refined`, their sections refined one by one and put together again, and `refused`, why it doesn't stand (the text is then kept). A row is refined where it lies; refine is of built-in functions."""
+    whole = bound(F.transform(sections(F.col(text), most_tokens), refine), lambda parts: F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")))
+    out = docs.withColumn("_new", whole).withColumn("refused", guardrails.refine_verdict(F.col(text), F.coalesce("_new", F.lit(""))))
     return out.withColumn("refined", F.when(F.col("refused").isNull(), F.col("_new")).otherwise(F.col(text))).drop("_new")
