@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tarnfold.operators.artifacts import appended
+from tarnfold.session import saver
 
 VERSION = "_version"  # the column that a data folder's name stands for
 
@@ -177,6 +178,7 @@ def session_committed(log: Commits, stitched: DataFrame, base: Snapshot | None =
     """
     base = base or log.snapshot()
     sessions, runs = log.read("sessions", base), log.read("runs", base)
+    stitched = saver(log.spark, "stitched")(stitched, "texts")  # read three times below, stitched once
     ready = sessions.join(stitched.filter("markdown <> ''"), "session_id").filter("status <> 'committed'")
     started = ready.filter("run_id IS NULL").select(F.col("session_id").alias("_session"), F.lit("complete").alias("status"), F.lit("vlm_ingest").alias("current_node"), F.col("filename").alias("doc_id"), F.lit(True).alias("is_hitl_resume"))
     runs_after = appended(runs.withColumn("_session", F.lit(None).cast(sessions.schema["session_id"].dataType)), started, [F.col("_session")])

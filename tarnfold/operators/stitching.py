@@ -78,18 +78,20 @@ def stitched(pages: DataFrame, document: str = "doc_id", page: str = "page_num",
         held: list[tuple[int, str]] = []
         now = None
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame([(now, *stitch(held, comments))], columns=[document, *[c.split()[0] for c in SCHEMA.split(", ")]])
+        columns = [document, *[c.split()[0] for c in SCHEMA.split(", ")]]
 
         for pdf in batches:
+            done = []  # the documents that end in a batch leave together
             for d, n, t in zip(pdf[document].tolist(), pdf[page].tolist(), pdf[text].tolist(), strict=True):
                 if held and d != now:
-                    yield out()
+                    done.append((now, *stitch(held, comments)))
                     held = []
                 now = d
                 held.append((n, t))
+            if done:
+                yield pd.DataFrame(done, columns=columns)
         if held:
-            yield out()
+            yield pd.DataFrame([(now, *stitch(held, comments))], columns=columns)
 
     rows = pages.select(document, page, text).repartition(F.col(document)).sortWithinPartitions(document, page, text)
     return rows.mapInPandas(run, f"{document} {kind}, {SCHEMA}")
