@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -33,6 +35,36 @@ def each_group(df: DataFrame, keys: list[str], order: list[str], change: Callabl
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 14) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, of `least` rows or more but for the last, and where each group begins in them. Rows of a group come one after the other; a table holds the rows of several batches, or one group."""
+    held: list[pa.RecordBatch] = []
+    rows, wanted = 0, least
+
+    def begins(part: pa.Table) -> np.ndarray:
+        new = np.zeros(part.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            codes = part[k].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.nonzero(new)[0]
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < wanted:
+            continue
+        part = pa.Table.from_batches(held)
+        at = begins(part)
+        last = int(at[-1])
+        if last:
+            yield part.slice(0, last), at[:-1]
+        held, rows = part.slice(last).to_batches(), part.num_rows - last
+        wanted = max(least, 2 * rows)  # a group of very many rows is looked through again only when it has doubled
+    if rows:
+        part = pa.Table.from_batches(held)
+        yield part, begins(part)
+
+
 def typed(df: DataFrame, *names: str) -> str:
     """Columns of df as the beginning of a schema."""
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)

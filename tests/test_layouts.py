@@ -82,6 +82,49 @@ def test_which_characters_a_box_takes(spark):
     assert dict(characters.texts(chars, boxes).select("box", "text").collect()) == {1: "a b", 2: "cé"}
 
 
+def test_characters_of_many_groups_are_ordered_at_once():
+    rng = random.Random(4)
+    rows, sizes = [], []
+    for g in range(300):
+        sizes.append(rng.randint(1, 12))
+        step = rng.choice([0.0, 1.0, 3.0, 12.0])  # lines that lie apart, and ones that run into each other
+        rows.append([{"n": n, "top": rng.randint(0, 5) * step, "x0": float(rng.randint(0, 6)), "bottom": 0.0} for n in range(sizes[-1])])
+        for r in rows[-1]:
+            r["bottom"] = r["top"] + rng.choice([0.0, 6.0, 10.0]) * (g % 5 > 0)
+    want, begin = [], 0
+    for group in rows:
+        mean = sum(r["bottom"] - r["top"] for r in group) / len(group)
+        want += [begin + r["n"] for r in layout.tolerant(group, "top", "x0", mean)]
+        begin += len(group)
+    flat = [r for group in rows for r in group]
+    edges = [np.array([r[c] for r in flat]) for c in ("top", "bottom", "x0")]
+    assert characters.in_lines(np.repeat(np.arange(300), sizes), *edges).tolist() == want
+
+
+def test_characters_of_any_size_find_their_boxes_and_travel_with_what_they_hold(spark):
+    rng = random.Random(6)
+    edges = lambda most: (x := rng.uniform(-150, 300), x + rng.uniform(1, most), y := rng.uniform(-150, 300), y + rng.uniform(1, most))
+    chars = [(1, 0, n, rng.choice(["a", " ", "", None, "xy"]), *edges(rng.choice([8, 60, 200]))) for n in range(300)]
+    boxes = [(1, 0, n, *edges(250)) for n in range(60)]
+    kind = "x0 double, x1 double, top double, bottom double"
+    c, b = spark.createDataFrame(chars, f"doc_id int, page int, char int, text string, {kind}"), spark.createDataFrame(boxes, f"doc_id int, page int, box int, {kind}")
+    area = lambda x, y: max(0, min(x[-3], y[-3]) - max(x[-4], y[-4])) * max(0, min(x[-1], y[-1]) - max(x[-2], y[-2]))
+    want = {(x[2], y[2]) for x in chars for y in boxes if area(x, y) > 0}
+    got = [tuple(r) for r in characters.pairs(c, b).select("char", "box").collect()]
+    assert len(got) == len(want) and set(got) == want
+    held: dict[int, list] = {}
+    for n, box in sorted(characters.assigned(c, b).select("char", "box").collect()):
+        held.setdefault(box, []).append(chars[n])
+    for r in characters.texts(c, b).collect():
+        mean = sum(x[7] - x[6] for x in held[r["box"]]) / len(held[r["box"]])
+        text = ""
+        for x in layout.tolerant([{"text": x[3] or "", "top": x[6], "x0": x[4]} for x in held[r["box"]]], "top", "x0", mean):
+            text += x["text"] if x["text"] != " " or not text else " " * bool(characters.BEFORE_BLANK.match(text[-1]))
+        assert r["text"] == text
+    plan = characters.texts(c.filter("x1 - x0 < 9"), b)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 2  # characters of either size with boxes; what they hold travels along
+
+
 def plain_paragraphs(lines, english):
     """A page's lines (top, x0, box, x1, bottom, text, layoutno), joined one after the other."""
     out = []
