@@ -10,6 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def plain(column: pd.Series) -> list:
+    """A column's values as Python's own, None where there is none."""
+    if not column.hasnans:
+        return column.tolist()
+    values = column.astype(object).to_numpy(copy=True)
+    values[column.isna().to_numpy()] = None
+    return values.tolist()
+
+
 def each_group(df: DataFrame, keys: list[str], order: list[str], change: Callable[[list[dict]], Iterable[dict]], schema: str) -> DataFrame:
     """change(a key's rows in order) over all keys. Keys are dealt by hash and sorted with their rows by Spark, which may spill; a task holds one key's rows."""
 
@@ -19,8 +28,10 @@ def each_group(df: DataFrame, keys: list[str], order: list[str], change: Callabl
         columns: list[str] | None = None
         for batch in batches:
             done: list[dict] = []
-            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-                key = tuple(row[k] for k in keys)
+            names = list(batch.columns)
+            values = [plain(s) for _, s in batch.items()]
+            for key, *row in zip(zip(*(values[names.index(k)] for k in keys), strict=True), *values, strict=True):
+                row = dict(zip(names, row, strict=True))
                 if rows and key != held:
                     done += change(rows)
                     rows = []

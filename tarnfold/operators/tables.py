@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 from itertools import groupby, product
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +50,8 @@ def tagged(cells: DataFrame, bands: DataFrame) -> DataFrame:
 
 def by_band(boxes: list[Box], band: str, *then: str) -> list[Box]:
     """Neighbours that have a band are ordered by it and by the edges after it; those that have none stay where they are. What came before is no order to rely on: one with a tolerance isn't total."""
-    runs = groupby(boxes, key=lambda b: b[band] is not None)
-    return [b for known, run in runs for b in (sorted(run, key=lambda b: (b[band], *(b[e] for e in then))) if known else run)]
+    edges = itemgetter(band, *then)
+    return [b for known, run in groupby(boxes, key=lambda b: b[band] is not None) for b in (sorted(run, key=edges) if known else run)]
 
 
 def numbered(boxes: list[Box], line: str, edge: str, begins: Callable[[Box, Box, float], bool]) -> int:
@@ -161,10 +162,13 @@ def as_html(grid: Grid, sizes: list[int], spans: dict, headers: list[int], capti
             if not cell:
                 parts.append(f"<{tag}></{tag}>")
                 continue
-            near = min(min(b["bottom"] - b["top"] for b in cell) / 2, NEAR)
-            texts.append(" ".join(b["text"] for b in tolerant(cell, "top", "x0", near)))
+            if len(cell) == 1:
+                texts.append(cell[0]["text"])
+            else:
+                near = min(min(b["bottom"] - b["top"] for b in cell) / 2, NEAR)
+                texts.append(" ".join(b["text"] for b in tolerant(cell, "top", "x0", near)))
             down, across = spans.get(k, (1, 1))
-            size = (f"colspan={across}" if across > 1 else "") + (f" rowspan={down}" if down > 1 else "")
+            size = (f"colspan={across}" if across > 1 else "") + (f" rowspan={down}" if down > 1 else "") if spans else ""
             parts.append(f"<{tag} {size}>{texts[-1]}</{tag}>")
         if r in headers and known.issuperset(texts):
             continue  # a header that repeats

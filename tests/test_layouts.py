@@ -5,10 +5,12 @@ from functools import cmp_to_key
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tarnfold.operators import characters, layout, paragraphs, tables
+from tarnfold.operators.grouped import plain
 
 CELL = "doc_id long, page int, table int, box long, x0 double, x1 double, top double, bottom double, text string, kind string"
 BAND = "doc_id long, page int, table int, band int, kind string, x0 double, x1 double, top double, bottom double"
@@ -125,6 +127,12 @@ def test_characters_of_any_size_find_their_boxes_and_travel_with_what_they_hold(
     assert plan.count("Join") == 2  # characters of either size with boxes; what they hold travels along
 
 
+def test_rows_of_a_group_hold_plain_values():
+    values = [plain(pd.Series(v)) for v in ([1, 2], [1.5, float("nan")], [True, False], ["a", None], np.array([3, 4], np.int32), [np.array([1, 2]), None])]
+    assert values[:5] == [[1, 2], [1.5, None], [True, False], ["a", None], [3, 4]] and values[5][0].tolist() == [1, 2] and values[5][1] is None
+    assert {type(x) for v in values[:5] for x in v} == {int, float, bool, str, type(None)}
+
+
 def plain_paragraphs(lines, english):
     """A page's lines (top, x0, box, x1, bottom, text, layoutno), joined one after the other."""
     out = []
