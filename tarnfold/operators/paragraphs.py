@@ -8,7 +8,7 @@ over it. Only edges and signs are folded; texts are joined afterwards, by paragr
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfold.functions.markdown import stripped
@@ -29,20 +29,20 @@ def _is_of(sign: Column, signs: str) -> Column:
 
 def numbered_paragraphs(boxes: DataFrame, english: bool = False) -> DataFrame:
     """boxes (with layoutno and mean_height) and the ascending number of their paragraph in the page. A blank line may belong to the paragraph before it; one that doesn't goes, unless it is the page's last. Order is by top, left edge and box."""
-    trimmed = stripped(F.coalesce("text", F.lit("")))
-    tall = F.when(F.coalesce("mean_height", F.lit(10.0)) > 0, F.coalesce("mean_height", F.lit(10.0))).otherwise(F.median(F.col("bottom") - F.col("top")).over(Window.partitionBy(*PAGE)))
-    rows = boxes.withColumns({"_text": trimmed, "_tall": tall, "_last": F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("top"), F.desc("x0"), F.desc("box"))) == 1})
+    given = [c for c in boxes.columns if c not in PAGE]
+    rows = boxes.withColumn("_text", stripped(F.coalesce("text", F.lit(""))))
+    tall = F.coalesce("mean_height", F.lit(10.0))
     end, before = F.right("_text", F.lit(1)), F.when(F.length("_text") > 1, F.substring("_text", -2, 1))
     goes_on = _is_of(end, GOES_ON) | _is_of(before, GOES_ON_BEFORE)
     ends = _is_of(end, ENDS + (ENDS_ENGLISH if english else ""))
-    line = F.struct("top", "x0", "box", "x1", "bottom", "layoutno", F.col("_tall").alias("tall"), goes_on.alias("goes_on"), (F.length("_text") == 1).alias("single"), _is_of(end, GOES_ON).alias("end_on"), ends.alias("ends"), _is_of(F.left("_text", F.lit(1)), GOES_ON_NEXT).alias("begins_on"), (F.col("_text") == "").alias("blank"))
+    line = F.struct("top", "x0", "box", "x1", "bottom", "layoutno", F.when(tall > 0, tall).alias("tall"), goes_on.alias("goes_on"), (F.length("_text") == 1).alias("single"), _is_of(end, GOES_ON).alias("end_on"), ends.alias("ends"), _is_of(F.left("_text", F.lit(1)), GOES_ON_NEXT).alias("begins_on"), (F.col("_text") == "").alias("blank"), F.struct(*given, "_text").alias("row"))
     pages = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(line)).alias("lines"))
 
     def step(s: Column, b: Column) -> Column:
         p = s["last"]
         wide = F.greatest(F.lit(1.0), F.least(p["x1"] - p["x0"], b["x1"] - b["x0"]))
         shared = F.greatest(F.lit(0.0), F.least(p["x1"], b["x1"]) - F.greatest(p["x0"], b["x0"])) / wide
-        near = p["layoutno"].eqNullSafe(b["layoutno"]) & (b["top"] - p["bottom"] <= FAR * b["tall"]) & (shared >= SHARED)
+        near = p["layoutno"].eqNullSafe(b["layoutno"]) & (b["top"] - p["bottom"] <= FAR * F.coalesce(b["tall"], s["median"])) & (shared >= SHARED)
         same = F.coalesce(near & ~p["blank"] & (~p["ends"] | p["goes_on"] | b["begins_on"]), F.lit(False))
         number = s["n"] + F.when(same, 0).otherwise(1)
         # A line of one sign in a paragraph has a blank before it, so only its own sign tells; a blank line leaves the paragraph's signs.
@@ -50,15 +50,19 @@ def numbered_paragraphs(boxes: DataFrame, english: bool = False) -> DataFrame:
             F.when(same, F.least(p["x0"], b["x0"])).otherwise(b["x0"]).alias("x0"), F.when(same, F.greatest(p["x1"], b["x1"])).otherwise(b["x1"]).alias("x1"), b["bottom"].alias("bottom"), b["layoutno"].alias("layoutno"),
             F.when(same & b["blank"], p["ends"]).otherwise(b["ends"]).alias("ends"), F.when(same & b["blank"], p["goes_on"]).when(same & b["single"], b["end_on"]).otherwise(b["goes_on"]).alias("goes_on"), (~same & b["blank"]).alias("blank"),
         )
-        return F.struct(grown.alias("last"), number.alias("n"), F.array_append(s["numbers"], F.struct(b["box"].alias("box"), number.alias("paragraph"))).alias("numbers"))
+        return F.struct(grown.alias("last"), number.alias("n"), F.array_append(s["numbers"], F.struct(number.alias("paragraph"), (~same & b["blank"]).alias("lone"))).alias("numbers"), s["median"].alias("median"))
 
-    kind = rows.schema
-    box, layoutno = kind["box"].dataType.simpleString(), kind["layoutno"].dataType.simpleString()
+    layoutno = rows.schema["layoutno"].dataType.simpleString()
     nothing = F.lit(None).cast(f"struct<x0:double,x1:double,bottom:double,layoutno:{layoutno},ends:boolean,goes_on:boolean,blank:boolean>")
-    start = F.struct(nothing.alias("last"), F.lit(0).alias("n"), F.array().cast(f"array<struct<box:{box},paragraph:int>>").alias("numbers"))
-    numbers = pages.select(*PAGE, F.explode(F.aggregate("lines", start, step, lambda s: s["numbers"])).alias("p")).select(*PAGE, "p.*")
-    stays = F.max((F.col("_text") != "") | F.col("_last")).over(Window.partitionBy(*PAGE, "paragraph"))
-    return rows.join(numbers, [*PAGE, "box"]).withColumn("_stays", stays).filter("_stays").drop("_tall", "_last", "_stays")
+    heights = F.sort_array(F.filter(F.transform("lines", lambda b: b["bottom"] - b["top"]), lambda h: h.isNotNull()))
+    middle = F.size(heights) / 2
+    median = F.when(F.exists("lines", lambda b: b["tall"].isNull()) & (F.size(heights) > 0), (F.get(heights, F.ceil(middle).cast("int") - 1) * 0.5 + F.get(heights, F.floor(middle).cast("int")) * 0.5))
+    start = F.struct(nothing.alias("last"), F.lit(0).alias("n"), F.array().cast("array<struct<paragraph:int,lone:boolean>>").alias("numbers"), median.cast("double").alias("median"))
+    folded = pages.select(*PAGE, F.col("lines.row").alias("row"), F.aggregate("lines", start, step, lambda s: s["numbers"]).alias("number"))
+    lines = folded.select(*PAGE, F.size("row").alias("_lines"), F.posexplode(F.arrays_zip("row", "number")).alias("_at", "_line"))
+    stays = ~F.col("_line.number.lone") | (F.col("_at") + 1 == F.col("_lines"))  # nothing is added to a blank line that begins a paragraph
+    named = lines.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*PAGE, "_line.row.box"])).filter(stays)
+    return named.select(*PAGE, *[F.col(f"_line.row.{c}").alias(c) for c in [*given, "_text"]], F.col("_line.number.paragraph").alias("paragraph"))
 
 
 def merged_paragraphs(boxes: DataFrame, english: bool = False) -> DataFrame:

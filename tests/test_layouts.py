@@ -165,6 +165,19 @@ def test_paragraphs(spark, english):
         assert [tuple(r[c] for c in ("text", "x0", "x1", "top", "bottom")) for r in got if r["page"] == p] == want
 
 
+def test_paragraphs_without_a_mean_height_and_without_joins(spark):
+    rng = random.Random(12)
+    rows = [(1, p, n, 0.0, 90.0, float(n * 25), n * 25 + rng.choice([8.0, 16.0]), rng.choice(["a", " ", "b."]), 0, rng.choice([0.0, -1.0])) for p in range(30) for n in range(rng.randint(1, 9))]
+    tall = {p: float(np.median([r[6] - r[5] for r in rows if r[1] == p])) for p in range(30)}
+    kind = "doc_id int, page int, box int, x0 double, x1 double, top double, bottom double, text string, layoutno int, mean_height double"
+    known = spark.createDataFrame([(*r[:9], tall[r[1]]) for r in rows], kind)
+    got = paragraphs.merged_paragraphs(spark.createDataFrame(rows, kind), True)
+    texts = lambda df: sorted(tuple(r) for r in df.select("page", "paragraph", "text", "top", "bottom").collect())
+    assert texts(got) == texts(paragraphs.merged_paragraphs(known, True)) and len(set(tall.values())) > 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Exchange") == 1
+
+
 def test_groups_on_a_line_are_the_best_ones():
     rng = np.random.default_rng(2)
     for _ in range(150):
