@@ -212,8 +212,8 @@ def as_sentences(grid: Grid, sizes: list[int], spans: dict, headers: list[int],
     return [line + where for line in out]
 
 
-def built(boxes: list[Box], english: bool) -> dict:
-    """One table from its boxes, in their number's order."""
+def built(boxes: list[Box], english: bool, html: bool = True, described: bool = True) -> dict:
+    """One table from its boxes, in their number's order; what isn't wanted stays empty."""
     near = sum(b["bottom"] - b["top"] for b in boxes) / 2 / len(boxes)
     boxes = tolerant(boxes, "top", "x0", near)
     caption = "".join((" " if english else "") + b["text"] for b in boxes if b["caption"])
@@ -235,13 +235,13 @@ def built(boxes: list[Box], english: bool) -> dict:
         lone_joined(grid, sizes, 0, "top", "bottom")
     headers = header_rows(grid, sizes[0])
     spans = spans_merged(grid, sizes)
-    described = as_sentences(grid, sizes, spans, headers, caption, english)
-    return {"caption": caption, "html": as_html(grid, sizes, spans, headers, caption), "described": described, "n_rows": sizes[0], "n_cols": sizes[1], "n_spans": len(spans)}
+    sentences = as_sentences(grid, sizes, spans, headers, caption, english) if described else []
+    return {"caption": caption, "html": as_html(grid, sizes, spans, headers, caption) if html else "", "described": sentences, "n_rows": sizes[0], "n_cols": sizes[1], "n_spans": len(spans)}
 
 
-def tables(cells: DataFrame, english: bool = False) -> DataFrame:
-    """One row a table. cells: boxes as `tagged` gives them; a table of captions alone has no rows."""
+def tables(cells: DataFrame, english: bool = False, html: bool = True, described: bool = True) -> DataFrame:
+    """One row a table. cells: boxes as `tagged` gives them; a table of captions alone has no rows. html and described are made where they are wanted, else they are empty."""
     rows = cells.withColumns({"caption": F.coalesce(is_caption(F.col("text"), F.col("kind")), F.lit(False)), "cell": cell_kind(F.col("text")), "text": F.coalesce("text", F.lit(""))})
 
     wanted = [*TABLE, "box", "x0", "x1", "top", "bottom", "text", "caption", "cell", *BANDS, "row_height"]
-    return each_group(rows.select(*wanted), TABLE, ["box"], lambda boxes: [{k: boxes[0][k] for k in TABLE} | built(boxes, english)], f"{typed(rows, *TABLE)}, {BUILT}")
+    return each_group(rows.select(*wanted), TABLE, ["box"], lambda boxes: [{k: boxes[0][k] for k in TABLE} | built(boxes, english, html, described)], f"{typed(rows, *TABLE)}, {BUILT}")

@@ -48,8 +48,9 @@ def _cells(spark, sf_dir):
     cells = rows_of(spark, sf_dir, "lineitem", _SPARK_CELL)
     cells = cells.withColumns({"kind": F.lit("table"), "row_top": F.col("top"), "row_height": F.lit(10.0), "col_left": F.col("column") * 100.0, "col_right": F.col("column") * 100.0 + 70, "header": F.col("row") == 0})
     cells = cells.withColumns({c: F.lit(None).cast("double") for c in ("area_left", "area_right", "area_top", "area_bottom")})
-    size = cells.groupBy("page").agg(F.count_distinct("row").alias("n"))
-    lone = cells.groupBy("page", "column").agg(F.count_distinct("row").alias("r")).filter("r = 1").join(size.filter("n >= 4"), "page").select("page")
+    # A row is one of 31 remainders and so a bit of its own: rows are counted without a shuffle of each.
+    held = table(spark, sf_dir, "lineitem").selectExpr(*[f"{_SPARK_CELL[c]} AS `{c}`" for c in ("page", "row", "column")]).groupBy("page", "column").agg(F.expr("bit_or(shiftleft(1L, CAST(`row` AS INT)))").alias("rows"))
+    lone = held.groupBy("page").agg(F.bit_count(F.bit_or("rows")).alias("n"), F.min(F.bit_count("rows")).alias("least")).filter("n >= 4 AND least = 1").select("page")
     return cells.join(lone, "page", "left_anti")
 
 
@@ -58,14 +59,14 @@ e AS (SELECT rc.*, x.k FROM rc JOIN (SELECT DISTINCT page, k FROM g) x USING (pa
 l AS (SELECT page, n_rows, n_cols, r, concat('<tr>', string_agg(CASE WHEN text IS NULL THEN concat('<', tag, '></', tag, '>') ELSE concat('<', tag, ' >', text, '</', tag, '>') END, '' ORDER BY k), '</tr>') AS line FROM h GROUP BY ALL)
 SELECT page, CAST(n_rows AS INT) AS n_rows, CAST(n_cols AS INT) AS n_cols, 0 AS n_spans, sha256(concat('<table>', {NL}, string_agg(line, {NL} ORDER BY r), {NL}, '</table>')) AS digest FROM l GROUP BY page, n_rows, n_cols""")
 def tables_built(spark, sf_dir):
-    return tables.tables(_cells(spark, sf_dir)).select("page", "n_rows", "n_cols", "n_spans", F.sha2("html", 256).alias("digest"))
+    return tables.tables(_cells(spark, sf_dir), described=False).select("page", "n_rows", "n_cols", "n_spans", F.sha2("html", 256).alias("digest"))
 
 
 @query("tables_described", f"""WITH {_WHOLE}, g AS (SELECT page, n_cols, r, k, "row", CASE WHEN "row" = 0 THEN string_agg(trim(text), ' ' ORDER BY x0, box) ELSE string_agg(trim(text), '' ORDER BY x0, box) END AS text FROM t GROUP BY page, n_cols, r, k, "row"), h AS (SELECT page, k, text AS title FROM g WHERE "row" = 0), x AS (SELECT DISTINCT page, true AS titled FROM h),
 l AS (SELECT g.page, r, CASE WHEN x.titled IS NULL AND n_cols <= 2 THEN string_agg(text, '：' ORDER BY k) ELSE string_agg(CASE WHEN title IS NULL THEN text ELSE concat(title, '：', text) END, '; ' ORDER BY k) END AS line FROM g LEFT JOIN h USING (page, k) LEFT JOIN x USING (page) WHERE "row" <> 0 GROUP BY g.page, r, x.titled, n_cols)
 SELECT page, line FROM l""")
 def tables_described(spark, sf_dir):
-    return tables.tables(_cells(spark, sf_dir)).select("page", F.explode("described").alias("line"))
+    return tables.tables(_cells(spark, sf_dir), html=False).select("page", F.explode("described").alias("line"))
 
 
 # Order lines as characters on pages of 32 orders, half of them as boxes.

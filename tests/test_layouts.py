@@ -127,6 +127,18 @@ def test_characters_of_any_size_find_their_boxes_and_travel_with_what_they_hold(
     assert plan.count("Join") == 2  # characters of either size with boxes; what they hold travels along
 
 
+def test_lines_that_lie_apart_are_ordered_as_by_comparisons():
+    rng, found = random.Random(9), 0
+    for _ in range(400):
+        step, tolerance = rng.choice([0.0, 1.0, 4.0, 10.0]), rng.choice([0.0, 2.0, 5.0])
+        boxes = [{"n": n, "top": rng.randint(0, 6) * step + rng.choice([0.0, 0.5]), "x0": float(rng.randint(0, 5))} for n in range(rng.randint(9, 40))]
+        boxes[0]["x0"] = rng.choice([1.0, float("nan")])
+        by = lambda a, b: (d > 0) - (d < 0) if abs(d := a["top"] - b["top"]) >= tolerance else (a["x0"] > b["x0"]) - (a["x0"] < b["x0"])  # noqa: E731, B023
+        assert [b["n"] for b in layout.tolerant(boxes, "top", "x0", tolerance)] == [b["n"] for b in sorted(boxes, key=cmp_to_key(by))]
+        found += bool(tolerance > 0 and layout._by_lines([(b["top"], b["x0"], b["n"]) for b in boxes], tolerance))
+    assert 50 < found < 400
+
+
 def test_rows_of_a_group_hold_plain_values():
     values = [plain(pd.Series(v)) for v in ([1, 2], [1.5, float("nan")], [True, False], ["a", None], np.array([3, 4], np.int32), [np.array([1, 2]), None])]
     assert values[:5] == [[1, 2], [1.5, None], [True, False], ["a", None], [3, 4]] and values[5][0].tolist() == [1, 2] and values[5][1] is None
