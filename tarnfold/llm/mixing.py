@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tarnfold.llm.workspace import Workspace
 
 SAMPLE, WORDS, LEAST_DOCS = 20_000, 1024, 8
-PENALTY, FIT_ROUNDS = 0.001, 100  # the fit ends before by its own tolerance
+PENALTY, FIT_ROUNDS, FIT_TASKS = 0.001, 100, 4  # the fit ends before by its own tolerance
 AMISS = 0.3  # a word of the domain tells in a short text too; the posteriors of other documents lie below
 CLOSE, HELPS, SAVE_EVERY = 1e-3, 0.995, 10
 SHORTER, LONGER = (0.4, 0.15, 0.05), (1.0, 8.0)
@@ -114,6 +114,8 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], ws: Workspac
     held = [d for d, c in zip(domains, size, strict=True) if c]
     label = F.create_map(*[x for i, d in enumerate(held) for x in (F.lit(d), F.lit(float(i)))])
     table = vectors.transform(rows.select(F.element_at(label, F.col("domain")).alias("label"), "terms"))
+    # The sample is bounded, and a round of the fit is a job: the sums of FIT_TASKS tasks meet at once, so a round has two stages of few tasks, of which the driver keeps a record.
+    table = table.coalesce(FIT_TASKS)
     fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=FIT_ROUNDS, standardization=False).fit(table)
     fitted.write().overwrite().save(f"{ws.path}/classifier")
     fitted = LogisticRegressionModel.load(f"{ws.path}/classifier")  # without the fit's summary, which holds the session and its table

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -376,6 +377,23 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix_documents(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_a_round_of_the_fit_has_two_stages(spark):
+    rng = random.Random(9)
+    rows = [(i, english(rng, 30) + (" vile" if i % 3 == 0 else " kind"), "toxic" if i % 3 == 0 else "good") for i in range(360)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(36)
+    labelled = spark.createDataFrame([(i, d) for i, _, d in rows], "doc_id long, domain string")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # a task for each file
+    spark.sparkContext.setJobGroup("fit", "fit")
+    model = mixing.train(docs, labelled, ["good", "toxic"], mixing.Workspace(spark, "fit"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    seen = spark.sparkContext.statusTracker()
+    stages = [len(seen.getJobInfo(j).stageIds) for j in seen.getJobIdsForGroup("fit")]
+    assert len(stages) > 20 and sum(n > 2 for n in stages) < 5
+    got = model.with_posterior(docs.withColumn("words", mixing.tokens_of(mixing.F.col("text")))).select("doc_id", "p").collect()
+    assert len(got) == 360 and all((r["p"][1] > 0.5) == (r["doc_id"] % 3 == 0) for r in got)
+
+
 @pytest.mark.parametrize("shares", [[0.88, 0.11, 0.01], [0.1, 0.2, 0.7], [1.0, 0.0, 0.0]])
 def test_rates_of_three_overlapping_domains(spark, shares):
     rng = np.random.default_rng(2)
@@ -410,6 +428,18 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def test_driver_holds_few_matrices(spark):
+    rng = random.Random(16)
+    alphabet = ["".join(rng.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(900)]
+    frame = spark.createDataFrame([(i, " ".join(rng.choice(alphabet) for _ in range(60))) for i in range(60)], "item_id long, text string")
+    tracemalloc.start()
+    basis = decontaminate.fit(frame, frame.limit(20), decontaminate.Workspace(spark, "fit"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert basis.shape == (decontaminate.TERMS, decontaminate.RANK + 1) and np.isfinite(basis).all() and basis[:, 0].any()
+    assert most < 3 * 4 * decontaminate.TERMS * (decontaminate.RANK + decontaminate.EXTRA)
+
+
 def test_decontamination_of_many_items(spark):
     rng = random.Random(16)
     alphabet = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(4000)]
