@@ -122,10 +122,10 @@ def config_checked(spark, sf_dir):
 
 @query("golden_cases", "WITH n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) SELECT CASE WHEN doc_id % 2 = 0 THEN concat('c', doc_id) ELSE CAST(n AS VARCHAR) END AS case_id, sha256(text) AS query_hash, concat('d', doc_id + k) AS id FROM n, (SELECT unnest([0, 1]) AS k)")
 def golden_cases(spark, sf_dir):
-    """Golden sets of a case a document, a file a source, written and read again; cases without an id go by their place."""
+    """Golden sets of a case a document, a folder a source, written and read again; cases without an id go by their place. A document without text is a case all the same."""
     path = f"{shared_dir(spark)}/tarnfold-golden-{uuid.uuid4().hex}"
-    case = F.struct(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("c"), "doc_id")).alias("id"), F.col("text").alias("query"), F.array(F.concat(F.lit("d"), "doc_id"), F.concat(F.lit("d"), F.col("doc_id") + 1)).alias("expected_doc_ids"))
-    cases = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", case.alias("case")))), lambda c: c["case"])
-    sets = table(spark, sf_dir, "documents").groupBy("source").agg(F.to_json(F.struct(cases.alias("cases"))).alias("value"))
-    sets.write.partitionBy("source").text(path)
-    return files.read_golden_set(spark, path).select("case_id", F.sha2("query", 256).alias("query_hash"), "id")
+    ids = F.array(F.concat_ws("", F.lit("d"), F.col("doc_id").cast("string")), F.concat_ws("", F.lit("d"), (F.col("doc_id") + 1).cast("string")))
+    case = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("c"), "doc_id"))
+    cases = table(spark, sf_dir, "documents").select("source", "doc_id", case.alias("id"), F.col("text").alias("query"), ids.alias("expected_doc_ids"))
+    files.write_golden_sets(cases, path, [F.col("doc_id").asc_nulls_last()])
+    return files.read_golden_set(spark, path, lines=True, blank=True).select("case_id", F.sha2("query", 256).alias("query_hash"), "id")

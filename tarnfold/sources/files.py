@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfold.functions.ordered import html_unescape
 from tarnfold.operators.retrieval import latest
+from tarnfold.session import saver
 
 # The kinds of files by extension.
 KINDS = {"md": "markdown", "markdown": "markdown", "txt": "text", "html": "html", "htm": "html", "csv": "csv", "json": "json", "jsonl": "json"}
@@ -64,10 +65,30 @@ def read_expectations(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter((F.col("wanted") != "") & ~F.col("wanted").startswith("#"))
 
 
-def read_golden_set(spark: SparkSession, path: str) -> DataFrame:
-    """case_id, query, id: a row for each document that a case of a golden set expects. A case without a query or expectations is an error."""
-    raw = spark.read.schema("cases array<struct<id:string,query:string,expected_doc_ids:array<string>>>").option("multiLine", "true").json(path)
-    cases = raw.select(F.posexplode("cases").alias("n", "c"))
-    fine = (F.coalesce(F.trim("c.query"), F.lit("")) != "") & (F.size(F.coalesce("c.expected_doc_ids", F.array().cast("array<string>"))) > 0)
+def write_golden_sets(cases: DataFrame, path: str, order: list[Column]) -> None:
+    """Golden sets of cases (source, id, query, expected_doc_ids): a folder a source, below it an object a line, of one case and its place in the source's order. So no row or task holds a set.
+
+    Cases are ranged by source and order, and the ranges written once, so that places are
+    counted over the rows that get them. A row for each source and range is broadcast.
+    """
+    rows = cases.repartitionByRange("source", *order).sortWithinPartitions("source", *order)
+    rows = saver(cases.sparkSession, "golden")(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(F.col("source").alias("_source"), F.col("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    parts = parts.select("_source", F.col("_part").alias("_of"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    placed = rows.join(F.broadcast(parts), (F.col("_part") == F.col("_of")) & F.col("source").eqNullSafe(F.col("_source")))
+    line = F.struct((F.col("_at") + F.col("_shift")).alias("first"), F.array(F.struct("id", "query", "expected_doc_ids")).alias("cases"))
+    placed.select("source", F.to_json(line).alias("value")).write.partitionBy("source").text(path)
+
+
+def read_golden_set(spark: SparkSession, path: str, lines: bool = False, blank: bool = False) -> DataFrame:
+    """case_id, query, id: a row for each document that a case of a golden set expects. A case without expectations is an error, and so is one without a query, unless those may be blank.
+
+    A file is an object, or with lines each of its lines is one; `first` is the place of an object's first case.
+    """
+    raw = spark.read.schema("first long, cases array<struct<id:string,query:string,expected_doc_ids:array<string>>>").option("maxStringLen", str(2**31 - 1)).option("multiLine", not lines).json(path)
+    cases = raw.select("first", F.posexplode("cases").alias("n", "c"))
+    fine = (F.lit(blank) | (F.coalesce(F.trim("c.query"), F.lit("")) != "")) & (F.size(F.coalesce("c.expected_doc_ids", F.array().cast("array<string>"))) > 0)
     wanted = F.when(fine, F.col("c.expected_doc_ids")).otherwise(F.raise_error(F.lit("a case needs a query and expected_doc_ids")))
-    return cases.select(F.coalesce("c.id", F.col("n").cast("string")).alias("case_id"), F.col("c.query").alias("query"), F.explode(wanted).alias("id"))
+    place = F.coalesce("first", F.lit(0)) + F.col("n")
+    return cases.select(F.coalesce("c.id", place.cast("string")).alias("case_id"), F.col("c.query").alias("query"), F.explode(wanted).alias("id"))

@@ -1,5 +1,8 @@
 """Queries on rows that the given tables don't hold, against their SQL."""
 
+import json
+from pathlib import Path
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -26,3 +29,19 @@ def test_facts_between_blanks_signs_and_marks(same_as_sql):
     texts = ["123 of 12 345 or 1,250 x", "call 555 123 4567, 12 500", "x٣٤٥ 1٣٤ é12 ab⃝345", "22² 3½4 ⅷ12 a_12", None, "S600 S600s " * 30, "# a\n# b\n# c\n# d 360,0001 9360,000"]
     rows = [(i * 4 + k, t) for i, t in enumerate(texts) for k in range(4)]
     same_as_sql("fact_guard", "documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+
+
+def test_golden_sets_of_odd_documents(same_as_sql):
+    """No text, blanks, breaks of lines of all kinds, no source, no id, a text above 20 million characters."""
+    texts = [None, "", " \t", "a\nb\r\nc d\x0be", '"{\\', None, "é" * 5, "plain", "y" * 20_000_001]
+    rows = [(i * 3, t, s) for i, t in enumerate(texts) for s in ["s"]] + [(i * 3 + 1, t, None) for i, t in enumerate(texts[:-1])] + [(i * 3 + 2, t, f"s{i % 2}") for i, t in enumerate(texts[:-1])] + [(None, "last", "s")]
+    same_as_sql("golden_cases", "documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string()), "source": pa.array([r[2] for r in rows], pa.string())}))
+
+
+def test_no_row_holds_a_golden_set(spark, same_as_sql):
+    """A line is a case, however many a source has, and its place counts over ranges."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    known = set(shared.glob("tarnfold-golden-*/source=*"))
+    same_as_sql("golden_cases", "documents", pa.table({"doc_id": pa.array(range(2000, 0, -1), pa.int64()), "text": [f"t{i}" for i in range(2000)], "source": ["a" if i % 10 else "b" for i in range(2000)]}))
+    lines = [line for folder in set(shared.glob("tarnfold-golden-*/source=*")) - known for f in folder.glob("part-*") for line in f.read_text().splitlines()]
+    assert len(lines) == 2000 and all(len(json.loads(line)["cases"]) == 1 for line in lines)
