@@ -31,22 +31,27 @@ def edge(lines: list[str], n: int) -> list[str]:
     return out
 
 
-def joined_at(before: str, page: str) -> tuple[str, str, dict[str, int]]:
-    """The text so far and the page after what they share at their edge is taken out or moved, and what was done."""
+def joined_at(before: str, page: str, depth: int | None = None) -> tuple[str, str, dict[str, int]]:
+    """The text so far and the page after what they share at their edge is taken out or moved, and what was done.
+
+    With a depth, edges are known to have so many lines, which end at line feeds alone: no
+    more are compared or moved, so what lies next to an edge may be equal to it.
+    """
+    split = str.splitlines if depth is None else (lambda t: t.split("\n"))
     done = {"lines": 0, "tables": 0, "headings": 0}
-    held, lines = before.splitlines(), page.splitlines()
-    tail = set(edge(held, -TAIL))
+    held, lines = split(before), split(page)
+    tail = set(edge(held, -(depth or TAIL)))
     while tail and done["lines"] < len(lines) and lines[done["lines"]].strip() in tail:
         tail.discard(lines[done["lines"]].strip())
         done["lines"] += 1
     # A page is put together anew only if a rule looked into it.
     page = "\n".join(lines[done["lines"] :]) if held and edge(held, -1) else page
-    lines = page.splitlines()
+    lines = split(page)
     if all(e and ROW.match(e[0]) for e in (edge(held, -1), edge(lines, 1))):
-        rows = next((i for i, x in enumerate(lines) if x.strip() and not ROW.match(x.strip())), len(lines))
+        rows = next((i for i, x in enumerate(lines[:depth]) if x.strip() and not ROW.match(x.strip())), len(lines[:depth]))
         before, page = before.rstrip() + "\n" + "\n".join(lines[:rows]), "\n".join(lines[rows:])
         done["tables"] = 1
-        held, lines = before.splitlines(), page.splitlines()
+        held, lines = split(before), split(page)
     titles = [HEADING.match(e[0]) if e else None for e in (edge(held, -1), edge(lines, 1))]
     if all(titles) and titles[0][2].strip() == titles[1][2].strip():
         at = next(i for i, x in enumerate(lines) if HEADING.match(x.strip()))
@@ -55,7 +60,7 @@ def joined_at(before: str, page: str) -> tuple[str, str, dict[str, int]]:
     return before, page, done
 
 
-def stitch(pages: list[tuple[int, str]], comments: bool = True) -> tuple:
+def stitch(pages: list[tuple[int, str]], comments: bool = True, depth: int | None = None) -> tuple:
     """The row of SCHEMA for a document's pages, in order."""
     texts: list[str] = []
     total = {"lines": 0, "tables": 0, "headings": 0}
@@ -64,14 +69,14 @@ def stitch(pages: list[tuple[int, str]], comments: bool = True) -> tuple:
         if not page:
             continue
         if texts:
-            texts[-1], page, done = joined_at(texts[-1], page)
+            texts[-1], page, done = joined_at(texts[-1], page, depth)
             total = {k: v + done[k] for k, v in total.items()}
         texts.append(f"<!-- page {number} -->\n\n{page}" if comments else page)
     return "\n\n".join(texts).strip() + "\n" if pages else "", len(pages), len(texts), total["lines"], total["tables"], total["headings"]
 
 
-def stitched(pages: DataFrame, document: str = "doc_id", page: str = "page_num", text: str = "markdown", comments: bool = True) -> DataFrame:
-    """A row a document: its key and the columns of SCHEMA. Rows of one document and page follow each other by text."""
+def stitched(pages: DataFrame, document: str = "doc_id", page: str = "page_num", text: str = "markdown", comments: bool = True, depth: int | None = None) -> DataFrame:
+    """A row a document: its key and the columns of SCHEMA. Rows of one document and page follow each other by text. For depth see joined_at."""
     kind = dict(pages.dtypes)[document]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,14 +89,14 @@ def stitched(pages: DataFrame, document: str = "doc_id", page: str = "page_num",
             done = []  # the documents that end in a batch leave together
             for d, n, t in zip(pdf[document].tolist(), pdf[page].tolist(), pdf[text].tolist(), strict=True):
                 if held and d != now:
-                    done.append((now, *stitch(held, comments)))
+                    done.append((now, *stitch(held, comments, depth)))
                     held = []
                 now = d
                 held.append((n, t))
             if done:
                 yield pd.DataFrame(done, columns=columns)
         if held:
-            yield pd.DataFrame([(now, *stitch(held, comments))], columns=columns)
+            yield pd.DataFrame([(now, *stitch(held, comments, depth))], columns=columns)
 
     rows = pages.select(document, page, text).repartition(F.col(document)).sortWithinPartitions(document, page, text)
     return rows.mapInPandas(run, f"{document} {kind}, {SCHEMA}")

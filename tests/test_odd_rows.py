@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tarnfold import catalog
+from tarnfold.operators import stitching
 
 
 @pytest.fixture
@@ -45,3 +46,15 @@ def test_no_row_holds_a_golden_set(spark, same_as_sql):
     same_as_sql("golden_cases", "documents", pa.table({"doc_id": pa.array(range(2000, 0, -1), pa.int64()), "text": [f"t{i}" for i in range(2000)], "source": ["a" if i % 10 else "b" for i in range(2000)]}))
     lines = [line for folder in set(shared.glob("tarnfold-golden-*/source=*")) - known for f in folder.glob("part-*") for line in f.read_text().splitlines()]
     assert len(lines) == 2000 and all(len(json.loads(line)["cases"]) == 1 for line in lines)
+
+
+def test_turns_that_are_like_edges(same_as_sql):
+    """Lines of a turn that the next one repeats, rows and headings at its ends, blanks, line breaks of all kinds, no text."""
+    texts = ["The.", "a\nThe.", "\n\nb", "| c | 3 |\nd", " \n", "e\r\nf\x0bg\x85h i\x1cj\n", "\r", "## Part", "# Part\n\nk", "| b | 2 |", "Report", "Report\nReport", None, "| a | 1 |\n| b | 2 |", "", "l\n\x1c\n"]
+    rows = [(c, turn, t if c < len(texts) else texts[(turn * 7 + c * (turn % 5)) % len(texts)]) for c, t in enumerate(texts + ["mixed"] * 20) for turn in range(1 + c % 9 if c % 2 else 8)]
+    same_as_sql("stitched_pages", "conversations", pa.table({"conv_id": pa.array([r[0] for r in rows], pa.int64()), "turn": pa.array([r[1] for r in rows], pa.int64()), "text": pa.array([r[2] for r in rows], pa.string())}))
+
+
+def test_pages_still_share_more_than_a_line():
+    assert stitching.joined_at("x\ny\nfoot", "foot\ny\nz")[1:] == ("z", {"lines": 2, "tables": 0, "headings": 0})
+    assert stitching.joined_at("x\ny\nfoot", "foot\ny\nz", 1)[1:] == ("y\nz", {"lines": 1, "tables": 0, "headings": 0})
