@@ -58,3 +58,10 @@ def test_turns_that_are_like_edges(same_as_sql):
 def test_pages_still_share_more_than_a_line():
     assert stitching.joined_at("x\ny\nfoot", "foot\ny\nz")[1:] == ("z", {"lines": 2, "tables": 0, "headings": 0})
     assert stitching.joined_at("x\ny\nfoot", "foot\ny\nz", 1)[1:] == ("y\nz", {"lines": 1, "tables": 0, "headings": 0})
+
+
+def test_documents_that_sound_like_models(same_as_sql):
+    """Own lines that open or close as a model's do, headings, blanks of all kinds at the ends, no text, a long one."""
+    texts = ["Here is thing eres.\nb", "Sure, a\nHere is b\nSure, done", "a\n\nLet me know\nI hope this", "If you have it.", "Here is it", "\n\n Below is x \n\n", "\xa0x　", "\x0bx\r", " \r", None, "", " ", "\n", "# A\nb\n## B\n", "I see\n# I see\n\nFeel free", "y" * 190, "z " * 90, "Certainly, no\n\n\n\n\n\nNote: I have kept", "w é\n" * 500_000]
+    rows = [(i * 5 + k, t) for i, t in enumerate(texts) for k in range(5)] + [(-7, "Here is x"), (-3, "Sure, y")]
+    same_as_sql("model_artifacts", "documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
